@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from .language_id import op9_language_id
+from .multiset_hash import op2_fingerprints
+from .packing import op1_packing
 from .quality_cnn import op3_quality
+from .token_counts import op5_token_counts
+from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_fingerprints": op2_fingerprints,
     "op3_quality": op3_quality,
+    "op4_warc": op4_warc,
+    "op5_token_counts": op5_token_counts,
     "op9_language_id": op9_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL}
