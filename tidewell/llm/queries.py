@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .decontaminate import op8_decontamination
+from .jaccard_join import op10_jaccard
 from .language_id import op9_language_id
 from .multiset_hash import op2_fingerprints
 from .packing import op1_packing
@@ -15,7 +17,9 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
+    "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL}
