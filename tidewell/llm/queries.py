@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .compaction import OP6_SQL, op6_compaction
 from .decontaminate import op8_decontamination
 from .jaccard_join import op10_jaccard
 from .language_id import op9_language_id
+from .license_scan import op7_licenses
 from .multiset_hash import op2_fingerprints
 from .packing import op1_packing
 from .quality_cnn import op3_quality
@@ -17,9 +19,11 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
+    "op6_compaction": op6_compaction,
+    "op7_licenses": op7_licenses,
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
     "op10_jaccard": op10_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op6_compaction": OP6_SQL}
