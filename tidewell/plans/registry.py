@@ -1,17 +1,12 @@
-"""Registered queries over the driver's tables, each with an independent DuckDB text."""
+"""All registered queries over the driver's tables, each with an independent DuckDB text."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import relational
+from .base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+_CATALOGS = [relational.catalog]
 
-
-def _flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"))
-
-
-FLAGSHIP: Callable[[SparkSession, str], DataFrame] = _flagship
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {name: q for c in _CATALOGS for name, q in c.queries.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for c in _CATALOGS for name, sql in c.oracle.items()}
+FLAGSHIP: Query = QUERIES["j31_same_quarter_last_year"]
