@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import metrics, relational
 from .base import Query
 
-_CATALOGS = [relational.catalog]
+_CATALOGS = [relational.catalog, metrics.catalog]
 
 QUERIES: dict[str, Query] = {name: q for c in _CATALOGS for name, q in c.queries.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for c in _CATALOGS for name, sql in c.oracle.items()}
-FLAGSHIP: Query = QUERIES["j31_same_quarter_last_year"]
+FLAGSHIP: Query = QUERIES["flagship_need_month"]
