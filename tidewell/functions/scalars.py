@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def month_of(c: Column) -> Column:
@@ -84,11 +85,11 @@ def normal_text(text: str) -> str:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalized(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else normal_text(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html.unescape(t))
