@@ -20,16 +20,37 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-CACHE_WORDS = 300_000
+from .common import lower_table, row_blocks, span_hashes, text_buffers
+
+CACHE_WORDS = 1_000_000
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of bytes: small letters for capital ones; 0 white space, 1 letter, 2 digit, 3 mark; those left to the tokenizer."""
+    kind = np.full(256, 3, np.uint8)
+    kind[[9, 10, 13, 32]] = 0
+    kind[97:123] = kind[128:] = 1
+    kind[48:58] = 2
+    odd = np.ones(256, bool)
+    odd[[9, 10, 13]] = odd[32:127] = odd[0x80:0xC0] = odd[0xC3] = False
+    return lower_table(), kind, odd
+
+
+_LOWER, _KIND, _ODD = _classes()
+_SLOTS = 1 << 20
+#: After an apostrophe that starts a run of marks, these letters belong to it.
+_CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
 class WordTokens:
-    """Token ids, as little-endian bytes, of texts.
+    """Token ids of texts, word by word.
 
-    The vocabulary never joins characters across ASCII white space, so each stretch between it is tokenised
-    once and kept, in a bounded cache.
+    The vocabulary splits a text into runs of letters, single digits, runs of marks and a few contractions, in
+    small letters, and never joins what white space parts. Such words are found over the bytes of many texts at
+    once, hashed, and looked up in a bounded table; the tokenizer sees each new one once. A text with characters
+    other than ASCII and the letters from U+00C0 to U+00FF, or with ``<|``, goes to the tokenizer as it is.
     """
 
     def __init__(self, path: str):
@@ -37,23 +58,112 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            try:
-                out.append(b"".join(map(self.cache.__getitem__, words)))
-                continue
-            except KeyError:
-                pass
-            if len(self.cache) > CACHE_WORDS:
-                self.cache = {"": b""}
-            missing = list({w for w in words if w not in self.cache})
-            found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True)}
-            out.append(b"".join(found[w] if w in found else self.cache[w] for w in words))
-            self.cache.update((w, ids) for w, ids in found.items() if len(w) <= 64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.slot_hash, self.slot_word = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int32)
+        self.number: dict[int, int] = {}
+        self.first, self.flat = [0], np.zeros(0, np.uint32)
+        self.offsets = np.zeros(1, np.int64)
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, hashes: list[int], words: list[str]) -> None:
+        """New words, many of them in one text for the tokenizer."""
+        parts = [self.flat]
+        for a in range(0, len(words), 512):
+            part = words[a : a + 512]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            cuts = np.searchsorted(np.array(e.word_ids), np.arange(1, len(part) + 1))
+            self.first += (self.first[-1] + cuts).tolist()
+            parts.append(np.array(e.ids, np.uint32))
+        for h in hashes:
+            self.number[h] = len(self.number)
+        self.flat, self.offsets = np.concatenate(parts), np.array(self.first)
+
+    def numbers(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The numbers of words by their hashes."""
+        slot = (h & np.uint64(_SLOTS - 1)).astype(np.int64)
+        out = self.slot_word[slot].astype(np.int64)
+        miss = np.flatnonzero(self.slot_hash[slot] != h)
+        if len(miss):
+            u, at, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            keys = u.tolist()
+            new = [i for i, x in enumerate(keys) if x not in self.number]
+            if new:
+                spots = miss[at[new]]
+                raw = data.tobytes()
+                self.learn([keys[i] for i in new], [raw[a:b].decode() for a, b in zip(starts[spots].tolist(), ends[spots].tolist(), strict=True)])
+            numbers = np.array([self.number[x] for x in keys])
+            out[miss] = numbers[back]
+            own = (u & np.uint64(_SLOTS - 1)).astype(np.int64)
+            free = self.slot_hash[own] == 0
+            self.slot_hash[own[free]], self.slot_word[own[free]] = u[free], numbers[free]
+            # where two new words meet in a free slot, the later one has it: its hash and number were set in one order
+        return out
+
+    def block(self, raw: np.ndarray, off: np.ndarray) -> list[np.ndarray | None]:
+        """Ids of each text, None for those left to the tokenizer."""
+        data = _LOWER[raw[off[0] : off[-1]]]
+        cuts = off - off[0]
+        n = len(data)
+        if not n:
+            return [np.zeros(0, np.uint32)] * (len(off) - 1)
+        if len(self.number) > CACHE_WORDS:
+            self.forget()
+        after = np.append(data[1:], np.uint8(0))
+        lead = data == 0xC3
+        # capital letters beyond ASCII: the second byte 80 to 9E, but 97 (a sign, as is B7)
+        second = np.append(False, lead[:-1])
+        data = np.where(second & (data >= 0x80) & (data <= 0x9E) & (data != 0x97), data + np.uint8(32), data)
+        sign = second & ((data == 0x97) | (data == 0xB7))
+        bad = _ODD[data] | sign | ((data == 60) & (after == 124))
+        odd = np.zeros(len(cuts) - 1, bool)
+        if bad.any():
+            odd[np.searchsorted(cuts, np.flatnonzero(bad), side="right") - 1] = True
+        kind = _KIND[data]
+        start = np.ones(n, bool)
+        start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        inner = cuts[(cuts > 0) & (cuts < n)]
+        start[inner] = True
+        quotes = np.flatnonzero((data == 39) & start)
+        if len(quotes):
+            row_end = cuts[np.searchsorted(cuts, quotes, side="right")]
+            for c in _CONTRACTIONS:
+                k = len(c)
+                q = quotes[quotes + k < row_end]
+                for j, ch in enumerate(c):
+                    q = q[data[q + 1 + j] == ord(ch)]
+                start[q + 1] = False
+                rest = q[q + 1 + k < n] + 1 + k
+                start[rest] = True
+        start &= kind > 0
+        starts = np.flatnonzero(start)
+        # a word ends where the next one starts, or before at white space or the end of its text
+        limit = np.append(starts[1:], n)
+        gap = np.append(np.flatnonzero(kind == 0), n)
+        ends = np.minimum(limit, gap[np.searchsorted(gap, starts)])
+        if odd.any():
+            own = ~odd[np.searchsorted(cuts, starts, side="right") - 1]
+            starts, ends = starts[own], ends[own]
+        words = self.numbers(span_hashes(data, starts, ends), data, starts, ends)
+        size = self.offsets[words + 1] - self.offsets[words]
+        total = np.r_[0, np.cumsum(size)]
+        ids = self.flat[np.arange(total[-1]) + np.repeat(self.offsets[words] - total[:-1], size)]
+        place = total[np.searchsorted(starts, cuts)].tolist()
+        return [None if o else ids[a:b] for o, a, b in zip(odd.tolist(), place, place[1:], strict=False)]
+
+    def encode(self, column) -> list[np.ndarray]:
+        """Ids of the rows of an Arrow column of texts; a null text has none."""
+        raw, off = text_buffers(column)
+        out: list[np.ndarray | None] = []
+        for a, b in row_blocks(off, 1 << 20):
+            out += self.block(raw, off[a : b + 1])
+        left = [i for i, ids in enumerate(out) if ids is None]
+        if left:
+            for i, ids in zip(left, self.plain([column[i].as_py() for i in left]), strict=True):
+                out[i] = ids
         return out
 
 
@@ -189,10 +299,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tokens: int = 2048, seg
 
         def rows():
             for batch in batches:
-                for a in range(0, batch.num_rows, 64):
-                    part = batch.slice(a, 64)
-                    for doc_id, data in zip(part.column(0).to_pylist(), coder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                        yield doc_id, data + end
+                for a in range(0, batch.num_rows, 1000):
+                    part = batch.slice(a, 1000)
+                    for doc_id, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1)), strict=True):
+                        yield doc_id, ids.astype("<u4").tobytes() + end
 
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 33
