@@ -7,7 +7,9 @@ of documents last, so few classes meet; the sample changes the work, never the r
 
 Classes are dealt into blocks by their first shingle, at most about BLOCK classes each. Inverted lists of the
 leading shingles tell which pairs of blocks hold classes that can link, after filters by size and by place. Only
-these pairs of blocks are joined. Within one, DivideSkip answers each query: short inverted lists are merged and
+these pairs of blocks are joined: first by profiles (how many of a set's shingles lie in each of some equal
+ranges of hashes), whose common part bounds the overlap from above and rules out nearly all false pairs; then by
+the sets of what is left. There DivideSkip answers each query: short inverted lists are merged and
 counted, the long ones are probed by binary search for the candidates that are left, and those that reach
 the overlap link. Links already implied by others are not searched for again, so a group of copies costs no
 square of links. Components of the links are the groups.
@@ -74,6 +76,48 @@ def signature(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def profile(s: np.ndarray) -> bytes:
+    """How many shingles lie in each of B equal ranges of hashes, a byte each (255: or more); B is a power of two near n / 2."""
+    bits = max(4, math.ceil(math.log2(max(2, len(s))) - 1))
+    return np.minimum(np.bincount((s >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def may_link(profiles: list[np.ndarray], sizes: np.ndarray, queries: list[int], indexed: list[int], percent: int) -> np.ndarray:
+    """Flags those of the numbered sets whose profiles let them link with a set of the other list.
+
+    A profile of twice as many ranges is folded to compare it. A full byte counts as unbounded.
+    """
+    out = np.zeros(len(profiles), bool)
+    levels: dict[int, np.ndarray] = {}
+    for i in indexed:
+        levels.setdefault(len(profiles[i]), []).append(i)
+    stacks = {width: (np.array(ids), np.stack([profiles[i] for i in ids])) for width, ids in levels.items()}
+    folded: dict[tuple[int, int], np.ndarray] = {}
+
+    def fold(m: np.ndarray, width: int) -> np.ndarray:
+        full = (m == 255).any()
+        m = m.astype(np.int32)
+        if full:
+            m[m == 255] = 1 << 20
+        return m.reshape(*m.shape[:-1], width, -1).sum(axis=-1)
+
+    for q in queries:
+        n, mine = int(sizes[q]), profiles[q]
+        for width, (ids, stack) in stacks.items():
+            near = (ids != q) & (100 * np.minimum(n, sizes[ids]) >= percent * np.maximum(n, sizes[ids]))
+            if not near.any():
+                continue
+            w = min(width, len(mine))
+            if (width, w) not in folded:
+                folded[width, w] = fold(stack, w)
+            bound = np.minimum(folded[width, w][near], fold(mine, w)).sum(axis=1)
+            ok = ids[near][bound >= -(-percent * (n + sizes[ids[near]]) // (100 + percent))]
+            if len(ok):
+                out[q] = True
+                out[ok] = True
+    return out
+
+
 def leading(s: np.ndarray, common: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     """The first n - ceil(t n) + 1 shingles: rare ones by hash, then common ones by count and hash."""
     p = len(s) - -(-percent * len(s) // 100) + 1
@@ -106,7 +150,7 @@ def common_shingles(docs: DataFrame, size: int, sample: int) -> tuple[np.ndarray
 
 
 def described(docs: DataFrame, size: int, percent: int, sample: int) -> DataFrame:
-    """doc_id, n (set size), sig (16 bytes) and the leading shingles of each row."""
+    """doc_id, n (set size), sig (16 bytes), the leading shingles and the profile of each row."""
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size, sample))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,16 +158,17 @@ def described(docs: DataFrame, size: int, percent: int, sample: int) -> DataFram
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                n, sig, lead = [], [], []
+                n, sig, lead, outline = [], [], [], []
                 for s in sets_of(part.column(1), size):
                     n.append(len(s))
                     sig.append(signature(s))
+                    outline.append(profile(s))
                     lead.append(leading(s, common, counts, percent).view(np.int64) if len(s) else s.view(np.int64))
                 offsets = np.r_[0, np.cumsum([len(x) for x in lead])].astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lead), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), tokens], names=["doc_id", "n", "sig", "lead"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), tokens, pa.array(outline, pa.binary())], names=["doc_id", "n", "sig", "lead", "profile"])
 
-    return written(docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, sig binary, lead array<long>"), "shingles")
+    return written(docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, sig binary, lead array<long>, profile binary"), "shingles")
 
 
 def can_link(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, percent: int) -> np.ndarray:
@@ -306,26 +351,63 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def links_of(jobs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) of signatures found in each pair of blocks of ``jobs`` (b1, b2); ``sets`` are (block, sig, shingles)."""
+def by_job(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[list]]]:
+    """(b1, b2) and the other columns, as lists, of rows sorted by b1 and b2; repeated rows of a signature count once."""
+    key, columns = None, []
+    for batch in batches:
+        for b1, b2, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (b1, b2) != key:
+                if key is not None:
+                    yield key, columns
+                key, columns = (b1, b2), [[] for _ in row]
+            if not columns[0] or row[:2] != [columns[0][-1], columns[1][-1]]:
+                for column, x in zip(columns, row, strict=True):
+                    column.append(x)
+    if key is not None:
+        yield key, columns
+
+
+def sides_of(key: tuple, blocks: list) -> tuple[list[int], list[int]]:
+    """Queries and indexed rows of a job: the smaller block against the larger, or a block against itself."""
+    if key[0] == key[1]:
+        every = list(range(len(blocks)))
+        return every, every
+    one, two = ([i for i, b in enumerate(blocks) if b == k] for k in key)
+    return (two, one) if len(two) <= len(one) else (one, two)
+
+
+def dealt_by_job(rows: DataFrame) -> DataFrame:
+    return rows.repartition(width(rows.sparkSession), "b1", "b2").sortWithinPartitions("b1", "b2", "block", "sig")
+
+
+def survivors(jobs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(b1, b2, block, sig) of the classes (block, sig, n, profile) that may link within a job, by their profiles."""
     sides = jobs.select("b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block"))
-    rows = sides.join(sets.hint("merge"), "block").select("b1", "b2", "block", "sig", "shingles")
-    rows = rows.repartition(width(rows.sparkSession), "b1", "b2").sortWithinPartitions("b1", "b2", "block", "sig")
-
-    def solve(key: tuple, blocks: list, sigs: list, sets: list) -> list[tuple[bytes, bytes]]:
-        groups = Groups(len(sigs))
-        if key[0] == key[1]:
-            every = list(range(len(sigs)))
-            divide_skip(sets, every, every, percent, groups)
-        else:
-            one, two = ([i for i, b in enumerate(blocks) if b == k] for k in key)
-            if len(two) > len(one):
-                one, two = two, one
-            divide_skip(sets, two, one, percent, groups)
-        return [(sigs[i], sigs[groups.root(i)]) for i in range(len(sigs)) if groups.root(i) != i]
+    rows = sides.join(classes.select("block", "sig", "n", "profile").hint("merge"), "block").select("b1", "b2", "block", "sig", "n", "profile")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def full(limit: int) -> Iterator[pa.RecordBatch]:
+            if len(held) > limit:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in held], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["b1", "b2", "block", "sig"])
+                held.clear()
+
+        for key, (blocks, sigs, sizes, outlines) in by_job(batches):
+            queries, indexed = sides_of(key, blocks)
+            keep = may_link([np.frombuffer(o, np.uint8) for o in outlines], np.array(sizes), queries, indexed, percent)
+            held += [(*key, blocks[i], sigs[i]) for i in np.flatnonzero(keep).tolist()]
+            yield from full(5000)
+        yield from full(0)
+
+    return dealt_by_job(rows).mapInArrow(run, "b1 long, b2 long, block long, sig binary")
+
+
+def links_of(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) of signatures found in each job; ``rows`` are (b1, b2, block, sig), ``sets`` (sig, shingles)."""
+    rows = rows.join(sets.hint("merge"), "sig").select("b1", "b2", "block", "sig", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, blocks, sigs, sets = None, [], [], []
         links: list[tuple[bytes, bytes]] = []
 
         def full(limit: int) -> Iterator[pa.RecordBatch]:
@@ -333,22 +415,15 @@ def links_of(jobs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["u", "v"])
                 links.clear()
 
-        for batch in batches:
-            for b1, b2, block, sig, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (b1, b2) != key:
-                    if key is not None:
-                        links += solve(key, blocks, sigs, sets)
-                        yield from full(5000)
-                    key, blocks, sigs, sets = (b1, b2), [], [], []
-                if not sigs or sig != sigs[-1] or block != blocks[-1]:
-                    blocks.append(block)
-                    sigs.append(sig)
-                    sets.append(np.frombuffer(packed, _U))
-        if key is not None:
-            links += solve(key, blocks, sigs, sets)
+        for key, (blocks, sigs, packed) in by_job(batches):
+            groups = Groups(len(sigs))
+            queries, indexed = sides_of(key, blocks)
+            divide_skip([np.frombuffer(p, _U) for p in packed], queries, indexed, percent, groups)
+            links += [(sigs[i], sigs[groups.root(i)]) for i in range(len(sigs)) if groups.root(i) != i]
+            yield from full(5000)
         yield from full(0)
 
-    return rows.mapInArrow(run, "u binary, v binary")
+    return dealt_by_job(rows).mapInArrow(run, "u binary, v binary")
 
 
 def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85, sample: int = SAMPLE_DOCS) -> DataFrame:
@@ -362,16 +437,16 @@ def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85, sample: in
     low = -(1 << 63)
     docs = docs.select(F.coalesce("doc_id", F.lit(low)).alias("doc_id"), "text")
     rows = described(docs, size, percent, sample)
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("lead").alias("lead"))
+    classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("profile").alias("profile"))
     # hot first shingles: how many blocks their classes go to
     hot = classes.groupBy(F.element_at("lead", 1).alias("head")).count().where(F.col("count") > BLOCK)
     head = F.element_at("lead", 1)
     classes = classes.join(hot.hint("merge"), head == hot["head"], "left")
     part = F.pmod(F.xxhash64("sig"), F.ceil(F.coalesce("count", F.lit(1)) / BLOCK))
-    classes = written(classes.select("sig", "rep", "n", "lead", F.xxhash64(head, part).alias("block")), "classes")
+    classes = written(classes.select("sig", "rep", "n", "lead", "profile", F.xxhash64(head, part).alias("block")), "classes")
     jobs = written(block_pairs(classes.select("block", "n", F.posexplode("lead").alias("place", "token")), percent), "block-pairs")
-    needed = jobs.select(F.explode(F.array("b1", "b2")).alias("block")).distinct()
-    wanted = classes.select("sig", "rep", "block").join(needed.hint("merge"), "block")
+    left = written(survivors(jobs, classes, percent), "survivors")
+    wanted = classes.select("sig", "rep").join(left.select("sig").distinct().hint("merge"), "sig")
 
     # texts of the classes wanted: first by a table of hashed ids that has BUCKETS rows at most, and so may be broadcast
     def bucket(c):
@@ -379,18 +454,18 @@ def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85, sample: in
 
     buckets = wanted.select(bucket("rep").alias("bucket")).distinct()
     few = docs.join(F.broadcast(buckets), bucket("doc_id") == F.col("bucket"), "left_semi")
-    texts = few.join(wanted.hint("merge"), F.col("doc_id") == F.col("rep")).select("block", "sig", "text")
+    texts = few.join(wanted.hint("merge"), F.col("doc_id") == F.col("rep")).select("sig", "text")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                sets = list(sets_of(part.column(2), size))
-                own = [i for i, (s, sig) in enumerate(zip(sets, part.column(1).to_pylist(), strict=True)) if signature(s) == sig]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), part.column(1).take(pa.array(own, pa.int64())), pa.array([sets[i].tobytes() for i in own], pa.binary())], names=["block", "sig", "shingles"])
+                sets = list(sets_of(part.column(1), size))
+                own = [i for i, (s, sig) in enumerate(zip(sets, part.column(0).to_pylist(), strict=True)) if signature(s) == sig]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), pa.array([sets[i].tobytes() for i in own], pa.binary())], names=["sig", "shingles"])
 
-    sets = written(texts.mapInArrow(packed, "block long, sig binary, shingles binary"), "sets")
-    roots = components(links_of(jobs, sets, percent))
+    sets = written(texts.mapInArrow(packed, "sig binary, shingles binary"), "sets")
+    roots = components(links_of(left, sets, percent))
     # the least id of each class, then of each component; only linked classes are in ``roots``
     least = roots.join(classes.select("sig", "rep"), roots["node"] == F.col("sig")).groupBy("root").agg(F.min("rep").alias("least"))
     linked = roots.join(least, "root").select(F.col("node").alias("sig"), "least")
