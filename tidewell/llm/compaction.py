@@ -162,7 +162,7 @@ def op6_compaction(spark, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     store = ShardStore(spark, shared_dir(spark, "shards"), docs.schema)
-    store.append_each(docs.withColumn("arrival", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ARRIVALS))), "arrival")
+    store.append_each(docs.withColumn("__batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ARRIVALS))), "__batch")
     return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 

@@ -106,7 +106,7 @@ def read_records(stream, size: int = READ_BYTES) -> Iterator[tuple[dict[str, str
 
 
 def _inflated(stream, size: int) -> Iterator[bytes]:
-    raw = stream.read(size)
+    raw = stream.read(max(2, size))
     if raw[:2] != b"\x1f\x8b":
         while raw:
             yield raw
