@@ -5,9 +5,10 @@ class that is to link with another of Jaccard similarity t needs a common shingl
 n - ceil(t n) + 1 ones in any fixed order of shingles. The order puts shingles that recur in a bounded sample
 of documents last, so few classes meet; the sample changes the work, never the result.
 
-Classes are dealt into blocks by their first shingle, at most about BLOCK classes each. Inverted lists of the
-leading shingles tell which pairs of blocks hold classes that can link, after filters by size and by place. Only
-these pairs of blocks are joined: first by profiles (how many of a set's shingles lie in each of some equal
+Inverted lists of the leading shingles tell which classes can link, after filters by size and by place. A list of
+up to LONG_RUN classes gives pairs of classes. Those of a longer one, mostly near copies of each other, are dealt
+into blocks by the least hash of their whole sets, at most about BLOCK classes each, and give pairs of blocks, so
+a large group costs no rows per pair. The jobs (pairs of classes or of blocks) are joined: first by profiles (how many of a set's shingles lie in each of some equal
 ranges of hashes), whose common part bounds the overlap from above and rules out nearly all false pairs; then by
 the sets of what is left. There DivideSkip answers each query: short inverted lists are merged and
 counted, the long ones are probed by binary search for the candidates that are left, and those that reach
@@ -30,8 +31,8 @@ from .common import find_words, lower_table, mix, row_blocks, span_hashes, text_
 from .components import components
 
 BLOCK = 128
-SAMPLE_DOCS = 10_000
-LONG_RUN = 1024
+SAMPLE_DOCS = 40_000
+LONG_RUN = 24
 BUCKETS = 1 << 20
 _U = np.uint64
 _LOWER = lower_table()
@@ -150,7 +151,7 @@ def common_shingles(docs: DataFrame, size: int, sample: int) -> tuple[np.ndarray
 
 
 def described(docs: DataFrame, size: int, percent: int, sample: int) -> DataFrame:
-    """doc_id, n (set size), sig (16 bytes), the leading shingles and the profile of each row."""
+    """doc_id, n (set size), sig (16 bytes), the leading shingles, the profile and the least shingle of each row."""
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size, sample))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,17 +159,18 @@ def described(docs: DataFrame, size: int, percent: int, sample: int) -> DataFram
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                n, sig, lead, outline = [], [], [], []
+                n, sig, lead, outline, head = [], [], [], [], []
                 for s in sets_of(part.column(1), size):
                     n.append(len(s))
                     sig.append(signature(s))
                     outline.append(profile(s))
+                    head.append(int(s[:1].view(np.int64)[0]) if len(s) else None)
                     lead.append(leading(s, common, counts, percent).view(np.int64) if len(s) else s.view(np.int64))
                 offsets = np.r_[0, np.cumsum([len(x) for x in lead])].astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lead), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), tokens, pa.array(outline, pa.binary())], names=["doc_id", "n", "sig", "lead", "profile"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), tokens, pa.array(outline, pa.binary()), pa.array(head, pa.int64())], names=["doc_id", "n", "sig", "lead", "profile", "head"])
 
-    return written(docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, sig binary, lead array<long>, profile binary"), "shingles")
+    return written(docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, sig binary, lead array<long>, profile binary, head long"), "shingles")
 
 
 def can_link(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, percent: int) -> np.ndarray:
@@ -178,7 +180,7 @@ def can_link(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, per
 
 
 class BlockPairs:
-    """Pairs of blocks from runs of rows (token, block, n, place) sorted by token."""
+    """Jobs from runs of rows (token, own, block, n, place) sorted by token."""
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -193,42 +195,47 @@ class BlockPairs:
         self.found = []
         return out
 
-    def short(self, block: np.ndarray, n: np.ndarray, place: np.ndarray, begin: np.ndarray, length: np.ndarray) -> Iterator[None]:
+    def short(self, own: np.ndarray, n: np.ndarray, place: np.ndarray, begin: np.ndarray, length: np.ndarray) -> Iterator[None]:
         """Runs of LONG_RUN rows at most, those of one length together."""
         for m in np.unique(length[length > 1]).tolist():
             i, j = np.triu_indices(m, 1)
             runs = begin[length == m]
-            step = max(1, 2_000_000 // len(i))
+            step = max(1, 1_000_000 // len(i))
             for a in range(0, len(runs), step):
                 x, y = (runs[a : a + step, None] + i).ravel(), (runs[a : a + step, None] + j).ravel()
                 ok = can_link(n[x], place[x], n[y], place[y], self.percent)
-                self.add(block[x[ok]], block[y[ok]])
+                self.add(own[x[ok]], own[y[ok]])
                 yield
 
-    def long(self, block: np.ndarray, least: np.ndarray, most: np.ndarray) -> Iterator[None]:
-        """A long run by its blocks and the sizes in each: pairs whose sizes are near enough."""
+    def long(self, block: np.ndarray, least: np.ndarray, most: np.ndarray, rows: np.ndarray) -> Iterator[None]:
+        """A long run by its blocks, the sizes in each and its rows: pairs whose sizes are near enough."""
         for a in range(0, len(block), 256):
             near = (100 * most[a : a + 256, None] >= self.percent * least) & (100 * most >= self.percent * least[a : a + 256, None])
             x, y = np.nonzero(near)
-            self.add(block[a + x], block[y])
+            x += a
+            keep = (x < y) | ((x == y) & (rows[x] > 1))
+            self.add(block[x[keep]], block[y[keep]])
             yield
 
 
-def squeezed(block: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def squeezed(block: np.ndarray, least: np.ndarray, most: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.argsort(block, kind="stable")
-    block, least, most = block[order], least[order], most[order]
+    block, least, most, rows = block[order], least[order], most[order], rows[order]
     first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-    return block[first], np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)
+    return block[first], np.minimum.reduceat(least, first), np.maximum.reduceat(most, first), np.add.reduceat(rows, first)
 
 
 def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(b1, b2), b1 <= b2, of blocks with classes that can link; ``rows`` are (token, block, n, place)."""
+    """Jobs (b1, b2), b1 <= b2: classes or blocks that can hold links; ``rows`` are (token, own, block, n, place).
+
+    A run is read in pieces: once it is long, only its blocks are kept of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = BlockPairs(percent)
         none = np.zeros(0, np.int64)
-        held = [none] * 4  # the last run so far, if short
-        big = None  # its token, and blocks with least and most sizes, if long
+        held = [none] * 5  # the last run so far, if short
+        big = None  # its token, and its blocks, if long
 
         def out(limit: int) -> Iterator[pa.RecordBatch]:
             if sum(map(len, pairs.found)) > limit and len(p := pairs.take()):
@@ -236,40 +243,41 @@ def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
         def finish_big() -> Iterator[pa.RecordBatch]:
             for _ in pairs.long(*big[1]):
-                yield from out(200_000)
+                yield from out(500_000)
 
-        for batch in (*batches, None):
+        def every():
+            yield from batches
+            yield None
+
+        for batch in every():
             if batch is not None:
                 held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
-            token, block, n, place = held
-            if not len(token):
-                continue
-            begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            token, own, block, n, place = held
+            begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else none
             length = np.diff(np.r_[begin, len(token)])
             if big is not None:
-                if token[0] == big[0]:
+                if len(token) and token[0] == big[0]:
                     k = length[0]
-                    big = (big[0], squeezed(*(np.concatenate(x) for x in zip(big[1], (block[:k], n[:k], n[:k]), strict=True))))
+                    big = (big[0], squeezed(*(np.concatenate(x) for x in zip(big[1], (block[:k], n[:k], n[:k], np.ones(k, np.int64)), strict=True))))
                     begin, length = begin[1:], length[1:]
                 if len(begin) or batch is None:
                     yield from finish_big()
                     big = None
+            keep = len(token)
             if len(begin) and batch is not None and length[-1] <= LONG_RUN:  # it may go on
-                keep, begin, length = begin[-1], begin[:-1], length[:-1]
-            else:
-                keep = len(token)
+                keep, begin, length = int(begin[-1]), begin[:-1], length[:-1]
             for a, m in zip(begin[length > LONG_RUN].tolist(), length[length > LONG_RUN].tolist(), strict=True):
-                big = (token[a], squeezed(block[a : a + m], n[a : a + m], n[a : a + m]))
+                big = (token[a], squeezed(block[a : a + m], n[a : a + m], n[a : a + m], np.ones(m, np.int64)))
                 if a + m < len(token) or batch is None:
                     yield from finish_big()
                     big = None
             small = length <= LONG_RUN
-            for _ in pairs.short(block, n, place, begin[small], length[small]):
-                yield from out(200_000)
+            for _ in pairs.short(own, n, place, begin[small], length[small]):
+                yield from out(500_000)
             held = [h[keep:] for h in held]
         yield from out(0)
 
-    return rows.repartition(width(rows.sparkSession), "token").sortWithinPartitions("token").select("token", "block", "n", "place").mapInArrow(run, "b1 long, b2 long").distinct()
+    return rows.repartition(width(rows.sparkSession), "token").sortWithinPartitions("token").select("token", "own", "block", "n", "place").mapInArrow(run, "b1 long, b2 long").distinct()
 
 
 class Groups:
@@ -437,15 +445,15 @@ def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85, sample: in
     low = -(1 << 63)
     docs = docs.select(F.coalesce("doc_id", F.lit(low)).alias("doc_id"), "text")
     rows = described(docs, size, percent, sample)
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("profile").alias("profile"))
-    # hot first shingles: how many blocks their classes go to
-    hot = classes.groupBy(F.element_at("lead", 1).alias("head")).count().where(F.col("count") > BLOCK)
-    head = F.element_at("lead", 1)
-    classes = classes.join(hot.hint("merge"), head == hot["head"], "left")
+    classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "lead", "profile", "head")])
+    # hot least shingles: how many blocks their classes go to
+    hot = rows.where("n > 0").select("head", "sig").distinct().groupBy("head").count().where(F.col("count") > BLOCK)
+    classes = classes.join(hot.hint("merge"), "head", "left")
     part = F.pmod(F.xxhash64("sig"), F.ceil(F.coalesce("count", F.lit(1)) / BLOCK))
-    classes = written(classes.select("sig", "rep", "n", "lead", "profile", F.xxhash64(head, part).alias("block")), "classes")
-    jobs = written(block_pairs(classes.select("block", "n", F.posexplode("lead").alias("place", "token")), percent), "block-pairs")
-    left = written(survivors(jobs, classes, percent), "survivors")
+    classes = written(classes.select("sig", "rep", "n", "lead", "profile", F.xxhash64("sig").alias("own"), F.xxhash64("head", part, F.lit("block")).alias("block")), "classes")
+    jobs = written(block_pairs(classes.select("own", "block", "n", F.posexplode("lead").alias("place", "token")), percent), "block-pairs")
+    members = classes.select("sig", "n", "profile", F.explode(F.array("own", "block")).alias("block"))
+    left = written(survivors(jobs, members, percent), "survivors")
     wanted = classes.select("sig", "rep").join(left.select("sig").distinct().hint("merge"), "sig")
 
     # texts of the classes wanted: first by a table of hashed ids that has BUCKETS rows at most, and so may be broadcast
