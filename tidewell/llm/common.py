@@ -40,7 +40,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tidewell_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made, once nothing that is still to run reads them."""
+    for df in tables:
+        spark = df.sparkSession
+        files = spark._jvm.org.apache.hadoop.fs
+        path = files.Path(df.tidewell_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def width(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _step(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,7 +29,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = written(links.select("u", "v").where("u is not null and v is not null and u != v").distinct(), "links")
     seen = None
     for _ in range(rounds):
-        edges = written(_step(_step(edges, True), False), "links")
+        before, edges = edges, written(_step(_step(edges, True), False), "links")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

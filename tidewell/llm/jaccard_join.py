@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import find_words, lower_table, mix, row_blocks, span_hashes, text_buffers, width, written
+from .common import discard, find_words, lower_table, mix, row_blocks, span_hashes, text_buffers, width, written
 from .components import components
 
 BLOCK = 128
@@ -474,6 +474,7 @@ def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85, sample: in
 
     sets = written(texts.mapInArrow(packed, "sig binary, shingles binary"), "sets")
     roots = components(links_of(left, sets, percent))
+    discard(jobs, left, sets)
     # the least id of each class, then of each component; only linked classes are in ``roots``
     least = roots.join(classes.select("sig", "rep"), roots["node"] == F.col("sig")).groupBy("root").agg(F.min("rep").alias("least"))
     linked = roots.join(least, "root").select(F.col("node").alias("sig"), "least")

@@ -25,6 +25,7 @@ from .common import crc_mod
 
 _U4 = np.uint32
 BLOCK_CHARS = 1 << 18
+SPAN = 4096  # of a training text
 
 
 @dataclass(frozen=True)
@@ -165,13 +166,15 @@ def predict(model: LanguageModel, texts: list[str]) -> tuple[list[str], list[flo
 
 
 def sample_rows(docs: DataFrame, lang_col: str, per_lang: int) -> list[tuple[str, str]]:
-    """At most about ``per_lang`` rows of each language, chosen by a hash of the id: rows over the bound are left out on the driver, in hash order."""
+    """At most ``per_lang`` rows of each language, chosen by a hash of the id; of each a span of at most SPAN characters, from a place the hash tells."""
     sizes = {r[0]: r[1] for r in docs.where(F.col(lang_col).isNotNull()).groupBy(lang_col).count().collect()}
     if not sizes:
         return []
     h = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30))
     rate = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, (per_lang + 3 * math.sqrt(per_lang)) / n) * (1 << 30))])
-    rows = docs.where(F.col("text").isNotNull() & F.col(lang_col).isNotNull() & (h < rate[F.col(lang_col)])).select("text", F.col(lang_col).alias("lang"), h.alias("h")).collect()
+    start = F.lit(1) + F.pmod(h, F.greatest(F.lit(1), F.length("text") - SPAN + 1))
+    span = F.col("text").substr(start.cast("int"), F.lit(SPAN)).alias("text")
+    rows = docs.where(F.col("text").isNotNull() & F.col(lang_col).isNotNull() & (h < rate[F.col(lang_col)])).select(span, F.col(lang_col).alias("lang"), h.alias("h")).collect()
     out: list[tuple[str, str]] = []
     for lang in sorted(sizes):
         mine = sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["h"], r["text"]))[:per_lang]
