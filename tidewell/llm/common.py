@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _U = np.uint64
 #: An odd multiplier for the polynomial word hash, and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15

@@ -23,6 +23,7 @@ from .common import find_words, lower_table, row_blocks, span_hashes, text_buffe
 
 WINDOW = 13
 SAMPLE = 8
+SHARD_BYTES = 2 << 20
 BENCHMARK_BYTES = 32 << 20  # of benchmark text broadcast at once; more goes in further passes
 _LOWER = lower_table()
 #: A word byte of lower-cased text: a digit, a small letter, or any byte of a character beyond ASCII.
@@ -224,7 +225,7 @@ def _searcher(held, k: int, width: int):
             raw, off = text_buffers(batch.column(k))
             old_spans, old_items = batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist()
             n_words = np.zeros(batch.num_rows, np.int64)
-            for a, b in row_blocks(off):
+            for a, b in row_blocks(off, SHARD_BYTES):
                 counts, row, start, length, which = search_shard(w, raw, off[a : b + 1])
                 n_words[a:b] = counts
                 if not len(row):

@@ -35,7 +35,7 @@ def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     a = 0
     while a < n:
         b, size = a + 1, len(texts[a])
-        while b < n and size + len(texts[b]) < BLOCK_BYTES // 4:
+        while b < n and size + len(texts[b]) < BLOCK_BYTES // 2:
             size += len(texts[b]) + 1
             b += 1
         lanes[a:b], exact[a:b] = _vectors(texts[a:b]) if size <= BLOCK_BYTES else _long(texts[a])
@@ -48,7 +48,7 @@ def _long(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     lanes, exact = np.zeros((1, LANES), np.int16), np.zeros((1, EXACT), _U)
     a = 0
     while a <= len(text):
-        b = text.find(b"\n", min(len(text), a + BLOCK_BYTES // 4))
+        b = text.find(b"\n", min(len(text), a + BLOCK_BYTES // 2))
         b = len(text) if b < 0 else b
         l, e = _vectors([text[a:b]])
         lanes += l

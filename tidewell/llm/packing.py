@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from .common import lower_table, row_blocks, span_hashes, text_buffers
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
