@@ -307,6 +307,36 @@ def test_license_model_knows_each_template():
             assert m.classes[int(z.argmax())] == family
 
 
+def test_licenses_in_bodies_headers_and_longer_paragraphs(spark):
+    bodies, filler = license_scan.BODIES, " ".join(f"word{i} and then" for i in range(60))
+    cases = [
+        (bodies["MIT"][0], ["MIT"]),
+        ("Copyright (c) 2020 Jane Doe. Released under the MIT License.", ["MIT"]),
+        ("This project is licensed under the MIT License - see the LICENSE.md file for details.", ["MIT"]),
+        (" ".join(bodies["Apache-2.0"][:2]), ["Apache-2.0"]),
+        (bodies["GPL-3.0"][0], ["GPL-3.0"]),
+        (bodies["GPL-2.0"][0].replace("free software:", "free software;"), ["GPL-2.0"]),
+        (bodies["LGPL"][0], ["LGPL"]),
+        (bodies["AGPL-3.0"][0], ["AGPL-3.0"]),
+        (f"{filler}. Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
+        (f"{filler}. Licensed under CC BY-NC 4.0. {filler}", ["CC-BY-NC"]),
+        ("// SPDX-License-Identifier: MIT", ["MIT"]),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0"]),
+        ("Code is licensed under the MIT license, texts are licensed under CC BY 4.0.", ["CC-BY", "MIT"]),
+        ("\n".join(bodies["BSD"]), ["BSD-2-Clause"]),
+        ("\n".join([*bodies["BSD"], *bodies["BSD-3-Clause"]]), ["BSD-3-Clause"]),
+        (bodies["BSD"][0], ["BSD"]),
+        (bodies["ISC"][0], ["ISC"]),
+        ("Released under the MIT licence.", ["MIT"]),
+        (f"{filler}. Please renew your driver license before it ends. {filler}", ["unknown"]),
+        ("All rights reserved, no license is given, and permission must be asked of the general public.", ["unknown"]),
+        ("mit der license hat das nichts zu tun, version 2 of the software", ["unknown"]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: sorted({p.family for p in r.paragraphs}) for r in license_scan.scan_licenses(df).collect()}
+    assert {i: (cases[i][0][:80], f) for i, f in got.items() if f != cases[i][1]} == {}
+
+
 # --- op8 -------------------------------------------------------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -1,10 +1,10 @@
 """License scans: a sparse word n-gram logistic regression over paragraphs, in DataFrame expressions.
 
 The model is trained on the driver, on notices made from the templates below and on other text that shares
-their words; L1 shrinkage leaves few n-grams. Only a paragraph with an anchor word (each template has one, other
+their words; L1 shrinkage leaves few n-grams. Only a paragraph with an anchor (each template has one, other
 texts seldom do) is scored. Scores are calibrated with
-one temperature, the class ``unknown`` among them. A predicted family counts only if the paragraph is also
-near one of its templates.
+one temperature, the class ``unknown`` among them. A family counts only if the paragraph also contains enough of
+one of its templates, wherever in it, and meets the family's pattern.
 """
 
 from __future__ import annotations
@@ -41,20 +41,94 @@ OTHERS = [
     "Version 2.0 of the file.", "Creative writing for the common people.", "The software is sold under a commercial license.", "Licensed under the Example Proprietary License, version 7.",
     "Permission is granted to park here free of charge.", "You may not use this file.", "The source code of the program.", "International attribution of the work.", "Copyright by the author.",
 ]
+# What a licence is called in notices, with its SPDX name first. BSD is told apart by the document.
+NAMES = {
+    "AGPL-3.0": ["AGPL-3.0", "GNU Affero General Public License", "AGPL v3", "AGPLv3"],
+    "Apache-2.0": ["Apache-2.0", "Apache License, Version 2.0", "Apache License 2.0", "Apache Software License 2.0"],
+    "BSD": ["BSD", "BSD License"],
+    "BSD-2-Clause": ["BSD-2-Clause", "2-Clause BSD License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD-3-Clause", "3-Clause BSD License", "New BSD License", "Modified BSD License"],
+    "CC-BY": ["CC-BY-4.0", "Creative Commons Attribution License"],
+    "CC-BY-NC": ["CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial License", "Creative Commons Attribution Non-Commercial License"],
+    "CC-BY-SA": ["CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike License", "Creative Commons Attribution Share-Alike License"],
+    "CC0": ["CC0-1.0", "CC0 1.0 Universal"],
+    "GPL-2.0": ["GPL-2.0", "GNU General Public License v2", "GPLv2", "GPL version 2"],
+    "GPL-3.0": ["GPL-3.0", "GNU General Public License v3", "GPLv3", "GPL version 3"],
+    "ISC": ["ISC", "ISC License"],
+    "LGPL": ["LGPL-2.1", "LGPL-3.0", "GNU Lesser General Public License", "GNU Library General Public License", "LGPL"],
+    "MIT": ["MIT", "MIT License"],
+    "MPL-2.0": ["MPL-2.0", "Mozilla Public License, version 2.0"],
+}
+FORMS = ["SPDX-License-Identifier: {}", "Licensed under the {}", "Licensed under {}", "Released under the {}", "Distributed under the terms of the {}", "available under the {} license", "License: {}"]
+_GNU = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+# Paragraphs of licence bodies and headers.
+BODIES = {
+    "AGPL-3.0": [_GNU.format("program", "Affero ", "3"), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "Apache-2.0": [
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+        "Apache License Version 2.0, January 2004", "http://www.apache.org/licenses/LICENSE-2.0",
+    ],
+    "BSD": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    ],
+    "BSD-3-Clause": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "CC0": ["The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law."],
+    "GPL-2.0": [_GNU.format("program", "", "2"), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "GPL-3.0": [_GNU.format("program", "", "3"), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    ],
+    "LGPL": [_GNU.format("library", "Lesser ", "2.1"), _GNU.format("library", "Lesser ", "3"), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "MIT": [
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+        "The MIT License (MIT)",
+    ],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "Mozilla Public License Version 2.0"],
+}
+for _family, _names in NAMES.items():
+    TEMPLATES[_family] = list(dict.fromkeys([*TEMPLATES.get(_family, []), *BODIES.get(_family, []), *(f.format(n) for n in _names for f in FORMS)]))
+# What a paragraph of a family has in its words, by a pattern; it tells versions and variants apart.
+MUSTS = {
+    "AGPL-3.0": r"\b(affero general public license|agpl(v3)?)\b",
+    "Apache-2.0": r"\bapache (org licenses )?(software )?(license )?(version |v )?v?2\b|\bunless required by applicable law or agreed to in writing software distributed under the license\b",
+    "BSD": r"\bredistributions? (and use in source|(of|in) (source|binary))|\bthis software is provided by the\b|\b(under( the)?( terms of the)?|identifier|license) bsd( license)?\b(?! (2|3|style|two|three))",
+    "BSD-2-Clause": r"\b(bsd (2|two) clause|(2|two) clause bsd|simplified bsd)\b",
+    "BSD-3-Clause": r"\b(bsd (3|three) clause|(3|three) clause bsd|(new|modified|revised) bsd|bsd style)\b|\bneither the names? of\b",
+    "CC-BY": r"\b(cc by|creative commons attribution)\b(?! (nc|sa|nd|non|share|no))",
+    "CC-BY-NC": r"\b(cc by nc|creative commons attribution non ?commercial)\b(?! (sa|nd|share|no))",
+    "CC-BY-SA": r"\b(cc by sa|creative commons attribution share ?alike)\b",
+    "CC0": r"\bcc0\b|\bassociated a work with this deed\b",
+    "GPL-2.0": r"(?<!lesser )(?<!affero )(?<!library )\b(general public license|gpl)( [a-z]+){0,9}? v?2\b|\bgplv2\b",
+    "GPL-3.0": r"(?<!lesser )(?<!affero )(?<!library )\b(general public license|gpl)( [a-z]+){0,9}? v?3\b|\bgplv3\b",
+    "ISC": r"\bisc license|\b(under( the)?( terms of the)?|identifier|license) isc\b|\bpermission to use copy modify and (or )?distribute this software\b|\bis provided as is and the authors? disclaims?\b",
+    "LGPL": r"\b((lesser|library) general public license|lgpl(v2|v3)?)\b",
+    "MIT": r"\bmit license|\b(under( the)?( terms of the)?|identifier|license) mit\b|\bpermission is hereby granted free of charge\b|\bthe above copyright notice and this permission notice shall\b|\bsoftware is provided as is without warranty of any kind\b",
+    "MPL-2.0": r"\b(mozilla public license|mpl) (version |v )?v?2\b",
+}
 # Words of the templates that few other texts use.
-ANCHORS = ["agpl", "cc0", "commons", "copyright", "gnu", "gpl", "lgpl", "licence", "licenced", "license", "licensed", "mozilla", "permission"]
+ANCHORS = [
+    "agpl", "cc0", "commons", "copyright", "disclaimed", "gnu", "gpl", "lgpl", "licence", "licenced", "licences", "license", "licensed", "licenses", "merchantability", "mozilla", "noninfringement",
+    "permission", "redistribution", "redistributions", "spdx", "warranties", "warranty", "agplv3", "gplv2", "gplv3", "mpl", "bsd", "apache", "under mit", "under the mit", "under isc", "under the isc", "under cc", "cc by", "of the mit", "of the isc",
+]
 UNKNOWN = "unknown"
 
 
 def words(text: str) -> list[str]:
     import re
 
-    return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
+    return [w.replace("licence", "license") for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
 
 
 def word_ngrams(text: str, longest: int = 3) -> set[str]:
     w = words(text)
-    if not set(ANCHORS).intersection(w):
+    if not any(f" {a} " in f" {' '.join(w)} " for a in ANCHORS):
         return set()
     return {" ".join(w[i : i + n]) for n in range(1, longest + 1) for i in range(len(w) - n + 1)}
 
@@ -74,7 +148,7 @@ def trained(copies: int = 30, l1: float = 0.002, rate: float = 0.5, rounds: int
     rows: list[tuple[set[str], int]] = []
     for y, name in enumerate(classes):
         for text in OTHERS if name == UNKNOWN else TEMPLATES[name]:
-            for c in range(copies // (2 if name == UNKNOWN else 1)):
+            for c in range(copies // 2 if name == UNKNOWN else max(4, 2 * copies // len(TEMPLATES[name]))):
                 w = words(text)
                 if c:
                     w = [x for x in w if rng.random() > 0.04 or x in ("2", "3", "nc", "sa")]
@@ -82,8 +156,7 @@ def trained(copies: int = 30, l1: float = 0.002, rate: float = 0.5, rounds: int
                     w = pad[: len(pad) // 2] + w + pad[len(pad) // 2 :]
                 rows.append((word_ngrams(" ".join(w)), y))
     for text in [t for ts in TEMPLATES.values() for t in ts]:  # shuffled notices say nothing
-        for _ in range(4):
-            rows.append((word_ngrams(" ".join(rng.permutation(words(text)))), len(classes) - 1))
+        rows.append((word_ngrams(" ".join(rng.permutation(words(text)))), len(classes) - 1))
     grams = sorted({g for t in [*OTHERS, *(t for ts in TEMPLATES.values() for t in ts)] for g in word_ngrams(t)})
     at = {g: i for i, g in enumerate(grams)}
     x, y = np.zeros((len(rows), len(grams))), np.array([c for _, c in rows])
@@ -107,7 +180,7 @@ def trained(copies: int = 30, l1: float = 0.002, rate: float = 0.5, rounds: int
 
 
 def split_words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.filter(F.split(F.replace(F.lower(text), F.lit("licence"), F.lit("license")), "[^a-z0-9]+"), lambda w: w != "")
 
 
 def grams_of(w: Column, longest: int = 3) -> Column:
@@ -127,51 +200,76 @@ def double_array(values) -> Column:
 def scan_licenses(docs: DataFrame, least_score: float = 0.5, least_likeness: float = 0.5) -> DataFrame:
     """doc_id, n_paragraphs, paragraphs (array of number, family, score, likeness) for each row (doc_id, text).
 
-    Paragraphs are lines with a character that is not white space. One with an anchor word is scored; it is
-    listed with the best family if that is not ``unknown``, has a score of ``least_score`` and is as near as
-    ``least_likeness`` (Jaccard similarity of n-grams) to a template of its own, else as ``unknown``. A null text
+    Paragraphs are lines with a character that is not white space. One with an anchor word is scored. Its likeness
+    to a template is the part of the template's 2- and 3-grams that it has, wherever they stand in it, and the score
+    is that of the words it has of the template. It is listed once with each family whose pattern it meets, whose
+    best template has a likeness of ``least_likeness`` and a score of ``least_score``; with none, once as
+    ``unknown``. BSD paragraphs carry the number of clauses that their document tells, or none. A null text
     has no paragraphs. Rows are kept one by one, repeated ones too; other columns are ignored.
     """
     model = trained()
     # one JSON literal each, which the optimizer folds
     weights = F.from_json(F.lit(json.dumps({g: list(w) for g, w in sorted(model.weights.items())})), "map<string,array<double>>")
-    templates = F.from_json(F.lit(json.dumps({k: [sorted(word_ngrams(t)) for t in ts] for k, ts in sorted(TEMPLATES.items())})), "map<string,array<array<string>>>")
+    families = [{"family": k, "must": MUSTS[k], "templates": [sorted(word_ngrams(t)) for t in ts]} for k, ts in sorted(TEMPLATES.items())]
+    templates = F.from_json(F.lit(json.dumps(families)), "array<struct<family:string,must:string,templates:array<array<string>>>>")
+    known = F.from_json(F.lit(json.dumps(sorted({g for k in families for t in k["templates"] for g in t} | set(model.weights)))), "array<string>")
     names = F.from_json(F.lit(json.dumps(model.classes)), "array<string>")
-    holds = lambda c: functools.reduce(lambda x, y: x | y, [c.contains(a) for a in ANCHORS])
+    loose = r"\b((under|of)\W+(the\W+)?(mit|isc|cc)|cc\W+by)\b"
+    holds = lambda c: functools.reduce(lambda x, y: x | y, [c.contains(a.split(" ")[0]) for a in ANCHORS if a.split(" ")[0] not in ("under", "of", "cc")], c.rlike(loose))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
 
     def logits(grams: Column) -> Column:
-        known = F.filter(F.transform(grams, lambda g: F.try_element_at(weights, g)), lambda w: w.isNotNull())
-        return F.aggregate(known, double_array(model.bias), lambda s, w: F.zip_with(s, w, lambda a, b: a + b))
+        found = F.filter(F.transform(grams, lambda g: F.try_element_at(weights, g)), lambda w: w.isNotNull())
+        return F.aggregate(found, double_array(model.bias), lambda s, w: F.zip_with(s, w, lambda a, b: a + b))
+
+    def score_of(z: Column, top: Column) -> Column:
+        return F.exp(top - F.array_max(z)) / F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max(z)))
 
     def described(p: Column) -> Column:
-        return F.struct(p["number"].alias("number"), grams_of(split_words(p["line"])).alias("grams"))
+        w = split_words(p["line"])
+        return F.struct(p["number"].alias("number"), F.array_join(w, " ").alias("line"), F.array_intersect(grams_of(w), known).alias("grams"))
 
-    whole_anchor = f"(^|[^a-z0-9])({'|'.join(ANCHORS)})([^a-z0-9]|$)"
+    whole_anchor = f"(^|[^a-z0-9])({'|'.join(a.replace(' ', '[^a-z0-9]+') for a in ANCHORS)})([^a-z0-9]|$)"
 
     # plain substring tests leave few texts and lines to split into words
     numbered = F.transform(F.col("lines"), lambda p, i: F.struct(i.alias("number"), F.lower(p).alias("line")))
     near = F.transform(F.filter(numbered, lambda p: holds(p["line"]) & p["line"].rlike(whole_anchor)), described)
     rows = docs.select("doc_id", F.coalesce(holds(F.lower("text")), F.lit(False)).alias("any"), lines.alias("lines"))
     rows = rows.select("doc_id", F.size(F.filter("lines", lambda p: p.rlike(r"\S"))).cast("long").alias("n_paragraphs"), F.when(F.col("any"), near).alias("found"))
-    scored = F.transform("found", lambda p: F.struct(p["number"].alias("number"), p["grams"].alias("grams"), logits(p["grams"]).alias("z")))
-    rows = rows.withColumn("found", scored)
+    tells = lambda pattern: F.exists("found", lambda p: p["line"].rlike(pattern))
+    bsd = F.when(tells(r"\bneither the names? of\b"), "BSD-3-Clause").when(tells(r"\bredistributions in binary form\b"), "BSD-2-Clause").otherwise("BSD")
+    rows = rows.withColumn("bsd", bsd)
 
     def best(p: Column) -> Column:
-        top = F.array_max(p["z"])
-        return F.struct(p["number"].alias("number"), p["grams"].alias("grams"), F.element_at(names, F.array_position(p["z"], top).cast("int")).alias("family"),
-                        (1 / F.aggregate(p["z"], F.lit(0.0), lambda s, z: s + F.exp(z - top))).alias("score"))
+        """The families that meet their pattern, each with its best template's likeness and the n-grams found of it."""
+        own = F.filter(templates, lambda f: F.regexp_like(p["line"], f["must"]))
+
+        def part(t: Column) -> Column:
+            both = F.array_intersect(t, p["grams"])
+            longer = lambda a: F.size(F.filter(a, lambda g: g.contains(" ")))
+            return F.struct((longer(both) / longer(t)).alias("likeness"), both.alias("grams"))
+
+        of = F.transform(own, lambda f: F.struct(f["family"].alias("family"), F.array_max(F.transform(f["templates"], part)).alias("best")))
+        of = F.transform(of, lambda f: F.struct(f["family"].alias("family"), f["best"]["likeness"].alias("likeness"), logits(f["best"]["grams"]).alias("z")))
+        return F.struct(p["number"].alias("number"), logits(p["grams"]).alias("z"), of.alias("families"))
 
     rows = rows.withColumn("found", F.transform("found", best))
 
     def compared(p: Column) -> Column:
-        own = F.coalesce(F.try_element_at(templates, p["family"]), F.array().cast("array<array<string>>"))
-        like = F.array_max(F.transform(own, lambda t: F.size(F.array_intersect(t, p["grams"])) / F.size(F.array_union(t, p["grams"]))))
-        sure = (p["family"] != UNKNOWN) & (p["score"] >= least_score) & (like >= least_likeness)
-        return F.struct(p["number"].alias("number"), F.when(sure, p["family"]).otherwise(UNKNOWN).alias("family"), p["score"].alias("score"), F.coalesce(like, F.lit(0.0)).alias("likeness"))
+        def entry(family, score, likeness) -> Column:
+            return F.struct(p["number"].alias("number"), family.alias("family"), score.alias("score"), likeness.cast("double").alias("likeness"))
+
+        def judged(f: Column) -> Column:
+            own = F.element_at(f["z"], F.array_position(names, f["family"]).cast("int"))
+            return entry(F.when(f["family"] == "BSD", F.col("bsd")).otherwise(f["family"]), score_of(f["z"], own), f["likeness"])
+
+        every = F.transform(p["families"], judged)
+        sure = F.filter(every, lambda e: (e["score"] >= least_score) & (e["likeness"] >= least_likeness))
+        like = F.coalesce(F.array_max(F.transform(every, lambda e: e["likeness"])), F.lit(0.0))
+        return F.when(F.size(sure) > 0, sure).otherwise(F.array(entry(F.lit(UNKNOWN), score_of(p["z"], F.array_max(p["z"])), like)))
 
     kind = "array<struct<number:int,family:string,score:double,likeness:double>>"
-    return rows.select("doc_id", "n_paragraphs", F.coalesce(F.transform("found", compared), F.array()).cast(kind).alias("paragraphs"))
+    return rows.select("doc_id", "n_paragraphs", F.coalesce(F.flatten(F.transform("found", compared)), F.array()).cast(kind).alias("paragraphs"))
 
 
 def op7_licenses(spark, sf_dir: str) -> DataFrame:
@@ -179,4 +277,5 @@ def op7_licenses(spark, sf_dir: str) -> DataFrame:
 
     found = scan_licenses(table(spark, sf_dir, "documents"))
     sure = F.filter("paragraphs", lambda p: p["family"] != UNKNOWN)
-    return found.select("doc_id", "n_paragraphs", F.size("paragraphs").cast("long").alias("n_scored"), F.size(sure).cast("long").alias("n_license"), F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda p: p["family"]))), ",").alias("families"))
+    count = lambda ps: F.size(F.array_distinct(F.transform(ps, lambda p: p["number"]))).cast("long")
+    return found.select("doc_id", "n_paragraphs", count(F.col("paragraphs")).alias("n_scored"), count(sure).alias("n_license"), F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda p: p["family"]))), ",").alias("families"))
