@@ -2,13 +2,67 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import functools
+import re
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class AcceptRule:
+    """Words that decide whether two normal names are one product."""
+
+    stop: frozenset[str] = frozenset()  # generic words, which are no evidence
+    discriminators: frozenset[str] = frozenset()  # words that tell products apart where only one side has them
+    forms: tuple[str, ...] = ()  # formulations; the last one found in a name is its form
+    form_map: tuple[tuple[str, str], ...] = ()  # a form and the one it counts as
+
+
+@dataclass(frozen=True)
+class Match:
+    ok: bool
+    jaccard: float
+    dice: float
+    shared_tok: int
+    shared_sig: int
+
+
+def accepts(rule: AcceptRule, a: str, b: str) -> Match:
+    """Equal form, no differing discriminator or number, and Jaccard of significant words >= .5, bigram Dice >= .7, or two shared words with Dice >= .6."""
+    tokens = [frozenset(t for t in n.split() if len(t) >= 2 or t.isdigit()) for n in (a, b)]
+    significant = [t - rule.stop for t in tokens]
+    glued = [n.replace(" ", "") for n in (a, b)]
+    grams = [frozenset(g[i : i + 2] for i in range(len(g) - 1)) for g in glued]
+    numbers = [frozenset(t for t in n.split() if re.fullmatch(r"[\d\.]+", t)) for n in (a, b)]
+    form = re.compile("|".join(map(re.escape, sorted(rule.forms, key=len, reverse=True))) or r"(?!)")
+    last = [dict(rule.form_map).get(f[-1], f[-1]) if (f := form.findall(g)) else "" for g in glued]
+    sig, union = significant[0] & significant[1], significant[0] | significant[1]
+    jaccard = len(sig) / len(union) if union else 0.0
+    dice = round(2 * len(grams[0] & grams[1]) / (len(grams[0]) + len(grams[1])), 3) if grams[0] and grams[1] else 0.0
+    # a discriminator that both names have by characters does not differ
+    differing = any((t in glued[0]) != (t in glued[1]) for t in (significant[0] ^ significant[1]) & rule.discriminators) or numbers[0] != numbers[1]
+    near = (jaccard >= 0.5 and len(sig) >= 1) or dice >= 0.7 or (len(sig) >= 2 and dice >= 0.6)
+    return Match(last[0] == last[1] and not differing and near, jaccard, dice, len(tokens[0] & tokens[1]), len(sig))
+
+
+def pair_decisions(items: DataFrame, block: str, key: str, name: str, rule: AcceptRule) -> DataFrame:
+    """(a, b, accepted, jaccard, dice), a < b: every pair of a block's items. Decided once for each pair of different names."""
+
+    def decide(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(m.ok, m.jaccard, m.dice) for m in (accepts(rule, x or "", y or "") for x, y in zip(a, b, strict=True))], columns=["accepted", "jaccard", "dice"])
+
+    decided = F.pandas_udf(decide, "accepted boolean, jaccard double, dice double")
+    items = items.select(F.col(block).alias("block"), F.col(key).alias("key"), F.coalesce(name, F.lit("")).alias("name"))
+    names = items.select("block", "name").distinct()
+    pairs = names.select("block", F.col("name").alias("m")).join(names.select("block", F.col("name").alias("n")), "block").withColumn("d", decided("m", "n"))
+    a, b = (items.select("block", F.col("name").alias(n), F.col("key").alias(k)) for n, k in (("m", "a"), ("n", "b")))
+    return a.join(pairs, ["block", "m"]).join(b, ["block", "n"]).where("a < b").select("a", "b", "d.accepted", "d.jaccard", "d.dice")
+
+
 def mutual_best(items: DataFrame, key: str, block: Sequence[str], distance: Callable[[Callable[[str], Column], Callable[[str], Column]], Column]) -> DataFrame:
     """(a, b, d), a < b: items of a block that are each other's closest; ties go to the smaller key."""
     a, b = items.alias("a"), items.alias("b")
@@ -23,9 +77,10 @@ def mutual_best(items: DataFrame, key: str, block: Sequence[str], distance: Call
     return best.join(back, ["a", "b"]).where("a < b").select("a", "b", "d")
 
 
-def clusters(items: DataFrame, block: str, key: str, site: str, tokens: str, accept: float = 0.5) -> DataFrame:
+def clusters(items: DataFrame, block: str, key: str, site: str, tokens: str, accept: float = 0.5, rule: AcceptRule | None = None) -> DataFrame:
     """(block, key, cluster): items of different sites joined while their token sets' Jaccard similarity is ``accept`` or more
     and neither cluster has the other's site yet. Pairs are taken by falling similarity, then by key, within each block.
+    With a ``rule``, it decides instead, on the tokens as a name; more shared significant words and then higher Dice go first.
 
     The decision depends on what was joined before, so a block is resolved as one group; blocks are brands, and
     bounded by a brand's catalogue.
@@ -34,6 +89,8 @@ def clusters(items: DataFrame, block: str, key: str, site: str, tokens: str, acc
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([site, key], kind="stable").reset_index(drop=True)
         sets = [frozenset(x) for x in pdf[tokens]]
+        names = [" ".join(x) for x in pdf[tokens]]
+        decide = functools.lru_cache(maxsize=1 << 16)(functools.partial(accepts, rule))
         up = list(range(len(pdf)))
         sites = [{s} for s in pdf[site]]
 
@@ -46,7 +103,11 @@ def clusters(items: DataFrame, block: str, key: str, site: str, tokens: str, acc
         pairs = []
         for i in range(len(sets)):
             for j in range(i + 1, len(sets)):
-                if pdf[site][i] != pdf[site][j] and (sets[i] or sets[j]):
+                if pdf[site][i] != pdf[site][j] and rule:
+                    m = decide(names[i], names[j])
+                    if m.ok:
+                        pairs.append(((-m.shared_sig, -m.dice), pdf[key][i], pdf[key][j], i, j))
+                elif pdf[site][i] != pdf[site][j] and (sets[i] or sets[j]):
                     s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
                     if s >= accept:
                         pairs.append((-s, pdf[key][i], pdf[key][j], i, j))

@@ -156,6 +156,20 @@ def candidate_sentences(units: DataFrame, ref: str, text: str, rating: str, wish
     return s.withColumn("__n", n).where("__n = 1").select(ref, "sentence", "kind")
 
 
+def candidate_terms(brand: Column, name: Column, generic: Column, cap: int = 3) -> Column:
+    """Search terms of a product: brand, line and category; line and category; brand and line; the line alone without the other two.
+
+    The line is the name without generic words and the brand's own, the category its last generic word. No line, no terms.
+    """
+    words = lambda c: F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != "")
+    of_line = F.array_except(F.array_distinct(words(name)), F.array_union(generic, words(brand)))
+    line = F.nullif(F.array_join(F.filter(words(name), lambda w: F.array_contains(of_line, w)), " "), F.lit(""))
+    category = F.try_element_at(F.filter(words(name), lambda w: F.array_contains(generic, w)), F.lit(-1))
+    own = F.nullif(F.trim(F.coalesce(brand, F.lit(""))), F.lit(""))
+    shapes = F.array(F.concat(own, F.lit(" "), line, F.lit(" "), category), F.concat(line, F.lit(" "), category), F.concat(own, F.lit(" "), line), F.when(own.isNull() & category.isNull(), line))
+    return F.slice(F.array_distinct(F.array_compact(shapes)), 1, cap)
+
+
 def fingerprint(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: sha256 of the rows, in order of their rendering. For dictionaries, which fit one task."""
     line = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})

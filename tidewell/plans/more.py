@@ -10,6 +10,7 @@ from ..functions import registry as U
 from ..functions import scalars as S
 from ..operators import metrics as M
 from ..operators import trend as T
+from ..operators import text as X
 from ..operators import windows as W
 from .base import Catalog
 from .metrics import _ORDERS, _TREND, quarter_rows, trend
@@ -37,6 +38,12 @@ def _(t):
     return t.documents.join(F.broadcast(known), "source", "left").where((F.length("text") != C("n_chars")) | C("known").isNull()).select("doc_id")
 
 
+@query("sc13_identity_whole", "SELECT doc_id FROM documents WHERE length(text) <> n_chars OR source IS NULL OR source NOT IN (SELECT source FROM documents WHERE source IS NOT NULL)")
+def _(t):
+    known = t.documents.where("source is not null").select("source").distinct().withColumn("known", F.lit(True))
+    return t.documents.join(F.broadcast(known), "source", "left").where((F.length("text") != C("n_chars")) | C("known").isNull()).select("doc_id")
+
+
 @query("sc22_caption_text", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS transcript FROM conversations WHERE trim(text) <> '' GROUP BY 1")
 def _(t):
     said = F.array_sort(F.collect_list(F.struct("turn", "text")))
@@ -260,6 +267,16 @@ def _(t):
     return t.part.where("p_size > 45").select("p_partkey", F.slice(F.array_distinct(terms), 1, 2).alias("terms"))
 
 
+@query("dc20_candidate_terms", """
+WITH g AS (SELECT split_part(p_name, ' ', 2) AS term FROM part WHERE p_name LIKE '% %' GROUP BY 1 HAVING count(DISTINCT p_brand) >= 3)
+SELECT p_partkey, CASE WHEN split_part(p_name, ' ', 2) IN (SELECT term FROM g) THEN [concat(p_brand, ' ', p_name), p_name, concat(p_brand, ' ', split_part(p_name, ' ', 1))] ELSE [concat(p_brand, ' ', p_name)] END AS terms FROM part""")
+def _(t):
+    # only last words count as category words here: every brand has the others, which tell its parts apart
+    last = t.part.where(C("p_name").contains(" ")).select("p_brand", F.element_at(F.split("p_name", " "), -1).alias("term"))
+    generic = last.groupBy("term").agg(F.count_distinct("p_brand").alias("n")).where("n >= 3").agg(F.collect_list("term").alias("generic"))
+    return t.part.crossJoin(F.broadcast(generic)).select("p_partkey", X.candidate_terms(C("p_brand"), C("p_name"), C("generic")).alias("terms"))
+
+
 @query("v2_grid_violations", f"WITH {_TREND} SELECT 'closure' AS kind, quarter FROM q GROUP BY quarter HAVING abs(sum(composition) - 1) > 1e-6 UNION ALL SELECT 'range', quarter FROM q WHERE entropy > 1.000001 OR breadth > 1 OR unique_ratio > 1")
 def _(t):
     q = trend(t)

@@ -388,6 +388,14 @@ def _(t):
     return b.select("brand", F.explode(F.split("p_name", " ")).alias("short")).join(a, "short").distinct().select("short", "brand")
 
 
+@query("j29_containment_whole", """
+SELECT DISTINCT a.p_name AS short, b.p_brand AS brand FROM (SELECT DISTINCT split_part(p_name, ' ', 2) AS p_name FROM part) a JOIN (SELECT DISTINCT p_brand, p_name FROM part) b ON contains(b.p_name, a.p_name)""")
+def _(t):
+    a = t.part.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("short")).distinct()
+    b = t.part.select(C("p_brand").alias("brand"), "p_name").distinct()
+    return b.join(F.broadcast(a), C("p_name").contains(C("short"))).select("short", "brand").distinct()
+
+
 @query("j31_same_quarter_last_year", """
 WITH q AS (SELECT o_orderpriority AS topic, year(o_orderdate) AS y, quarter(o_orderdate) AS q, count(*) AS n FROM orders GROUP BY 1, 2, 3)
 SELECT a.topic, concat(a.y, 'Q', a.q) AS quarter, CASE WHEN a.n >= 5 AND b.n >= 5 THEN a.n * 1.0 / b.n - 1 END AS velocity FROM q a LEFT JOIN q b ON a.topic = b.topic AND b.y = a.y - 1 AND b.q = a.q""")

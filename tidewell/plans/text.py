@@ -152,10 +152,18 @@ def _(t):
     return s.select("doc_id", "sentence", "kind", X.polarity_udf(_RULES)("sentence").alias("p")).select("doc_id", "sentence", "kind", "p.aspect", "p.polarity", "p.reason")
 
 
+PART_RULE = L.AcceptRule(stop=frozenset({"new", "plate", "rod", "ring"}), discriminators=frozenset({"large", "small"}), forms=("plate", "rod", "widget", "gear", "gizmo", "ring", "bolt", "anvil"))
+
+
 @query("gr1_entity_clusters")
 def _(t):
     items = t.part.select("p_brand", "p_partkey", (C("p_partkey") % 3).alias("site"), S.token_set(C("p_name")).alias("tokens"))
-    return L.clusters(items, "p_brand", "p_partkey", "site", "tokens")
+    return L.clusters(items, "p_brand", "p_partkey", "site", "tokens", rule=PART_RULE)
+
+
+@query("dc6_pair_decisions")
+def _(t):
+    return L.pair_decisions(t.part, "p_brand", "p_partkey", "p_name", PART_RULE)
 
 
 @query("dc6_pair_scores", """
@@ -182,6 +190,17 @@ def _(t):
     return layers(a.union(b).distinct(), "a", "b")
 
 
+@query("gr3_edge_layers_whole", """
+WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey AS a, 100 + n_nationkey AS b FROM nation UNION SELECT DISTINCT 100 + s_nationkey, 1000 + s_suppkey FROM supplier),
+l AS (SELECT a AS node, 0 AS layer FROM e WHERE a NOT IN (SELECT b FROM e) UNION ALL SELECT b, layer + 1 FROM l JOIN e ON l.node = e.a) SELECT node, max(layer) AS layer FROM l GROUP BY 1""")
+def _(t):
+    from ..operators.graph import layers
+
+    a = t.nation.select(C("n_regionkey").cast("long").alias("a"), (C("n_nationkey") + 100).cast("long").alias("b"))
+    b = t.supplier.select((C("s_nationkey") + 100).cast("long").alias("a"), (C("s_suppkey") + 1000).alias("b"))
+    return layers(a.union(b).distinct(), "a", "b")
+
+
 @query("st1_tumbling_counts", "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H') AS slot, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def _(t):
     from ..streaming.jobs import tumbling_counts, replayed
