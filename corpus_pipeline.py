@@ -39,9 +39,19 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one with the least doc_id; of several rows of that id, one."""
-    keep = jaccard_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])
+    """Keeps of each group of linked rows one with the least doc_id (null before all others), and all rows without words.
+
+    Rows count one by one, not by doc_id: those that share an id, or have none, all stay if they aren't linked.
+    """
+    docs, _, back = apart(docs)
+    has_words = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit("/"), F.col("text"))
+    some = docs.where(has_words).withColumn("__row", F.unhex(F.md5(name.cast("binary"))))
+    groups = jaccard_groups(some, key="__row")
+    keep = groups.groupBy("component").agg(F.min(F.struct("doc_id", "__row")).alias("m")).select(F.col("m.__row").alias("__row"))
+    # rows of one id and text are copies of each other, so that one of them stays
+    one = some.join(keep.hint("merge"), "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    return back(one.unionByName(docs.where(~has_words)))
 
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

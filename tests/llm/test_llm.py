@@ -536,6 +536,23 @@ def test_pipeline_keeps_whole_rows(spark, sf, docs):
     assert {r.doc_id for r in pieces.select("doc_id").collect()} == {r.doc_id for r in left.collect()}
 
 
+def test_near_copies_are_judged_by_row(spark, sf):
+    import corpus_pipeline
+
+    texts = [" ".join(f"{k}{i}" for i in range(40)) for k in "abcdef"]
+    near = texts[0] + " end"
+    rows = [
+        (None, texts[1]), (None, texts[2]), (None, texts[2]), (None, None), (None, ""), (None, " \t"),  # no ids
+        (5, texts[0]), (9, near), (9, texts[3]), (9, texts[4]), (9, texts[4]),  # one id, of which one text copies another
+        (3, None), (3, None), (7, texts[5]), (8, texts[5]), (8, texts[1]),
+    ]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component string")
+    out = corpus_pipeline.stage_near_copies(spark, df, sf)
+    assert out.columns == df.columns
+    want = [(None, texts[1]), (None, texts[2]), (None, None), (None, ""), (None, " \t"), (5, texts[0]), (9, texts[3]), (9, texts[4]), (3, None), (3, None), (7, texts[5])]
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.text)) for r in out.collect())
+
+
 def test_pipeline_stages_with_edges(spark, sf, edges, empty):
     import corpus_pipeline
 

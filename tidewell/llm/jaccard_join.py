@@ -168,9 +168,12 @@ def described(docs: DataFrame, size: int, percent: int, sample: int) -> DataFram
                     lead.append(leading(s, common, counts, percent).view(np.int64) if len(s) else s.view(np.int64))
                 offsets = np.r_[0, np.cumsum([len(x) for x in lead])].astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lead), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), tokens, pa.array(outline, pa.binary()), pa.array(head, pa.int64())], names=["doc_id", "n", "sig", "lead", "profile", "head"])
+                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), tokens, pa.array(outline, pa.binary()), pa.array(head, pa.int64()), *part.columns[2:]]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig", "lead", "profile", "head", *kept])
 
-    return written(docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, sig binary, lead array<long>, profile binary, head long"), "shingles")
+    kept = [c for c in docs.columns if c == "key"]
+    kind = "doc_id long, n long, sig binary, lead array<long>, profile binary, head long" + "".join(f", {c} binary" for c in kept)
+    return written(docs.select("doc_id", "text", *kept).mapInArrow(describe, kind), "shingles")
 
 
 def can_link(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, percent: int) -> np.ndarray:
@@ -434,16 +437,18 @@ def links_of(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt_by_job(rows).mapInArrow(run, "u binary, v binary")
 
 
-def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85, sample: int = SAMPLE_DOCS) -> DataFrame:
+def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85, sample: int = SAMPLE_DOCS, key: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) for each row of ``docs`` (doc_id, text).
 
     Sets of ``size``-word shingles link at ``percent`` hundredths of Jaccard similarity or more. A null text, or
     one without words, has an empty set and stands alone; so component_id is its own doc_id. Repeated rows, and
     rows of one doc_id with several texts, are rows of their own, which all carry that id. A null doc_id counts
-    as less than all others and stays null. An empty table gives no row. Other columns are ignored.
+    as less than all others and stays null. An empty table gives no row. Other columns are ignored, but for a
+    binary ``key``: with it, the result has that column too, and ``component``, which is the same for rows of one
+    component and for no others, whatever their ids; it is null for an empty set.
     """
     low = -(1 << 63)
-    docs = docs.select(F.coalesce("doc_id", F.lit(low)).alias("doc_id"), "text")
+    docs = docs.select(F.coalesce("doc_id", F.lit(low)).alias("doc_id"), "text", *([F.col(key).alias("key")] if key else []))
     rows = described(docs, size, percent, sample)
     classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "lead", "profile", "head")])
     # hot least shingles: how many blocks their classes go to
@@ -477,11 +482,11 @@ def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85, sample: in
     discard(jobs, left, sets)
     # the least id of each class, then of each component; only linked classes are in ``roots``
     least = roots.join(classes.select("sig", "rep"), roots["node"] == F.col("sig")).groupBy("root").agg(F.min("rep").alias("least"))
-    linked = roots.join(least, "root").select(F.col("node").alias("sig"), "least")
-    of_class = classes.select("sig", "rep").join(linked.hint("merge"), "sig", "left").select("sig", F.coalesce("least", "rep").alias("component"))
-    out = rows.select("doc_id", "n", "sig").join(of_class.hint("merge"), "sig", "left")
+    linked = roots.join(least, "root").select(F.col("node").alias("sig"), "least", *["root"] * bool(key))
+    of_class = classes.select("sig", "rep").join(linked.hint("merge"), "sig", "left").select("sig", F.coalesce("least", "rep").alias("component"), *[F.coalesce("root", "sig").alias("root")] * bool(key))
+    out = rows.select("doc_id", "n", "sig", *["key"] * bool(key)).join(of_class.hint("merge"), "sig", "left")
     whole = lambda c: F.when(c != low, c)
-    return out.select(whole(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), whole(F.coalesce("component", "doc_id")).alias("component_id"))
+    return out.select(whole(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), whole(F.coalesce("component", "doc_id")).alias("component_id"), *([F.col("key").alias(key), F.col("root").alias("component")] if key else []))
 
 
 def op10_jaccard(spark, sf_dir: str) -> DataFrame:
