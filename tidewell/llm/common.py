@@ -6,6 +6,7 @@ Python strings, in blocks of at most ``BLOCK_BYTES``, so memory stays bounded fo
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -17,10 +18,9 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
 _U = np.uint64
-#: An odd multiplier for the polynomial word hash, and its inverse modulo 2**64.
-_BASE = 0x9E3779B97F4A7C15
-_INV = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
+LONG_SPAN = 64
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder of ``spark.checkpoint.dir``, or, where that is unset (tests), in a local one."""
+    """A fresh path in the folder of ``spark.checkpoint.dir``. Where that is unset, it is a local one in local mode (tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "tidewell-shared")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
@@ -85,17 +87,6 @@ def row_blocks(off: np.ndarray, limit: int = BLOCK_BYTES):
         a = min(b, n)
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + 2)
-        for key, base in (("up", _BASE), ("down", _INV)):
-            p = np.full(size, base, _U)
-            p[0] = 1
-            _powers[key] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finisher that spreads the bits of 64-bit hashes."""
     h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
@@ -120,13 +111,31 @@ def find_words(data: np.ndarray, cuts: np.ndarray, is_word: np.ndarray) -> tuple
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand."""
-    n = len(data)
-    up, down = _power_table(n + 1)
-    acc = np.zeros(n + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * up[:n], out=acc[1:])
-    h = (acc[ends] - acc[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(_U) * _U(0x94D049BB133111EB))
+    """64-bit hashes of byte spans, equal for equal bytes wherever they stand.
+
+    Spans of up to LONG_SPAN bytes are mixed eight bytes at a time, so that two of at most eight bytes and one length
+    never have the same hash; longer ones are hashed by blake2b.
+    """
+    size = ends - starts
+    h = size.astype(_U) * _U(0x94D049BB133111EB)
+    if not len(h):
+        return h
+    eights = np.ndarray((len(data),), "<u8", data.tobytes() + bytes(8), strides=(1,))
+    long = np.flatnonzero(size > LONG_SPAN)
+    some, at = slice(None), 0
+    while True:
+        left = size[some] - at
+        here = eights[starts[some] + at] & _LOW_BYTES[np.minimum(left, 8)]
+        h[some] = mix((h[some] ^ mix(here + _U(at))) * _U(0x9E3779B97F4A7C15))
+        at += 8
+        some = np.flatnonzero((size > at) & (size <= LONG_SPAN))
+        if not len(some):
+            break
+    if len(long):
+        raw = data.tobytes()
+        spans = zip(starts[long].tolist(), ends[long].tolist(), strict=True)
+        h[long] = np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in spans), "<u8")
+    return h
 
 
 def lower_table() -> np.ndarray:

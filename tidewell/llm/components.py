@@ -20,7 +20,7 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u != v").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (u, v): root is the least node reachable. Links of a node to itself give nothing.
 
     Each round is written to the shared folder. Counts per key are combined before they are shuffled, and a
@@ -28,11 +28,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     edges = written(links.select("u", "v").where("u is not null and v is not null and u != v").distinct(), "links")
     seen = None
-    for _ in range(rounds):
+    while True:
         before, edges = edges, written(_step(_step(edges, True), False), "links")
         discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = now
-    raise RuntimeError(f"no fixed point in {rounds} rounds")
