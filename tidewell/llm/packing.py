@@ -3,9 +3,12 @@
 Each example is a vector of demands (tokens, one segment, loss-bearing tokens), each sequence a bin with a limit
 on every one of them. The open bin repeatedly takes the waiting example with the largest dot product of its
 demand and the bin's free room, both as shares of the limits. Where no waiting example fits whole, one is cut
-so that the bin is full; its rest waits on. What is left at the end of a partition is cut into sequences whose
-lengths are powers of two, which need no padding. A partition is packed in one pass with a bounded pool, so no
-row is shuffled; sequences never span partitions.
+so that the bin is full; its rest waits on. A bin that another limit (or the end of a partition) closes before it
+is full is cut into sequences whose lengths are powers of two, which need no padding. A partition is packed in
+one pass with a bounded pool, so no row is shuffled; sequences never span partitions.
+
+A piece as long as a sequence has the largest dot product that there is, so it gets a bin of its own at once. Of
+a waiting example only the ids that are not yet placed are held.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import lower_table, row_blocks, span_hashes, text_buffers
 
@@ -185,29 +189,34 @@ class VectorPacker:
         self.keys: list = []
         self.waiting = np.zeros((0, 3), np.int64)  # start, stop, loss_from
         self.incoming: list[tuple[int, int, int]] = []
+        self.load = 0  # tokens that wait
         self.sequences = 0
 
     def add(self, key, length: int, loss_from: int = 0) -> Iterator[tuple]:
         start, size = 0, int(self.limit[0])
-        while length - start >= size and loss_from <= start and size <= self.limit[2]:
+        while length - start >= size and min(size, max(0, start + size - loss_from)) <= self.limit[2]:
             yield key, start, start + size, self.sequences, 0
             self.sequences += 1
             start += size
         if start < length:
             self.keys.append(key)
             self.incoming.append((start, length, loss_from))
-        if len(self.keys) >= self.pool:
-            yield from self.drain(self.pool // 2)
+            self.load += length - start
+        if len(self.keys) >= self.pool or self.load > self.pool * size:
+            yield from self.drain(self.pool // 2, self.pool * size // 2)
 
     def finish(self) -> Iterator[tuple]:
-        yield from self.drain(0)
+        yield from self.drain(0, 0)
 
-    def drain(self, leave: int) -> Iterator[tuple]:
+    def drain(self, examples: int, tokens: int) -> Iterator[tuple]:
+        """Closes bins until at most so many examples with so many tokens wait."""
         if self.incoming:
             self.waiting = np.concatenate([self.waiting, np.array(self.incoming, np.int64)])
             self.incoming = []
-        while len(self.keys) > leave:
-            yield from self.close(self.fill(), last=not self.keys)
+        while len(self.keys) > examples or self.load > tokens:
+            placed = self.fill()
+            self.load -= sum(stop - start for _, start, stop in placed)
+            yield from self.close(placed)
 
     def fill(self) -> list[tuple]:
         """The pieces of one bin."""
@@ -248,50 +257,49 @@ class VectorPacker:
         start, stop, loss_from = (int(x) for x in item)
         return min(stop, start + int(free[0]), max(start, loss_from) + int(free[2]))
 
-    def close(self, placed: list[tuple], last: bool) -> Iterator[tuple]:
-        total = sum(stop - start for _, start, stop in placed)
-        size = int(self.limit[0])
-        if not last or total >= size:
-            room, sizes = size, []
-        else:  # the rest of a partition, in powers of two
-            sizes = [1 << b for b in range(size.bit_length()) if total >> b & 1]
-            room = sizes.pop()
-        offset = 0
+    def close(self, placed: list[tuple]) -> Iterator[tuple]:
+        """The pieces of a bin: one sequence if it is full, else sequences of falling powers of two."""
+        total, size = sum(stop - start for _, start, stop in placed), int(self.limit[0])
+        sizes = [size] if total == size else [1 << b for b in range(total.bit_length()) if total >> b & 1]
+        room, offset = sizes.pop(), 0
         for key, start, stop in placed:
             while start < stop:
                 take = min(room - offset, stop - start)
                 yield key, start, start + take, self.sequences, offset
                 start, offset = start + take, offset + take
-                if offset == room and (sizes or start < stop):
+                if offset == room:
                     self.sequences += 1
-                    room, offset = (sizes.pop() if sizes else size), 0
-        self.sequences += 1
+                    room, offset = sizes.pop() if sizes else 0, 0
 
 
-def pack_rows(rows: Iterable[tuple[int, bytes]], packer: VectorPacker, base: int) -> Iterator[tuple]:
-    """Pieces (as SCHEMA has them) of documents (id, ids as bytes)."""
-    ids: dict[int, tuple[int, bytes]] = {}
-    left: dict[int, int] = {}
+def pack_rows(rows: Iterable[tuple[int | None, bytes, int]], packer: VectorPacker, base: int) -> Iterator[tuple]:
+    """Pieces (as SCHEMA has them) of examples (id, ids as bytes, the place from which they bear loss)."""
+    held: dict[int, tuple[int | None, bytes, int, int]] = {}  # id, its tokens, those not yet placed and where they begin
 
     def told(pieces: Iterator[tuple]) -> Iterator[tuple]:
         for key, start, stop, sequence, offset in pieces:
-            doc_id, data = ids[key]
-            yield doc_id, start, stop - start, zlib.crc32(data[4 * start : 4 * stop]), len(data) // 4, base + sequence, offset
-            left[key] -= stop - start
-            if not left[key]:
-                del ids[key], left[key]
-
-    for key, (doc_id, data) in enumerate(rows):
-        ids[key], left[key] = (doc_id, data), len(data) // 4
-        yield from told(packer.add(key, len(data) // 4))
+            doc_id, total, data, first = held[key]
+            yield doc_id, start, stop - start, zlib.crc32(data[4 * (start - first) : 4 * (stop - first)]), total, base + sequence, offset
+            # the pieces of an example come in its order; what is placed is dropped once it is half of what is held
+            if stop == total:
+                del held[key]
+            elif stop - first >= total - stop:
+                held[key] = doc_id, total, data[4 * (stop - first) :], stop
+
+    for key, (doc_id, data, loss_from) in enumerate(rows):
+        held[key] = doc_id, len(data) // 4, data, 0
+        yield from told(packer.add(key, len(data) // 4, loss_from))
     yield from told(packer.finish())
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, tokens: int = 2048, segments: int = 64, loss: int | None = None, end_id: int = END_ID) -> DataFrame:
-    """One row per piece (SCHEMA) of the documents (doc_id, text) packed into sequences.
+def pack_documents(docs: DataFrame, tokenizer_path: str, tokens: int = 2048, segments: int = 64, loss: int | None = None, end_id: int = END_ID, prompt: str | None = None) -> DataFrame:
+    """One row per piece (SCHEMA) of the examples (doc_id, text) packed into sequences.
 
-    A null or empty text has the end id alone; repeated rows are documents of their own, a null id stays null.
-    No document is left out; an empty table gives no row. Other columns are ignored.
+    An example is the ids of its text and ``end_id``. With ``prompt``, a column of texts, the ids of that one come
+    before them, and bear no loss; ``loss`` limits the loss-bearing tokens of a sequence (by default all tokens may
+    bear it). A null or empty text has the end id alone, a null prompt no ids; repeated rows are examples of their
+    own, a null id stays null. Texts of any length are cut, never shortened. No row is left out; an empty table
+    gives no row. Other columns, of whatever names, are ignored.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,8 +309,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tokens: int = 2048, seg
             for batch in batches:
                 for a in range(0, batch.num_rows, 1000):
                     part = batch.slice(a, 1000)
-                    for doc_id, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1)), strict=True):
-                        yield doc_id, ids.astype("<u4").tobytes() + end
+                    leads = coder.encode(part.column(2)) if prompt else [np.zeros(0, "<u4")] * part.num_rows
+                    for doc_id, lead, ids in zip(part.column(0).to_pylist(), leads, coder.encode(part.column(1)), strict=True):
+                        yield doc_id, lead.astype("<u4").tobytes() + ids.astype("<u4").tobytes() + end, len(lead)
 
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 33
@@ -320,7 +329,18 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tokens: int = 2048, seg
         if held:
             yield batch_of(held)
 
-    return docs.select("doc_id", "text").mapInArrow(pack, SCHEMA)
+    return docs.select("doc_id", "text", *[prompt] * bool(prompt)).mapInArrow(pack, SCHEMA)
+
+
+def instruction_examples(conversations: DataFrame) -> DataFrame:
+    """doc_id (the conversation's), prompt, text: each assistant turn of ``conversations`` (conv_id, turn, role, text) after the turn before it.
+
+    The prompt is null where there is no turn before. Repeated turns, and turns of one number, are examples of
+    their own, each after each of those before it.
+    """
+    answers = conversations.where(F.col("role") == "assistant").select(F.col("conv_id").alias("doc_id"), "turn", "text")
+    before = conversations.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
+    return answers.join(before, ["doc_id", "turn"], "left").select("doc_id", "prompt", "text")
 
 
 def default_tokenizer() -> str:
