@@ -1,16 +1,18 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
-Each paragraph (line) is hashed to a wide vector: EXACT lanes modulo 2**64 from its whole bytes, and LANES
-lanes modulo 2**16 into which each of its 8-byte windows adds plus or minus one (a count sketch). A document's
-fingerprint is the sum of its paragraphs' vectors, so the order of paragraphs does not matter, and a paragraph
-is inserted or deleted by adding or subtracting its vector. Equal multisets have equal fingerprints; the cosine
-of the signed lanes estimates how much of their windows two documents share.
+Each paragraph (line) is hashed to a wide vector: EXACT lanes modulo 2**64, all of one 256-bit blake2b digest of its
+bytes and so independent of each other, and LANES lanes modulo 2**32 into which each of its 8-byte windows adds
+plus or minus one (a count sketch). A document's fingerprint is the sum of its paragraphs' vectors, so the order of
+paragraphs does not matter, and a paragraph is inserted or deleted by adding or subtracting its vector. Equal
+multisets have equal fingerprints; the cosine of the signed lanes estimates how much of their windows two documents
+share (exactly up to 2**31 windows to a lane, some hundred GB of text).
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +25,14 @@ from .common import BLOCK_BYTES, mix, span_hashes, width
 LANES = 128
 EXACT = 4
 WINDOW = 8
+SAMPLED = 100  # rows of the sample that tells a bucket's bounds
 _U = np.uint64
-#: Odd constants that set the exact lanes apart.
-_SALTS = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0xD6E8FEB86659FD93)]
 
 
 def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The signed lanes (int16) and the exact lanes (uint64) of each text."""
+    """The signed lanes (int32) and the exact lanes (uint64) of each text."""
     n = len(texts)
-    lanes, exact = np.zeros((n, LANES), np.int16), np.zeros((n, EXACT), _U)
+    lanes, exact = np.zeros((n, LANES), np.int32), np.zeros((n, EXACT), _U)
     a = 0
     while a < n:
         b, size = a + 1, len(texts[a])
@@ -45,7 +46,7 @@ def vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _long(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """A long text, some paragraphs at a time; a paragraph that is long itself is hashed in one go."""
-    lanes, exact = np.zeros((1, LANES), np.int16), np.zeros((1, EXACT), _U)
+    lanes, exact = np.zeros((1, LANES), np.int32), np.zeros((1, EXACT), _U)
     a = 0
     while a <= len(text):
         b = text.find(b"\n", min(len(text), a + BLOCK_BYTES // 2))
@@ -66,11 +67,9 @@ def _vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     # a paragraph's text: the number of texts that end before it
     stop = np.cumsum(np.array([len(t) + 1 for t in texts])) - 1
     owner = np.searchsorted(stop, ends)
-    h = span_hashes(data[:size], starts, ends)
-    exact = np.zeros((n, EXACT), _U)
-    first = np.searchsorted(owner, np.arange(n))
-    for k, salt in enumerate(_SALTS):
-        exact[:, k] = np.add.reduceat(mix(h ^ salt), first)
+    raw = memoryview(data)
+    digests = b"".join([hashlib.blake2b(raw[a:b], digest_size=8 * EXACT).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    exact = np.add.reduceat(np.frombuffer(digests, "<u8").reshape(-1, EXACT), np.searchsorted(owner, np.arange(n)), axis=0)
     # windows: at each place of a paragraph that has WINDOW bytes left; a shorter one is one window by itself
     long = ends - starts >= WINDOW
     mark = np.zeros(size + 1, np.int8)
@@ -79,20 +78,20 @@ def _vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(np.cumsum(mark[:-1]))
     words = np.ndarray((size,), "<u8", data.tobytes(), strides=(1,))
     short = ~long & (ends > starts)
-    u = np.concatenate([mix(words[at]), h[short]])
+    u = np.concatenate([mix(words[at]), span_hashes(data[:size], starts[short], ends[short])])
     who = np.concatenate([np.repeat(owner[long], (ends - starts)[long] - WINDOW + 1), owner[short]])
     place = who * (2 * LANES) + (u >> _U(64 - LANES.bit_length())).astype(np.int64)
     count = np.bincount(place, minlength=n * 2 * LANES).reshape(n, LANES, 2)
-    return (count[:, :, 0] - count[:, :, 1]).astype(np.int16), exact
+    return (count[:, :, 0] - count[:, :, 1]).astype(np.int32), exact
 
 
 def encoded(lanes: np.ndarray, exact: np.ndarray) -> list[str]:
-    return [base64.b64encode(a.astype("<i2").tobytes() + b.astype("<u8").tobytes()).decode() for a, b in zip(lanes, exact, strict=True)]
+    return [base64.b64encode(a.astype("<i4").tobytes() + b.astype("<u8").tobytes()).decode() for a, b in zip(lanes, exact, strict=True)]
 
 
 def decoded(text: str) -> tuple[np.ndarray, np.ndarray]:
     raw = base64.b64decode(text)
-    return np.frombuffer(raw[: 2 * LANES], "<i2").copy(), np.frombuffer(raw[2 * LANES :], "<u8").copy()
+    return np.frombuffer(raw[: 4 * LANES], "<i4").copy(), np.frombuffer(raw[4 * LANES :], "<u8").copy()
 
 
 def fingerprint(text: str | None) -> str:
@@ -129,35 +128,43 @@ def with_next(docs: DataFrame) -> DataFrame:
     """Rows (bucket, guest, doc_id, text) partitioned by bucket and sorted so that each row's next document, by
     descending doc_id, follows it; the last document is followed by the first.
 
-    Buckets are ranges of ids between quantiles. The first row of each bucket (one id per bucket, bounded by
-    their number) also goes to the bucket before it, as a guest, so no window over the whole table is needed.
+    Rows of one id follow each other by descending hash of their texts. Buckets are ranges of (id, hash) between
+    quantiles of a bounded sample, SAMPLED rows per bucket, so an id that a third of all rows has is many buckets.
+    The first row of each bucket (one per bucket, bounded by their number) also goes to the bucket before it, as a
+    guest, so no window over the whole table is needed.
     """
     spark = docs.sparkSession
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    keyed = docs.select("doc_id", "text", key.alias("key"))
+    key, h = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce("text", F.lit("")))
+    keyed = docs.select("doc_id", "text", F.struct(key.alias("key"), h.alias("h")).alias("at"))
     count = 2 * width(spark)
-    cuts = sorted({int(x) for x in keyed.select(F.col("key").cast("double")).approxQuantile("key", [i / count for i in range(1, count)], 0.2 / count)})
-    # the bucket is the number of cuts up to the key: first among every step-th cut, then within one step
+    rate = count * SAMPLED / max(1, docs.count()) * (1 << 30)
+    some = keyed.where(F.pmod(F.xxhash64("at.key", "at.h"), F.lit(1 << 30)) < rate).select("at.key", "at.h").collect()
+    some = sorted((r[0], r[1]) for r in some)
+    cuts = sorted({some[i * len(some) // count] for i in range(1, count)}) if some else []
+    # the bucket is the number of cuts up to the row: first among every step-th cut, then within one step
     step = max(1, round(len(cuts) ** 0.5))
-    coarse = F.array(*[F.lit(c) for c in cuts[::step]]) if cuts else F.array().cast("array<bigint>")
-    fine = F.array(*[F.array(*[F.lit(c) for c in cuts[i : i + step]]) for i in range(0, len(cuts), step)]) if cuts else None
-    i = F.size(F.filter(coarse, lambda c: c <= F.col("key")))
-    j = F.when(i > 0, (i - 1) * step + F.size(F.filter(F.element_at(fine, i), lambda c: c <= F.col("key")))).otherwise(0) if cuts else F.lit(0)
+    told = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
+    entry = [{"key": k, "h": h} for k, h in cuts]
+    coarse = told(entry[::step], "array<struct<key:long,h:long>>")
+    fine = told([entry[i : i + step] for i in range(0, len(cuts), step)], "array<array<struct<key:long,h:long>>>")
+    i = F.size(F.filter(coarse, lambda c: c <= F.col("at")))
+    j = F.when(i > 0, (i - 1) * step + F.size(F.filter(F.element_at(fine, i), lambda c: c <= F.col("at")))).otherwise(0) if cuts else F.lit(0)
     placed = keyed.withColumn("bucket", j.cast("int"))
-    heads = sorted((r[0], r[1]) for r in placed.groupBy("bucket").agg(F.max("key")).collect())
-    targets = [(head, heads[k + 1][0] if k + 1 < len(heads) else heads[0][0]) for k, (_, head) in enumerate(heads)]
-    guests = spark.createDataFrame(targets, "key long, host int")
-    both = F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest")), F.struct(F.col("host").alias("b"), F.lit(True).alias("guest")))
-    one = F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest")))
-    rows = placed.join(F.broadcast(guests), "key", "left").select("doc_id", "text", "key", F.explode(F.when(F.col("host").isNotNull(), both).otherwise(one)).alias("x"))
-    rows = rows.select("doc_id", "text", "key", F.col("x.b").alias("bucket"), F.col("x.guest").alias("guest")).repartition(width(spark), "bucket")
-    return rows.sortWithinPartitions("bucket", "guest", F.desc("key"), F.desc_nulls_last("text")).select("bucket", "guest", "doc_id", "text")
+    heads = sorted((r[0], r[1][0], r[1][1]) for r in placed.groupBy("bucket").agg(F.max("at")).collect())
+    targets = [(*head, heads[k + 1][0] if k + 1 < len(heads) else heads[0][0]) for k, (_, *head) in enumerate(heads)]
+    guests = spark.createDataFrame(targets, "key long, h long, host int")
+    alone = F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest")))
+    both = F.concat(alone, F.array(F.struct(F.col("host").alias("b"), F.lit(True).alias("guest"))))
+    met = (F.col("at.key") == guests["key"]) & (F.col("at.h") == guests["h"])
+    rows = placed.join(F.broadcast(guests), met, "left").select("doc_id", "text", "at", F.explode(F.when(F.col("host").isNotNull(), both).otherwise(alone)).alias("x"))
+    rows = rows.select("doc_id", "text", "at", F.col("x.b").alias("bucket"), F.col("x.guest").alias("guest")).repartition(width(spark), "bucket")
+    return rows.sortWithinPartitions("bucket", "guest", F.desc("at"), F.desc_nulls_last("text")).select("bucket", "guest", "doc_id", "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row.
 
-    A null text is empty. Rows of one doc_id follow each other by descending text; a null doc_id comes last. A
+    A null text is empty. Rows of one doc_id follow each other by a hash of their texts; a null doc_id comes last. A
     table of one row is followed by itself; an empty table gives no row. Other columns are ignored.
     """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
