@@ -3,8 +3,8 @@
 ``filters`` learned filters of ``TAPS`` bytes slide over the whole text. Their outputs are max-pooled in chunks
 of ``2 * HOP`` bytes that overlap by ``HOP``; the pooled values, rectified, are averaged over the chunks and
 maximised over them, and a logistic unit combines both into one probability. Weights are learned with Adam on
-a bounded sample of labelled rows (``max_rows``; of each a random span of at most ``SPAN`` characters), while
-scoring reads every byte of every text, long ones in pieces, with bounded memory.
+a bounded sample of labelled rows (``max_rows``), whose texts are read whole. Both learning and scoring read every
+byte of a text, long ones in pieces, so that only the outputs of one piece are held.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from .common import crc_mod, text_buffers
 
 TAPS = 5
 HOP = 128
-SPAN = 4096
 PIECE = 1 << 16  # bytes whose filter outputs are held at once
 _LOW = np.float32(-1e30)
 
@@ -141,12 +140,15 @@ def backward(net: Cnn, text: bytes, y: int, grads: list[np.ndarray]) -> float:
     blocks = -(-n // HOP)
     x = np.zeros(blocks * HOP + TAPS - 1, np.uint8)
     x[: len(text)] = np.frombuffer(text, np.uint8)
-    conv = convolve(net.taps, x)
-    conv[n:] = _LOW
-    conv = conv.reshape(blocks, HOP, f)
-    arg = conv.argmax(axis=1)
-    best = np.take_along_axis(conv, arg[:, None], axis=1)[:, 0]
-    pos = arg + np.arange(blocks)[:, None] * HOP
+    best, pos = np.empty((blocks, f), np.float32), np.empty((blocks, f), np.int64)
+    for k in range(0, blocks, PIECE // HOP):
+        to = min(blocks, k + PIECE // HOP)
+        conv = convolve(net.taps, x[k * HOP : to * HOP + TAPS - 1])
+        conv[max(0, n - k * HOP) :] = _LOW
+        conv = conv.reshape(to - k, HOP, f)
+        arg = conv.argmax(axis=1)
+        best[k:to] = np.take_along_axis(conv, arg[:, None], axis=1)[:, 0]
+        pos[k:to] = arg + np.arange(k, to)[:, None] * HOP
     if blocks > 1:
         right = best[1:] > best[:-1]
         pos = np.where(right, pos[1:], pos[:-1])
@@ -169,29 +171,31 @@ def backward(net: Cnn, text: bytes, y: int, grads: list[np.ndarray]) -> float:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> list[tuple[str, int]]:
-    """At most ``max_rows`` labelled texts (a random span of each, at most SPAN characters), by a hash of the id.
+    """At most ``max_rows`` labelled texts, whole, by a hash of the id.
 
-    The sampled labels are bounded by ``max_rows``, and so are broadcast.
+    An id labelled several times counts once, with its largest label. The sampled labels are bounded by
+    ``max_rows``, and so are broadcast.
     """
-    some = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
+    some = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     total = some.count()
     if not total:
         return []
     h = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
     rate = (max_rows + 3 * max_rows**0.5) / total * (1 << 30)
     few = some.select("*", h.alias("h")).where(F.col("h") < rate)
-    start = F.lit(1) + F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - SPAN + 1))
-    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id").select(F.col("text").substr(start.cast("int"), F.lit(SPAN)).alias("t"), "y", "h", "doc_id").collect()
-    rows.sort(key=lambda r: (r["h"], r["doc_id"], r["t"]))
-    return [(r["t"], r["y"]) for r in rows[:max_rows]]
+    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id").select(F.col("text").alias("t"), "y", "h", "doc_id")
+    # by the hash, the first max_rows: repeated rows of one id are told apart by their texts' hashes
+    rows = rows.withColumn("o", F.xxhash64("t")).orderBy("h", "doc_id", "o").limit(max_rows).select("t", "y").collect()
+    return [(r["t"], r["y"]) for r in rows]
 
 
 def classify(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 3000, keep: list[str] | None = None, **options) -> DataFrame:
     """doc_id, score for every row of ``docs`` (doc_id, text), by a network fitted to ``train_docs`` and ``labels`` (doc_id, label).
 
-    A null text is scored as an empty one; repeated rows are scored each; without labels of both kinds every
-    score is the share of label 1 (one half where there is none). Other columns are ignored, but for those in ``keep``, which are returned as
-    they are before the score.
+    A null text is scored as an empty one; repeated rows are scored each; an empty table gives no row. An id that is
+    labelled several times has its largest label, a null label is none. Without labels of both kinds every score is
+    the share of label 1 (one half where there is none). Other columns are ignored, but for those in ``keep``,
+    which are returned as they are before the score.
     """
     rows = labelled_rows(train_docs, labels, label, max_rows)
     held = docs.sparkSession.sparkContext.broadcast(fit([t.encode() for t, _ in rows], [y for _, y in rows], **options))
