@@ -91,6 +91,8 @@ def read_records(stream, size: int = READ_BYTES) -> Iterator[tuple[dict[str, str
         if not lines[0].startswith("WARC/"):
             raise BadRecord(f"no WARC version line: {lines[0][:40]!r}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        if not headers.get("content-length", "").isdigit():
+            raise BadRecord("no content length")
         need = int(headers["content-length"])
         while len(held) < need + 4:
             if not more():
@@ -126,21 +128,39 @@ def _inflated(stream, size: int) -> Iterator[bytes]:
                 raise BadRecord("cut off in a gzip member")
 
 
+def with_references(told: DataFrame) -> DataFrame:
+    """Rows (page_id, url, html, digest, size) with refers_to, and no html where that is set.
+
+    Only rows that can be a revisit or have one (a page_id, LEAST_REVISIT_BYTES or more) are joined. The digests are
+    joined on narrow rows: those of more than one page in 4096 are fewer than 4096 and broadcast, so no key of the
+    shuffle is hotter than that. Then html meets its reference on (page_id, digest), which copies of a page don't
+    share.
+    """
+    large = (F.col("size") >= LEAST_REVISIT_BYTES) & F.col("page_id").isNotNull()
+    some = told.where(large)
+    narrow = some.select("page_id", "digest")
+    twice = written(narrow.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copied")
+    hot = twice.where(F.col("n") > max(64, (twice.agg(F.sum("n")).first()[0] or 0) >> 12)).select("digest", "first")
+    warm = twice.join(F.broadcast(hot.select("digest")), "digest", "left_anti").select("digest", "first")
+    found = narrow.join(F.broadcast(hot), "digest").unionByName(narrow.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(warm.hint("merge"), "digest"))
+    revisits = found.where("page_id < first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    joined = some.join(revisits.hint("merge"), ["page_id", "digest"], "left")
+    rows = joined.unionByName(told.where(~F.coalesce(large, F.lit(False))), allowMissingColumns=True)
+    return rows.select("page_id", "url", F.when(F.col("refers_to").isNotNull(), F.lit(b"")).otherwise(F.col("html")).alias("html"), "digest", "size", "refers_to")
+
+
 def write_warc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes a record per row of ``pages`` (page_id, url, html) to WARC files below ``folder``; returns the files.
 
     Rows with equal payloads of LEAST_REVISIT_BYTES or more: that with the largest page_id is the response (all
     rows of that id are), the others revisit it. A null html is empty, a null url an empty one. A row without a
-    page_id is a response. The result, one row (uri, records) per file, is a written table: a file that a lost
-    task left behind is in no row. An empty table gives no file.
+    page_id is a response. Repeated rows are a record each, texts of any length are one record; other columns are
+    ignored. The result, one row (uri, records) per file, is a written table: a file that a lost task left behind
+    is in no row. An empty table gives no file.
     """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     told = pages.select("page_id", "url", html.alias("html")).withColumn("digest", F.sha1("html")).withColumn("size", F.length("html").cast("long"))
-    # one row per payload that several pages have: counted before the shuffle, joined on the digest alone
-    twice = told.where(F.col("size") >= LEAST_REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    known = told.join(twice.hint("merge"), "digest", "left")
-    revisit = F.col("first").isNotNull() & (F.col("page_id") < F.col("first"))
-    rows = known.select("page_id", "url", F.when(revisit, F.lit(b"")).otherwise(F.col("html")).alias("html"), "digest", "size", F.when(revisit, F.col("first")).alias("refers_to"))
+    rows = with_references(told)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
