@@ -1,11 +1,10 @@
 """Benchmark decontamination with an FM-index of each training shard.
 
-A shard is a few MB of texts. Its words are numbered by the benchmark's vocabulary; a word that the benchmark
-lacks can be in no occurrence, so the shard's text keeps only the runs of known words that are long enough for
-the shortest window, with a separator after each. Over that text stand a suffix array (prefix doubling), its
-Burrows-Wheeler transform in a wavelet matrix, and suffix positions sampled at every SAMPLE-th place and at the
-starts of runs. All windows are searched backward at once; their rows are traced to sampled positions; the
-occurrences, merged, are the spans to remove.
+A shard is a few MB of texts (or a part of one that is longer; parts share the words that a window can span). Its
+words, numbered by its own vocabulary, with a separator after each text, have a suffix array, their Burrows-Wheeler
+transform in a wavelet matrix, and suffix positions sampled at every SAMPLE-th place and at the starts of texts.
+All windows of the benchmark are searched backward at once by ranks in the wavelet matrix; their rows are traced to
+sampled positions; the occurrences, merged, are the spans to remove. The index knows nothing of the benchmark.
 """
 
 from __future__ import annotations
@@ -19,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import find_words, lower_table, row_blocks, span_hashes, text_buffers
+from .common import find_words, lower_table, row_blocks, span_hashes, text_buffers, written
 
 WINDOW = 13
 SAMPLE = 8
 SHARD_BYTES = 2 << 20
-BENCHMARK_BYTES = 32 << 20  # of benchmark text broadcast at once; more goes in further passes
+SHARD_WORDS = 1 << 19
+BENCHMARK_BYTES = 32 << 20  # of benchmark text searched for at once (about 3 bytes broadcast for each of these); more goes in further passes
 _LOWER = lower_table()
 #: A word byte of lower-cased text: a digit, a small letter, or any byte of a character beyond ASCII.
 _WORD = np.zeros(256, bool)
@@ -50,15 +50,15 @@ class FmIndex:
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=alphabet))])[:alphabet]
         self.levels = max(1, int(alphabet - 1).bit_length())
         self.ones, self.bits, self.zeros = [], [], []
-        seq = last
+        seq = last.astype(np.int32)
         for level in range(self.levels - 1, -1, -1):
-            bit = (seq >> level) & 1
+            bit = (seq & np.int32(1 << level)) != 0
             count = np.zeros(n + 1, np.int32)
             np.cumsum(bit, out=count[1:])
             self.ones.append(count)
-            self.bits.append(bit.astype(bool))
+            self.bits.append(bit)
             self.zeros.append(int(n - count[-1]))
-            seq = np.concatenate([seq[bit == 0], seq[bit == 1]])
+            seq = np.concatenate([seq[~bit], seq[bit]])
         self.begin = self._descend(np.arange(alphabet), np.zeros(alphabet, np.int64))
         kept = (sa % SAMPLE == 0) | (last == 0)
         self.kept, self.rank = kept, np.cumsum(kept) - 1
@@ -74,18 +74,27 @@ class FmIndex:
         """The first row of a symbol plus its rank before ``at`` in the transform."""
         return self.before[symbol] + self._descend(symbol, at) - self.begin[symbol]
 
-    def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows (low, high) of the suffixes that start with each pattern; rows of ``patterns`` are left-aligned."""
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.size, np.int64)
-        active = np.flatnonzero(lengths > 0)
+    def search(self, symbols: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The patterns that occur, and the rows (low, high) of the suffixes that start with each.
+
+        Pattern i is ``symbols[first[i] : first[i] + lengths[i]]``; one with symbol 0 occurs nowhere.
+        """
+        at = first + lengths - 1  # the next symbol, from the last on
+        active = np.flatnonzero((lengths > 0) & (symbols[np.where(lengths > 0, at, 0)] > 0))
+        low, high = np.zeros(len(active), np.int64), np.full(len(active), self.size, np.int64)
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         step = 1
         while len(active):
-            c = patterns[active, lengths[active] - step]
-            low[active], high[active] = self._step(c, low[active]), self._step(c, high[active])
+            c = symbols[at[active] - step + 1]
+            low, high = self._step(c, low), self._step(c, high)
+            alive = (low < high) & (c > 0)
+            over = alive & (lengths[active] == step)
+            done.append((active[over], low[over], high[over]))
+            on = alive & ~over
+            active, low, high = active[on], low[on], high[on]
             step += 1
-            active = active[(low[active] < high[active]) & (lengths[active] >= step)]
-        found = low < high
-        return np.where(found, low, 0), np.where(found, high, 0)
+        found, low, high = (np.concatenate(x) if done else np.zeros(0, np.int64) for x in (list(zip(*done, strict=True)) or [[], [], []]))
+        return found, low, high
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text positions of suffix rows."""
@@ -107,103 +116,99 @@ class FmIndex:
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """The suffix array by prefix doubling; each separator differs from all others, so runs end comparisons."""
+    """The suffix array by prefix doubling, of the suffixes not yet told apart alone.
+
+    Each separator (0) differs from all others, so that no comparison goes beyond a text's end. A suffix's rank is
+    the place of the first one that it equals so far.
+    """
     n = len(text)
     separators = text == 0
     rank = np.where(separators, np.cumsum(separators) - 1, int(separators.sum()) + text.astype(np.int64))
-    h = 1
+    order = np.argsort(rank, kind="stable")
+    key, places, h = rank[order], np.arange(n), 1
     while True:
-        later = np.full(n, -1, np.int64)
-        if h < n:
-            later[: n - h] = rank[h:]
-        key = rank * (2 * n + int(text.max(initial=0)) + 2) + later + 1
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        fresh = np.zeros(n, np.int64)
-        fresh[1:] = np.cumsum(key[1:] != key[:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        if n == 0 or fresh[-1] == n - 1:
+        # of ``places`` in the order, runs of one key are what is not told apart
+        fresh = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+        starts = np.flatnonzero(fresh)
+        rank[order[places]] = np.repeat(places[starts], np.diff(np.r_[starts, len(key)]))
+        places = places[~(fresh & np.r_[fresh[1:], True])] if len(key) else places
+        if not len(places):
             return order
+        own = order[places]
+        # own + h is in the text: a suffix that ends before differs by its separator
+        key = rank[own] * n + rank[np.minimum(own + h, n - 1)]
+        by = np.argsort(key, kind="stable")
+        key, order[places] = key[by], own[by]
         h *= 2
 
 
 @dataclass
 class Windows:
-    """The distinct windows of some benchmark items, in symbols from 1, and the items each is of."""
+    """The windows of some benchmark items, as parts of the items' words; about 25 bytes for each word."""
 
     vocabulary: np.ndarray  # sorted word hashes
-    patterns: np.ndarray  # (windows, WINDOW) symbols, 0 beyond a window's length
+    symbols: np.ndarray  # the items' words one after another, as places in the vocabulary
+    first: np.ndarray  # of each window in ``symbols``
     lengths: np.ndarray
-    first: np.ndarray  # of each window in ``items``
-    items: np.ndarray  # numbers into ``ids``
+    items: np.ndarray  # the window's item, a number into ``ids``
     ids: list[str | None]
 
 
 def windows_of(items: list[tuple[str | None, str | None]]) -> Windows:
     column = pa.array([t or "" for _, t in items], pa.large_string())
     hashes, counts = word_hashes(*text_buffers(column)) if items else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    vocabulary = np.unique(hashes)
-    symbols = np.searchsorted(vocabulary, hashes) + 1
-    rows, owner, begin = [], [], 0
-    for k, n in enumerate(counts):
-        mine = symbols[begin : begin + n]
-        begin += n
-        if n >= WINDOW:
-            rows.append(np.lib.stride_tricks.sliding_window_view(mine, WINDOW))
-        elif n:
-            rows.append(np.pad(mine, (0, WINDOW - n))[None])
-        owner += [k] * max(0, min(n, 1) if n < WINDOW else n - WINDOW + 1)
-    if not rows:
-        return Windows(vocabulary, np.zeros((0, WINDOW), np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), [])
-    patterns, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
-    pairs = np.unique(np.stack([which.ravel(), np.array(owner)], axis=1), axis=0)
-    return Windows(vocabulary, patterns, (patterns > 0).sum(axis=1), np.searchsorted(pairs[:, 0], np.arange(len(patterns) + 1)), pairs[:, 1], [i for i, _ in items])
+    vocabulary, symbols = np.unique(hashes, return_inverse=True)
+    # an item of n words has n - WINDOW + 1 windows, or a shorter one if it has any word
+    many = np.where(counts > 0, np.maximum(1, counts - WINDOW + 1), 0)
+    begin = np.r_[0, np.cumsum(counts)[:-1]] if len(counts) else counts
+    inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    return Windows(
+        vocabulary, symbols.ravel().astype(np.int32), (np.repeat(begin, many) + inner).astype(np.int32), np.repeat(np.minimum(counts, WINDOW), many).astype(np.int8),
+        np.repeat(np.arange(len(items)), many).astype(np.int32), [i for i, _ in items],
+    )
 
 
 def search_shard(w: Windows, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of each text; occurrences as text, first word (counted in the shard), length and window."""
     hashes, counts = word_hashes(raw, off)
-    none = np.zeros(0, np.int64)
-    if not len(w.patterns) or not len(hashes):
-        return counts, none, none, none, none
-    at = np.minimum(np.searchsorted(w.vocabulary, hashes), len(w.vocabulary) - 1)
-    symbol = np.where(w.vocabulary[at] == hashes, at + 1, 0)
     row = np.repeat(np.arange(len(counts)), counts)
-    known = symbol > 0
-    edge = np.ones(len(symbol), bool)
-    edge[1:] = (row[1:] != row[:-1]) | (known[1:] != known[:-1])
-    begins = np.flatnonzero(edge)
-    lengths = np.diff(np.r_[begins, len(symbol)])
-    use = known[begins] & (lengths >= int(w.lengths.min()))
-    begins, lengths = begins[use], lengths[use]
-    if not len(begins):
-        return counts, none, none, none, none
-    # the runs one after another, a separator after each
-    total = int(lengths.sum()) + len(begins)
-    inner = np.arange(total) - np.repeat(np.r_[0, np.cumsum(lengths + 1)[:-1]], lengths + 1)
-    word = np.repeat(begins, lengths + 1) + inner
-    ends = np.cumsum(lengths + 1) - 1
-    text = symbol[np.minimum(word, len(symbol) - 1)]
-    text[ends] = 0
-    index = FmIndex(text, len(w.vocabulary) + 1)
-    low, high = index.search(w.patterns, w.lengths)
+    found = []
+    for a in range(0, len(hashes) if len(w.first) else 0, SHARD_WORDS - WINDOW + 1):
+        b = min(len(hashes), a + SHARD_WORDS)
+        start, which = search_words(w, hashes[a:b], row[a:b])
+        found.append((start + a, which))
+        if b == len(hashes):
+            break
+    start, which = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return counts, row[start], start, w.lengths[which].astype(np.int64), which
+
+
+def search_words(w: Windows, hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and window of each occurrence in the words of a shard; ``row`` is the text that each is of."""
+    vocabulary, symbol = np.unique(hashes, return_inverse=True)
+    # the words with a separator after each text
+    ends = np.flatnonzero(np.r_[row[1:] != row[:-1], True])
+    word = np.insert(np.arange(len(hashes)), ends + 1, -1)
+    text = np.where(word >= 0, symbol.ravel()[word] + 1, 0)
+    index = FmIndex(text, len(vocabulary) + 1)
+    # the benchmark's words in the shard's numbers, 0 for one that the shard lacks
+    at = np.minimum(np.searchsorted(vocabulary, w.vocabulary), len(vocabulary) - 1)
+    number = np.where(vocabulary[at] == w.vocabulary, at + 1, 0)
+    found, low, high = index.search(number[w.symbols], w.first, w.lengths)
     size = high - low
-    found = np.flatnonzero(size)
-    which = np.repeat(found, size[found])
-    rows = np.arange(int(size.sum())) - np.repeat(np.r_[0, np.cumsum(size[found])[:-1]], size[found]) + np.repeat(low[found], size[found]) if len(found) else none
-    start = word[index.locate(rows)] if len(rows) else none
-    return counts, row[start], start, w.lengths[which], which
+    rows = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+    return word[index.locate(rows)], np.repeat(found, size)
 
 
 def mark_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", limit: int = BENCHMARK_BYTES) -> DataFrame:
     """``docs`` with n_words, spans (array of begin and end, in words, merged and sorted) and items (array of ids
     as strings, distinct) of the ``benchmark`` (item_id, text) in each text.
 
-    Null texts have no words. An item without a text or words occurs nowhere; one without an id is searched for,
-    but not named. Items of one id count once. A benchmark larger than ``limit`` bytes is searched for in several
-    passes over each row, one bounded broadcast each. Every column of ``docs`` is returned; those named like a
-    new one are replaced.
+    Null and empty texts have no words; texts of any length are searched whole, repeated rows each. An item without
+    a text or words occurs nowhere; one without an id is searched for, but not named. Items of one id count once.
+    Empty tables give no row, or no span. A benchmark larger than ``limit`` bytes is searched for in several passes
+    over each row, one bounded broadcast each; between them the rows are written, and the broadcast is let go. Every
+    column of ``docs`` is returned; those named like a new one are replaced.
     """
     names = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -215,6 +220,9 @@ def mark_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", limit:
         some = benchmark.where(F.col("text").isNotNull() & (part == p)).select(F.col("item_id").cast("string"), "text").distinct().collect()
         held = docs.sparkSession.sparkContext.broadcast(windows_of([(r[0], r[1]) for r in some]))
         out = out.mapInArrow(_searcher(held, k, len(names)), T.StructType(out.schema.fields))
+        if p < passes - 1:
+            out = written(out, "spans")
+            held.destroy()
     return out
 
 
@@ -237,7 +245,7 @@ def _searcher(held, k: int, width: int):
                     i = a + int(row[x])
                     old_spans[i] = merged([(s["begin"], s["end"]) for s in old_spans[i]] + list(zip(begin[x:y].tolist(), end[x:y].tolist(), strict=True)))
                     some = np.unique(which[x:y])
-                    ids = {w.ids[j] for v in some for j in w.items[w.first[v] : w.first[v + 1]]} - {None}
+                    ids = {w.ids[j] for j in np.unique(w.items[some]).tolist()} - {None}
                     old_items[i] = sorted(ids.union(old_items[i]))
             fields = list(batch.schema)[:width]
             columns = [*batch.columns[:width], pa.array(n_words, pa.int64()), pa.array(old_spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), pa.array(old_items, pa.list_(pa.string()))]
