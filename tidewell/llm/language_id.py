@@ -1,8 +1,9 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 The model is trained on the driver with FTRL-proximal (elastic net: L1 gives the sparsity, L2 the shrinkage)
-on a bounded sample, at most about ``per_lang`` rows of each language, and then calibrated with one
-temperature on rows of the sample that training left out. Scoring covers every character of every text.
+on a bounded sample, at most ``per_lang`` rows of each language, and then calibrated with one temperature on rows
+of the sample that training left out. Only the rows are bounded: whole texts are read, on the executors, and the
+driver gets their n-gram counts. Scoring covers every character of every text.
 
 n-grams are of 1 to 3 lower-cased code points, hashed into ``2**bits`` features. The term frequency is the
 share of the text's n-grams; with it the score of a text is a mean over its n-grams, so a text of any length
@@ -25,7 +26,7 @@ from .common import crc_mod
 
 _U4 = np.uint32
 BLOCK_CHARS = 1 << 18
-SPAN = 4096  # of a training text
+HELD_BACK = 5  # one row in so many is kept for the temperature
 
 
 @dataclass(frozen=True)
@@ -54,33 +55,62 @@ def code_grams(c: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def blocks(text: str) -> Iterator[tuple[str, int]]:
+    """(piece, sign) of a text: a long one's pieces share two characters, whose own n-grams are then taken off once."""
+    if len(text) <= BLOCK_CHARS:
+        yield text, 1
+        return
+    for a in range(0, len(text), BLOCK_CHARS):
+        yield text[max(0, a - 2) : a + BLOCK_CHARS], 1
+        if a:
+            yield text[a - 2 : a], -1
+
+
 def features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams of a text and their term frequencies."""
-    g = grams(text, bits)
-    i, n = np.unique(g, return_counts=True)
-    return i, (n / max(1, len(g))).astype(np.float64)
+    count = np.zeros(1 << bits, np.int64)
+    total = 0
+    for piece, sign in blocks(text):
+        g = grams(piece, bits)
+        total += sign * len(g)
+        count += sign * np.bincount(g, minlength=1 << bits)
+    i = np.flatnonzero(count)
+    return i, count[i] / max(1, total)
+
+
+def examples(text: str, place: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The features of a training text and, as short texts are to be told apart too, of a short piece of it."""
+    out = [features(text, bits)]
+    if len(text) > 80:
+        a = place % (len(text) - 40)
+        out.append(features(text[a : a + 8 + place % 32], bits))
+    return out
+
+
+def train(rows: list[tuple[str, str]], bits: int = 16, seed: int = 7, **options) -> LanguageModel:
+    """A model of the rows (text, lang)."""
+    places = np.random.default_rng(seed).integers(0, 1 << 30, len(rows)).tolist()
+    return fit([(k, lang, i, tf) for k, ((text, lang), place) in enumerate(zip(rows, places, strict=True)) for i, tf in examples(text, place, bits)], bits, seed=seed, **options)
 
 
-def train(rows: list[tuple[str, str]], bits: int = 16, alpha: float = 0.5, beta: float = 1.0, l1: float = 2e-4, l2: float = 1e-4, epochs: int = 3, scale: float = 8.0, seed: int = 7) -> LanguageModel:
-    """FTRL-proximal over the rows (text, lang); every fifth row is kept for the temperature."""
-    langs = tuple(sorted({lang for _, lang in rows}))
+def fit(data: list[tuple[int, str, np.ndarray, np.ndarray]], bits: int = 16, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 1e-4, epochs: int = 3, scale: float = 8.0, seed: int = 7) -> LanguageModel:
+    """FTRL-proximal over examples (source row, lang, n-grams, term frequencies).
+
+    All examples of every HELD_BACK-th source row are kept for the temperature, so that none of their texts is
+    trained on, not even a piece of one; they don't count for the idf either.
+    """
+    langs = tuple(sorted({lang for _, lang, _, _ in data}))
     if not langs:
         return LanguageModel((), np.zeros((1 << bits, 0), np.float32), np.zeros(0), 1.0, bits)
     size, k = 1 << bits, len(langs)
     rng = np.random.default_rng(seed)
-    data = []
-    for text, lang in rows:
-        y = langs.index(lang)
-        data.append((*features(text, bits), y))
-        if len(text) > 80:  # a short piece of the same text, as short texts are to be told apart too
-            a = int(rng.integers(0, len(text) - 40))
-            data.append((*features(text[a : a + int(rng.integers(8, 40))], bits), y))
+    number = {lang: y for y, lang in enumerate(langs)}
+    keep = [(i, tf, number[lang]) for row, lang, i, tf in data if row % HELD_BACK == HELD_BACK - 1]
+    fit = [(i, tf, number[lang]) for row, lang, i, tf in data if row % HELD_BACK != HELD_BACK - 1]
     df = np.zeros(size)
-    for i, _, _ in data:
+    for i, _, _ in fit:
         df[i] += 1
-    idf = np.log((1 + len(data)) / (1 + df)) + 1
-    keep = [x for j, x in enumerate(data) if j % 5 == 4] or data
-    fit = [x for j, x in enumerate(data) if j % 5 != 4] or data
+    idf = np.log((1 + len(fit)) / (1 + df)) + 1
     z, s = np.zeros((size, k)), np.zeros((size, k))
     zb, sb = np.zeros(k), np.zeros(k)
 
@@ -103,6 +133,8 @@ def train(rows: list[tuple[str, str]], bits: int = 16, alpha: float = 0.5, beta:
             sb += p2
     w, b = weigh(z, s), -zb * alpha / (beta + np.sqrt(sb))
     weights = (scale * idf[:, None] * w).astype(np.float32)
+    if not keep:  # too few rows to keep any
+        return LanguageModel(langs, weights, b, 1.0, bits)
     logits = np.array([tf @ weights[i] + b for i, tf, _ in keep])
     gold = np.array([y for _, _, y in keep])
     return LanguageModel(langs, weights, b, fit_temperature(logits, gold), bits)
@@ -145,14 +177,10 @@ def predict(model: LanguageModel, texts: list[str]) -> tuple[list[str], list[flo
 
     for i, text in enumerate(texts):
         if len(text) > BLOCK_CHARS:
-            # a long text in pieces that share two characters, so that no n-gram is missed or counted twice
-            for a in range(0, len(text), BLOCK_CHARS):
-                piece, lead = text[max(0, a - 2) : a + BLOCK_CHARS], text[max(0, a - 2) : a]
-                for part, sign in ((piece, 1), (lead, -1)):
-                    if part:
-                        g = grams(part, model.bits)
-                        total[i] += sign * model.weights[g].sum(axis=0, dtype=np.float64)
-                        count[i] += sign * len(g)
+            for piece, sign in blocks(text):
+                g = grams(piece, model.bits)
+                total[i] += sign * model.weights[g].sum(axis=0, dtype=np.float64)
+                count[i] += sign * len(g)
         elif text:
             group.append(i)
             held += len(text)
@@ -165,31 +193,48 @@ def predict(model: LanguageModel, texts: list[str]) -> tuple[list[str], list[flo
     return [model.langs[b] for b in best], p[np.arange(len(texts)), best].tolist()
 
 
-def sample_rows(docs: DataFrame, lang_col: str, per_lang: int) -> list[tuple[str, str]]:
-    """At most ``per_lang`` rows of each language, chosen by a hash of the id; of each a span of at most SPAN characters, from a place the hash tells."""
-    sizes = {r[0]: r[1] for r in docs.where(F.col(lang_col).isNotNull()).groupBy(lang_col).count().collect()}
+def sampled_examples(docs: DataFrame, lang_col: str, per_lang: int, bits: int) -> list[tuple[int, str, np.ndarray, np.ndarray]]:
+    """The examples of at most ``per_lang`` rows of each language, chosen by a hash of the id; texts are read whole, on the executors."""
+    known = docs.where(F.col("text").isNotNull() & F.col(lang_col).isNotNull())
+    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
     if not sizes:
         return []
     h = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30))
     rate = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, (per_lang + 3 * math.sqrt(per_lang)) / n) * (1 << 30))])
-    start = F.lit(1) + F.pmod(h, F.greatest(F.lit(1), F.length("text") - SPAN + 1))
-    span = F.col("text").substr(start.cast("int"), F.lit(SPAN)).alias("text")
-    rows = docs.where(F.col("text").isNotNull() & F.col(lang_col).isNotNull() & (h < rate[F.col(lang_col)])).select(span, F.col(lang_col).alias("lang"), h.alias("h")).collect()
-    out: list[tuple[str, str]] = []
-    for lang in sorted(sizes):
-        mine = sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["h"], r["text"]))[:per_lang]
-        out += [(r["text"], lang) for r in mine]
+    rows = known.where(h < rate[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), h.alias("h"), F.xxhash64("text").alias("t"), "text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                out = []
+                for k, (lang, h, t, text) in enumerate(zip(*(c.to_pylist() for c in part.columns), strict=True)):
+                    out += [(lang, h, t, k, piece, i.astype(np.int32), tf) for piece, (i, tf) in enumerate(examples(text, t % (1 << 30), bits))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*out, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+    fields = [("lang", pa.string()), ("h", pa.int64()), ("t", pa.int64()), ("k", pa.int64()), ("piece", pa.int64()), ("i", pa.list_(pa.int32())), ("tf", pa.list_(pa.float64()))]
+    found = rows.mapInArrow(read, "lang string, h long, t long, k long, piece long, i array<int>, tf array<double>").toArrow()
+    flat = [found.column(n).to_numpy() if n not in ("lang", "i", "tf") else found.column(n) for n, _ in fields]
+    lang = np.array(flat[0].to_pylist(), object)
+    order = np.lexsort((flat[4], flat[3], flat[2], flat[1], lang.astype(str)))
+    out, count = [], dict.fromkeys(sizes, 0)
+    for j in order.tolist():
+        count[lang[j]] += int(flat[4][j] == 0)
+        if count[lang[j]] <= per_lang:  # the text's hash stands for the source row, so that copies stay together
+            out.append((int(flat[2][j]), lang[j], flat[5][j].values.to_numpy(), flat[6][j].values.to_numpy()))
     return out
 
 
 def identify(docs: DataFrame, labelled: DataFrame, per_lang: int = 600, lang_col: str = "lang", keep: list[str] | None = None, **options) -> DataFrame:
     """doc_id, lang_pred, score for every row of ``docs`` (doc_id, text), by a model of ``labelled`` (doc_id, text, lang).
 
-    A null text, or one without a letter, is ``und`` with score 0. Repeated rows are scored each. With no
-    labelled row at all, every text is ``und``. Columns besides those named are ignored, but for those in
-    ``keep``, which are returned as they are before lang_pred and score.
+    A null text, or one without a letter, is ``und`` with score 0, and so is every text if there is no labelled row.
+    Equally likely languages: the first by name. Repeated rows are scored each, an empty table gives no row, texts
+    of any length are scored whole, in blocks. Columns besides those named are ignored, but for those in ``keep``,
+    which are returned as they are before lang_pred and score.
     """
-    model = train(sample_rows(labelled, lang_col, per_lang), **options)
+    bits = options.pop("bits", 16)
+    model = fit(sampled_examples(labelled, lang_col, per_lang, bits), bits, **options)
     held = docs.sparkSession.sparkContext.broadcast(model)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     names = keep or ["doc_id"]
