@@ -1,25 +1,58 @@
 """Queries over whole tables, and the linker's acceptance rule, against brute force."""
 
 import itertools
+import random
+import re
 
 from pyspark.sql import functions as F
-from tidewell.operators import linker
+from tidewell.operators import graph, linker, sinks
 from tidewell.operators import text as X
 from tidewell.plans import registry
 from tidewell.plans.text import PART_RULE
 
 
-def test_acceptance_rule():
-    rule = linker.AcceptRule(stop=frozenset({"cream"}), discriminators=frozenset({"mini"}), forms=("cream", "serum", "eye cream".replace(" ", "")))
-    ok = lambda a, b: linker.accepts(rule, a, b).ok
-    assert ok("green tea cream", "green tea cream") and ok("green tea cream", "green tea calm cream")
-    assert not ok("green tea cream", "green tea serum")  # form
-    assert not ok("green tea cream", "mini green tea cream")  # discriminator
-    assert ok("green minitea cream", "green mini tea cream")  # by characters it does not differ
-    assert not ok("green tea 20 cream", "green tea 30 cream")  # number
-    assert not ok("abc cream", "xyz cream")  # generic words are no evidence
-    assert ok("greentea cream", "green tea cream")  # Dice alone
-    assert linker.accepts(rule, "", "").dice == 0
+def accepts(rule, a, b):
+    """(accepted, jaccard, dice) of two names, word by word."""
+    tokens = [frozenset(t for t in n.split() if len(t) >= 2 or t.isdigit()) for n in (a, b)]
+    x, y = (t - rule.stop for t in tokens)
+    glued = [n.replace(" ", "") for n in (a, b)]
+    p, q = (frozenset(g[i : i + 2] for i in range(len(g) - 1)) for g in glued)
+    numbers = [frozenset(t for t in n.split() if re.fullmatch(r"[\d\.]+", t)) for n in (a, b)]
+    form = re.compile("|".join(map(re.escape, sorted(rule.forms, key=len, reverse=True))) or r"(?!)")
+    last = [dict(rule.form_map).get(f[-1], f[-1]) if (f := form.findall(g)) else "" for g in glued]
+    jaccard = len(x & y) / len(x | y) if x | y else 0.0
+    dice = round(2 * len(p & q) / (len(p) + len(q)), 3) if p and q else 0.0
+    differ = any((t in glued[0]) != (t in glued[1]) for t in (x ^ y) & rule.discriminators) or numbers[0] != numbers[1]
+    near = (jaccard >= 0.5 and bool(x & y)) or dice >= 0.7 or (len(x & y) >= 2 and dice >= 0.6)
+    return last[0] == last[1] and not differ and near, jaccard, dice
+
+
+def decided(spark, rule, pairs):
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    d = df.select("i", linker.accepts(rule, linker.described(rule, F.col("a")), linker.described(rule, F.col("b"))).alias("d")).orderBy("i")
+    return [(r.d.accepted, r.d.jaccard, r.d.dice) for r in d.collect()]
+
+
+RULE = linker.AcceptRule(stop=frozenset({"cream"}), discriminators=frozenset({"mini"}), forms=("cream", "serum", "eyecream", "balm"), form_map=(("balm", "serum"),))
+
+
+def test_acceptance_rule(spark):
+    cases = [
+        ("green tea cream", "green tea cream", True), ("green tea cream", "green tea calm cream", True),
+        ("green tea cream", "green tea serum", False),  # form
+        ("green tea balm", "green tea serum", True),  # a form that counts as the other
+        ("green tea cream", "mini green tea cream", False),  # discriminator
+        ("green minitea cream", "green mini tea cream", True),  # by characters it does not differ
+        ("green tea 20 cream", "green tea 30 cream", False),  # number
+        ("abc cream", "xyz cream", False),  # generic words are no evidence
+        ("greentea cream", "green tea cream", True),  # Dice alone
+        ("", "", False), ("a", "a", False), ("5", "5", True),
+    ]
+    assert [x[0] for x in decided(spark, RULE, [c[:2] for c in cases])] == [c[2] for c in cases]
+    words = ["green", "tea", "cream", "serum", "mini", "balm", "5", "7.5", "x", "calm"]
+    rng = random.Random(1)
+    pairs = [[" ".join(rng.choice(words) for _ in range(rng.randint(0, 5))) for _ in "ab"] for _ in range(300)]
+    assert decided(spark, RULE, pairs) == [accepts(RULE, *p) for p in pairs]
 
 
 def test_pair_decisions_cover_the_whole_table(spark, sf):
@@ -27,18 +60,71 @@ def test_pair_decisions_cover_the_whole_table(spark, sf):
     want = {}
     for a, b in itertools.combinations(sorted(rows, key=lambda r: r.p_partkey), 2):
         if a.p_brand == b.p_brand:
-            m = linker.accepts(PART_RULE, a.p_name, b.p_name)
-            want[a.p_partkey, b.p_partkey] = (m.ok, m.jaccard, m.dice)
+            want[a.p_partkey, b.p_partkey] = accepts(PART_RULE, a.p_name, b.p_name)
     got = registry.QUERIES["dc6_pair_decisions"](spark, sf).collect()
     assert len(got) == len(want) and {(r.a, r.b): (r.accepted, r.jaccard, r.dice) for r in got} == want
     assert {ok for ok, _, _ in want.values()} == {True, False}
 
 
+def test_candidates_lose_no_accepted_pair(spark):
+    rng = random.Random(2)
+    words = ["green", "tea", "cream", "serum", "mini", "balm", "calm", "greentea", "aloe", "aloevera", "vera", "rose"]
+    names = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) for _ in range(150)})
+    df = spark.createDataFrame([("b", n) for n in names], "block string, name string").withColumn("d", linker.described(RULE, F.col("name")))
+    got = {(r.m, r.n) for r in linker.candidate_pairs(df).collect()}
+    want = {(a, b) for a in names for b in names if a != b and accepts(RULE, a, b)[0]}
+    assert want <= got and len(want) > 50
+
+
 def test_clusters_by_rule(spark):
-    rows = [("b", 1, "x", ["red", "pen"]), ("b", 2, "y", ["red", "pen", "xl"]), ("b", 3, "z", ["red", "pen", "2"]), ("b", 4, "y", ["red", "pens"])]
-    df = spark.createDataFrame(rows, "brand string, k int, site string, tokens array<string>")
+    rows = [
+        ("b", 1, "x", "red pen"), ("b", 2, "y", "red pen xl"), ("b", 3, "z", "red pen 2"), ("b", 4, "y", "red pens"), ("b", 5, "x", "red pen"), ("b", 6, "z", "red pens"),
+        ("c", 7, "x", "red pen"), (None, 8, "x", "red pen"), ("c", 9, None, "red pen"), ("c", 10, "y", None), ("c", 11, "z", ""),
+    ]
+    df = spark.createDataFrame(rows, "brand string, k int, site string, name string")
     rule = linker.AcceptRule(discriminators=frozenset({"xl"}))
-    assert {r.k: r.cluster for r in linker.clusters(df, "brand", "k", "site", "tokens", rule=rule).collect()} == {1: 1, 2: 2, 3: 3, 4: 1}
+    got = {r.k: (r.cluster, r.sites) for r in linker.clusters(df, "brand", "k", "site", "name", rule).collect()}
+    assert got == {1: (1, 3), 4: (1, 3), 5: (1, 3), 6: (1, 3), 2: (2, 1), 3: (3, 1), 7: (7, 1), 8: (8, 1), 9: (9, 0), 10: (10, 1), 11: (11, 1)}
+    assert linker.clusters(df.limit(0), "brand", "k", "site", "name", rule).count() == 0
+
+
+def test_connected(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(50)] + [(5, 5)]
+    up = {}
+
+    def root(i):
+        while up.setdefault(i, i) != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        if a != b:
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in graph.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in up}
+
+
+def test_conditional_upsert_with_nulls(spark):
+    old = spark.createDataFrame([(1, None, 5.0), (2, "x", 1.0), (3, "y", None), (5, "v", 2.0)], "k long, a string, b double")
+    new = spark.createDataFrame([(2, None, 9.0), (4, None, None), (3, "z", 2.0), (5, "w", 1.0)], "k long, a string, b double")
+    got = sinks.conditional_upsert(old, new, ["k"], ["a", "b"], F.col("new.b") > F.col("old.b")).orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(1, None, 5.0), (2, None, 9.0), (3, "y", None), (4, None, None), (5, "v", 2.0)]
+
+
+def test_terms_of_any_script_match(spark):
+    docs = [(1, "이 수분크림을 발라요 The Cream"), (2, "no thecream here, cream."), (3, None), (4, ""), (5, "한a 비타민C"), (6, "Été, été; étés"), (7, "x1 a-b cream cream")]
+    terms = ["수분크림", "cream", "THE cream", "한", "림을", "", "한a", "비타민c", "été", "x1", "a-b"]
+    got = sorted((r.id, r.term, r.span_start) for r in X.match_terms(spark.createDataFrame(docs, "id long, text string"), "text", spark.createDataFrame([(t,) for t in terms], "term string"), "term", "id").collect())
+    want = []
+    for i, text in docs:
+        for t in terms:
+            low = t.lower()
+            pattern = rf"(?<![a-z0-9]){re.escape(low)}(?![a-z0-9])" if re.match("[a-z0-9]", low) else re.escape(low)
+            if t and text and (m := re.search(pattern, text.lower())):
+                want.append((i, t, m.start()))
+    assert got == sorted(want)
 
 
 def test_term_shapes(spark):

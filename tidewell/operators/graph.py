@@ -1,10 +1,32 @@
-"""Graphs of pipeline steps: layers and feedback edges. Such graphs are small tables of a stage catalogue."""
+"""Graphs: connected components of any size, and layers and feedback edges of small tables of pipeline steps."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b): root is the least node that it is connected with.
+
+    Each round links every node to the least one among its neighbours' links; rounds grow with the logarithm of the
+    longest chain, and each is written to the shared folder.
+    """
+    links = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    seen = None
+    while True:
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # a node and all its neighbours are linked to the least of them
+        step = both.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        links = written(step.where("a > b").distinct(), "links")
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == seen:
+            return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        seen = now
+
 
 def layers(edges: DataFrame, a: str, b: str, most: int = 50) -> DataFrame:
     """(node, layer): the longest path from a node without incoming edges. Raises where a cycle lets paths grow past ``most``."""

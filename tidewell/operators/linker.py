@@ -1,16 +1,16 @@
-"""Entity resolution: pairwise scores within blocks, mutual best matches, clusters."""
+"""Entity resolution: an acceptance rule of names in column expressions, mutual best matches between sites, clusters."""
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import connected
+
 
 @dataclass(frozen=True)
 class AcceptRule:
@@ -22,44 +22,68 @@ class AcceptRule:
     form_map: tuple[tuple[str, str], ...] = ()  # a form and the one it counts as
 
 
-@dataclass(frozen=True)
-class Match:
-    ok: bool
-    jaccard: float
-    dice: float
-    shared_tok: int
-    shared_sig: int
-
-
-def accepts(rule: AcceptRule, a: str, b: str) -> Match:
-    """Equal form, no differing discriminator or number, and Jaccard of significant words >= .5, bigram Dice >= .7, or two shared words with Dice >= .6."""
-    tokens = [frozenset(t for t in n.split() if len(t) >= 2 or t.isdigit()) for n in (a, b)]
-    significant = [t - rule.stop for t in tokens]
-    glued = [n.replace(" ", "") for n in (a, b)]
-    grams = [frozenset(g[i : i + 2] for i in range(len(g) - 1)) for g in glued]
-    numbers = [frozenset(t for t in n.split() if re.fullmatch(r"[\d\.]+", t)) for n in (a, b)]
-    form = re.compile("|".join(map(re.escape, sorted(rule.forms, key=len, reverse=True))) or r"(?!)")
-    last = [dict(rule.form_map).get(f[-1], f[-1]) if (f := form.findall(g)) else "" for g in glued]
-    sig, union = significant[0] & significant[1], significant[0] | significant[1]
-    jaccard = len(sig) / len(union) if union else 0.0
-    dice = round(2 * len(grams[0] & grams[1]) / (len(grams[0]) + len(grams[1])), 3) if grams[0] and grams[1] else 0.0
+def literal(values: Sequence[str]) -> Column:
+    return F.array(*[F.lit(v) for v in sorted(values)]).cast("array<string>")
+
+
+def described(rule: AcceptRule, name: Column) -> Column:
+    """What the rule looks at of a normal name: words, significant ones, bigrams of the glued name, numbers and form."""
+    words = F.filter(F.split(name, " "), lambda w: w != "")
+    tokens = F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 2) | w.rlike("^[0-9]$")))
+    glued = F.replace(name, F.lit(" "))
+    grams = F.when(F.length(glued) >= 2, F.transform(F.sequence(F.lit(1), F.length(glued) - 1), lambda i: F.substring(glued, i, 2))).otherwise(F.array().cast("array<string>"))
+    forms = "|".join(map(re.escape, sorted(rule.forms, key=lambda f: (-len(f), f)))) or "(?!)"
+    last = F.try_element_at(F.regexp_extract_all(glued, F.lit(forms), 0), F.lit(-1))
+    mapped = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in rule.form_map for x in pair]), last), last) if rule.form_map else last
+    return F.struct(
+        tokens.alias("tokens"), F.array_except(tokens, literal(rule.stop)).alias("significant"), F.array_distinct(grams).alias("grams"),
+        F.array_distinct(F.filter(words, lambda w: w.rlike(r"^[\d.]+$"))).alias("numbers"), F.coalesce(mapped, F.lit("")).alias("form"), glued.alias("glued"),
+    )
+
+
+def accepts(rule: AcceptRule, a: Column, b: Column) -> Column:
+    """Equal form, no differing discriminator or number, and Jaccard of significant words >= .5, bigram Dice >= .7, or two shared words with Dice >= .6.
+
+    A struct (accepted, jaccard, dice, shared_tok, shared_sig) of two described names.
+    """
+    both = lambda c: F.size(F.array_intersect(a[c], b[c]))
+    sig, union = both("significant"), F.size(F.array_union(a["significant"], b["significant"]))
+    jaccard = F.when(union > 0, sig / union).otherwise(0.0)
+    size = F.size(a["grams"]) + F.size(b["grams"])
+    dice = F.when(F.least(F.size(a["grams"]), F.size(b["grams"])) > 0, F.bround(2 * both("grams") / size, 3)).otherwise(0.0)
     # a discriminator that both names have by characters does not differ
-    differing = any((t in glued[0]) != (t in glued[1]) for t in (significant[0] ^ significant[1]) & rule.discriminators) or numbers[0] != numbers[1]
-    near = (jaccard >= 0.5 and len(sig) >= 1) or dice >= 0.7 or (len(sig) >= 2 and dice >= 0.6)
-    return Match(last[0] == last[1] and not differing and near, jaccard, dice, len(tokens[0] & tokens[1]), len(sig))
+    one_sided = lambda d: F.array_contains(a["significant"], d) != F.array_contains(b["significant"], d)
+    differing = F.exists(literal(rule.discriminators), lambda d: one_sided(d) & (a["glued"].contains(d) != b["glued"].contains(d)))
+    numbers = F.array_sort(a["numbers"]) != F.array_sort(b["numbers"])
+    near = ((jaccard >= 0.5) & (sig >= 1)) | (dice >= 0.7) | ((sig >= 2) & (dice >= 0.6))
+    ok = (a["form"] == b["form"]) & ~differing & ~numbers & near
+    return F.struct(ok.alias("accepted"), jaccard.alias("jaccard"), dice.alias("dice"), both("tokens").alias("shared_tok"), sig.alias("shared_sig"))
 
 
-def pair_decisions(items: DataFrame, block: str, key: str, name: str, rule: AcceptRule) -> DataFrame:
-    """(a, b, accepted, jaccard, dice), a < b: every pair of a block's items. Decided once for each pair of different names."""
+def candidate_pairs(names: DataFrame, *, least_words: float = 0.5, least_dice: float = 0.6) -> DataFrame:
+    """(block, m, n), m and n of different names of a block of which a rule may accept the pair; ``names`` are (block, name, d).
+
+    A pair of Jaccard .5 shares one of the first words of both names, in an order of rising frequency, and one of
+    Dice .6 one of their first bigrams. So pairs come of equal words and bigrams, never of a whole block.
+    """
+    shares = {"significant": least_words, "grams": least_dice / (2 - least_dice)}
+    parts = [names.select("block", "name", F.lit(k).alias("kind"), F.explode(f"d.{k}").alias("e"), F.ceil(F.size(f"d.{k}") * (1 - share) + 1e-9).alias("first")) for k, share in shares.items()]
+    # n - ceil(share n) + 1 leading elements, which is at most that ceil
+    rows = parts[0].unionByName(parts[1]).withColumn("first", F.greatest("first", F.lit(1)))
+    counted = rows.join(rows.groupBy("block", "kind", "e").agg(F.count("*").alias("c")), ["block", "kind", "e"])
+    place = F.row_number().over(Window.partitionBy("block", "name", "kind").orderBy("c", "e"))
+    lead = counted.withColumn("place", place).where("place <= first + 1").select("block", "name", "kind", "e")
+    pairs = lead.select("block", "kind", "e", F.col("name").alias("m")).join(lead.select("block", "kind", "e", F.col("name").alias("n")), ["block", "kind", "e"]).where("m != n")
+    return pairs.select("block", "m", "n").distinct()
 
-    def decide(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(m.ok, m.jaccard, m.dice) for m in (accepts(rule, x or "", y or "") for x, y in zip(a, b, strict=True))], columns=["accepted", "jaccard", "dice"])
 
-    decided = F.pandas_udf(decide, "accepted boolean, jaccard double, dice double")
+def pair_decisions(items: DataFrame, block: str, key: str, name: str, rule: AcceptRule) -> DataFrame:
+    """(a, b, accepted, jaccard, dice), a < b: every pair of a block's items. Decided once for each pair of different names."""
     items = items.select(F.col(block).alias("block"), F.col(key).alias("key"), F.coalesce(name, F.lit("")).alias("name"))
-    names = items.select("block", "name").distinct()
-    pairs = names.select("block", F.col("name").alias("m")).join(names.select("block", F.col("name").alias("n")), "block").withColumn("d", decided("m", "n"))
-    a, b = (items.select("block", F.col("name").alias(n), F.col("key").alias(k)) for n, k in (("m", "a"), ("n", "b")))
+    names = items.select("block", "name").distinct().withColumn("d", described(rule, F.col("name")))
+    m, n = (names.select("block", F.col("name").alias(x), F.col("d").alias(f"d{x}")) for x in "mn")
+    pairs = m.join(n, "block").select("block", "m", "n", accepts(rule, F.col("dm"), F.col("dn")).alias("d"))
+    a, b = (items.select("block", F.col("name").alias(x), F.col("key").alias(k)) for x, k in (("m", "a"), ("n", "b")))
     return a.join(pairs, ["block", "m"]).join(b, ["block", "n"]).where("a < b").select("a", "b", "d.accepted", "d.jaccard", "d.dice")
 
 
@@ -77,46 +101,42 @@ def mutual_best(items: DataFrame, key: str, block: Sequence[str], distance: Call
     return best.join(back, ["a", "b"]).where("a < b").select("a", "b", "d")
 
 
-def clusters(items: DataFrame, block: str, key: str, site: str, tokens: str, accept: float = 0.5, rule: AcceptRule | None = None) -> DataFrame:
-    """(block, key, cluster): items of different sites joined while their token sets' Jaccard similarity is ``accept`` or more
-    and neither cluster has the other's site yet. Pairs are taken by falling similarity, then by key, within each block.
-    With a ``rule``, it decides instead, on the tokens as a name; more shared significant words and then higher Dice go first.
+def best_matches(items: DataFrame, block: str, site: str, name: str, rule: AcceptRule) -> DataFrame:
+    """(block, site, name, other_site, other_name, shared_tok, shared_sig, dice, mutual): each name's best match on each other site.
 
-    The decision depends on what was joined before, so a block is resolved as one group; blocks are brands, and
-    bounded by a brand's catalogue.
+    Among the accepted names of a site the one with more shared significant words, then higher Dice, then the
+    lesser name is best. Items of one site and name (bundles, sizes) are one. ``mutual`` tells that each is the
+    other's best.
     """
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([site, key], kind="stable").reset_index(drop=True)
-        sets = [frozenset(x) for x in pdf[tokens]]
-        names = [" ".join(x) for x in pdf[tokens]]
-        decide = functools.lru_cache(maxsize=1 << 16)(functools.partial(accepts, rule))
-        up = list(range(len(pdf)))
-        sites = [{s} for s in pdf[site]]
-
-        def root(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        pairs = []
-        for i in range(len(sets)):
-            for j in range(i + 1, len(sets)):
-                if pdf[site][i] != pdf[site][j] and rule:
-                    m = decide(names[i], names[j])
-                    if m.ok:
-                        pairs.append(((-m.shared_sig, -m.dice), pdf[key][i], pdf[key][j], i, j))
-                elif pdf[site][i] != pdf[site][j] and (sets[i] or sets[j]):
-                    s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
-                    if s >= accept:
-                        pairs.append((-s, pdf[key][i], pdf[key][j], i, j))
-        for _, _, _, i, j in sorted(pairs):
-            a, b = root(i), root(j)
-            if a != b and not sites[a] & sites[b]:
-                up[max(a, b)] = min(a, b)
-                sites[min(a, b)] |= sites[max(a, b)]
-        return pd.DataFrame({block: pdf[block], key: pdf[key], "cluster": [pdf[key][root(i)] for i in range(len(pdf))]})
-
-    kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
-    return items.select(block, key, site, tokens).groupBy(block).applyInPandas(solve, f"{block} {kinds[block]}, {key} {kinds[key]}, cluster {kinds[key]}")
+    items = items.select(F.col(block).alias("block"), F.col(site).alias("site"), F.coalesce(name, F.lit("")).alias("name")).where("block is not null and site is not null and name != ''").distinct()
+    names = items.select("block", "name").distinct().withColumn("d", described(rule, F.col("name")))
+    m, n = (names.select("block", F.col("name").alias(x), F.col("d").alias(f"d{x}")) for x in "mn")
+    near = candidate_pairs(names).where("m < n").join(m, ["block", "m"]).join(n, ["block", "n"]).select("block", "m", "n", accepts(rule, F.col("dm"), F.col("dn")).alias("x")).where("x.accepted")
+    same = names.select("block", F.col("name").alias("m"), F.col("name").alias("n"), accepts(rule, F.col("d"), F.col("d")).alias("x")).where("x.accepted")
+    pairs = near.unionByName(near.select("block", F.col("n").alias("m"), F.col("m").alias("n"), "x")).unionByName(same)
+    a, b = items.select("block", "site", F.col("name").alias("m")), items.select("block", F.col("site").alias("other_site"), F.col("name").alias("n"))
+    met = pairs.join(a, ["block", "m"]).join(b, ["block", "n"]).where("site != other_site")
+    first = F.min(F.struct((-F.col("x.shared_sig")).alias("s"), (-F.col("x.dice")).alias("d"), F.col("n"), F.col("x.shared_tok").alias("t"))).alias("f")
+    best = met.groupBy("block", "site", F.col("m").alias("name"), "other_site").agg(first)
+    best = best.select("block", "site", "name", "other_site", F.col("f.n").alias("other_name"), F.col("f.t").alias("shared_tok"), (-F.col("f.s")).alias("shared_sig"), (-F.col("f.d")).alias("dice"))
+    back = best.select("block", F.col("other_site").alias("site"), F.col("other_name").alias("name"), F.col("site").alias("other_site"), F.col("name").alias("other_name"), F.lit(True).alias("mutual"))
+    return best.join(back, ["block", "site", "name", "other_site", "other_name"], "left").withColumn("mutual", F.coalesce("mutual", F.lit(False)))
+
+
+def clusters(items: DataFrame, block: str, key: str, site: str, name: str, rule: AcceptRule) -> DataFrame:
+    """(block, key, site, cluster, sites, score): the items that mutual best matches between sites join, over any number of them.
+
+    A cluster is named by its least key; ``sites`` is how many it spans, ``score`` the highest Dice of an item's own
+    mutual matches (null without any). Items without a block, a site or a name are clusters of their own.
+    """
+    best = best_matches(items, block, site, name, rule).where("mutual")
+    node = lambda s, n: F.struct("block", F.col(s).alias("site"), F.col(n).alias("name"))
+    roots = connected(best.select(node("site", "name").alias("a"), node("other_site", "other_name").alias("b")))
+    own = items.select(F.col(block).alias("block"), F.col(key).alias("key"), F.col(site).alias("site"), F.coalesce(name, F.lit("")).alias("name"))
+    score = best.groupBy("block", "site", "name").agg(F.max("dice").alias("score"))
+    placed = own.join(roots.select("node.*", "root"), ["block", "site", "name"], "left").join(score, ["block", "site", "name"], "left")
+    whole = F.col("block").isNotNull() & F.col("site").isNotNull() & (F.col("name") != "")
+    placed = placed.withColumn("root", F.when(whole, F.coalesce("root", F.struct("block", "site", "name")))).withColumn("alone", F.when(~whole, F.col("key")))
+    least = placed.groupBy("root", "alone").agg(F.min("key").alias("cluster"), F.count_distinct("site").alias("sites"))
+    out = placed.join(least, placed["root"].eqNullSafe(least["root"]) & placed["alone"].eqNullSafe(least["alone"]))
+    return out.select(F.col("block").alias(block), F.col("key").alias(key), F.col("site").alias(site), "cluster", "sites", "score")

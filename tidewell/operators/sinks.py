@@ -28,9 +28,10 @@ def coalesce_merge(old: DataFrame, new: DataFrame, key: Sequence[str], merged: S
 
 
 def conditional_upsert(old: DataFrame, new: DataFrame, key: Sequence[str], values: Sequence[str], when: Column) -> DataFrame:
-    """A new row replaces the old one of its key only where ``when`` (over ``old.*`` and ``new.*``) holds."""
-    joined = old.alias("old").join(new.alias("new"), list(key), "full_outer").withColumn("__old", F.coalesce(*[F.col(f"old.{c}").isNotNull() for c in values[:1]]))
-    take = (F.col(f"old.{values[0]}").isNull()) | (F.col(f"new.{values[0]}").isNotNull() & when)
+    """A new row replaces the old one of its key only where ``when`` (over ``old.*`` and ``new.*``) holds; null values are values."""
+    a, b = old.withColumn("__old", F.lit(True)).alias("old"), new.withColumn("__new", F.lit(True)).alias("new")
+    joined = a.join(b, list(key), "full_outer")
+    take = F.col("old.__old").isNull() | (F.col("new.__new").isNotNull() & F.coalesce(when, F.lit(False)))
     return joined.select(*key, *[F.when(take, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in values])
 
 

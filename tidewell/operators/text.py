@@ -50,18 +50,28 @@ def sentences(text: Column, minimum: int = 4) -> Column:
     return F.when(F.size(parts) > 0, parts).when(F.length(whole) > 0, F.array(whole)).otherwise(F.array().cast("array<string>"))
 
 
-def match_terms(docs: DataFrame, text: str, terms: DataFrame, term: str) -> DataFrame:
-    """Rows of ``docs`` with each dictionary term (Latin letters) that their text has as a whole word, and its first place.
+def match_terms(docs: DataFrame, text: str, terms: DataFrame, term: str, key: str) -> DataFrame:
+    """Rows of ``docs`` with each dictionary term that their text has, and its first place, whatever the letters' case.
 
-    The text is split into words once and met with the dictionary by equality, so the work does not grow with
-    texts times terms. Terms of several words are checked against the text of their first word's rows only.
+    A term that starts with a Latin letter or a digit is met as a whole word; one in another script anywhere, as
+    its words carry endings. Words and pairs of characters of the texts are met with the dictionary by equality, so
+    the work does not grow with texts times terms; only (``key``, term) is shuffled, and a text comes back once for
+    all its candidates. Rows of one key are taken for one.
     """
-    words = docs.withColumn("__w", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0))))
-    t = terms.withColumn("__w", F.regexp_extract(F.lower(term), "[a-z0-9]+", 0))
-    found = words.join(t, "__w").drop("__w")
-    pattern = F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.lower(term), F.lit(r"\E(?![a-z0-9])"))
-    place = F.regexp_instr(F.lower(text), pattern)
-    return found.withColumn("span_start", place - 1).where("span_start >= 0")
+    low = F.lower(text)
+    latin = F.lower(term).rlike("^[a-z0-9]")
+    t = terms.withColumn("__w", F.when(latin, F.regexp_extract(F.lower(term), "^[a-z0-9]+", 0)).otherwise(F.regexp_extract(F.lower(term), "^(?s:[^\\x00-\\x7f]{1,2}|.)", 0))).where(F.length("__w") > 0)
+    words = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), 0)
+    # pairs of characters, of which the first is of another script; a term of one character is met by its own
+    others = F.regexp_replace(low, "[\\x00-\\x7f]{2,}", " ")
+    at = F.when(F.length(others) > 0, F.sequence(F.lit(1), F.length(others))).otherwise(F.array().cast("array<int>"))
+    pairs = F.flatten(F.transform(at, lambda i: F.array(others.substr(i, F.lit(1)), others.substr(i, F.lit(2)))))
+    named = docs.select(key, F.explode(F.array_distinct(F.concat(words, F.when(low.rlike("[^\\x00-\\x7f]"), pairs).otherwise(F.array().cast("array<string>"))))).alias("__w"))
+    met = named.join(t, "__w").drop("__w").groupBy(key).agg(F.collect_set(F.struct(*terms.columns)).alias("__t"))
+    found = docs.join(met, key).withColumn("__t", F.explode("__t")).select(*docs.columns, "__t.*")
+    bound = lambda p: F.when(latin, F.lit(p)).otherwise("")
+    pattern = F.concat(bound("(?<![a-z0-9])"), F.lit(r"\Q"), F.lower(term), F.lit(r"\E"), bound("(?![a-z0-9])"))
+    return found.withColumn("span_start", F.regexp_instr(low, pattern) - 1).where("span_start >= 0")
 
 
 _MARK = re.compile(r"\[[^\]]*\]")

@@ -104,7 +104,7 @@ def _(t):
 SELECT doc_id, topic FROM documents, (VALUES ('the'), ('und'), ('anea'), ('les')) v(topic) WHERE regexp_matches(lower(text), concat('(^|[^a-z0-9])', topic, '([^a-z0-9]|$)'))""")
 def _(t):
     topics = t.spark.createDataFrame([("the",), ("und",), ("anea",), ("les",)], "topic string")
-    return X.match_terms(t.documents.select("doc_id", "text"), "text", topics, "topic").select("doc_id", "topic")
+    return X.match_terms(t.documents.select("doc_id", "text"), "text", topics, "topic", "doc_id").select("doc_id", "topic")
 
 
 @query("j27_first_span", r"""
@@ -112,7 +112,7 @@ WITH m AS (SELECT doc_id, topic, regexp_matches(lower(text), concat('(^|[^a-z0-9
 SELECT doc_id, min_by(topic, (start, topic)) AS topic, min(start) AS span_start FROM m WHERE hit GROUP BY 1""")
 def _(t):
     topics = t.spark.createDataFrame([("the",), ("und",), ("anea",), ("les",)], "topic string")
-    m = X.match_terms(t.documents.select("doc_id", "text"), "text", topics, "topic")
+    m = X.match_terms(t.documents.select("doc_id", "text"), "text", topics, "topic", "doc_id")
     return m.groupBy("doc_id").agg(F.min_by("topic", F.struct("span_start", "topic")).alias("topic"), F.min("span_start").cast("long").alias("span_start"))
 
 
@@ -155,13 +155,44 @@ def _(t):
 PART_RULE = L.AcceptRule(stop=frozenset({"new", "plate", "rod", "ring"}), discriminators=frozenset({"large", "small"}), forms=("plate", "rod", "widget", "gear", "gizmo", "ring", "bolt", "anvil"))
 
 
-@query("gr1_entity_clusters")
+# names with what the rule looks at, and the decision on names a and b
+_NAMES = """f AS (SELECT *, list_filter(tok, lambda w: w NOT IN ('new', 'plate', 'rod', 'ring')) AS sig, list_distinct(list_transform(range(1, len(glued)), lambda i: substr(glued, i, 2))) AS grams, coalesce(list_last(regexp_extract_all(glued, 'widget|anvil|gizmo|plate|bolt|gear|ring|rod')), '') AS form
+ FROM (SELECT DISTINCT p_brand AS block, p_name AS name, replace(p_name, ' ', '') AS glued, list_distinct(list_filter(string_split(p_name, ' '), lambda w: length(w) >= 2)) AS tok FROM part)),
+u AS (SELECT a.block, a.name AS m, b.name AS n, a.form = b.form AS formed, len(list_intersect(a.sig, b.sig)) AS sig, len(list_intersect(a.tok, b.tok)) AS tok, len(list_distinct(list_concat(a.sig, b.sig))) AS joint, CASE WHEN len(a.grams) > 0 AND len(b.grams) > 0 THEN round_even(2.0 * len(list_intersect(a.grams, b.grams)) / (len(a.grams) + len(b.grams)), 3) ELSE 0 END AS dice,
+ len(list_filter(['large', 'small'], lambda d: list_contains(a.sig, d) <> list_contains(b.sig, d) AND contains(a.glued, d) <> contains(b.glued, d))) AS differ FROM f a JOIN f b USING (block)),
+d AS (SELECT *, CASE WHEN joint > 0 THEN sig / joint ELSE 0.0 END AS jaccard, formed AND differ = 0 AND ((sig >= 1 AND sig / joint >= 0.5) OR dice >= 0.7 OR (sig >= 2 AND dice >= 0.6)) AS accepted FROM u)"""
+_BEST = """s AS (SELECT DISTINCT p_brand AS block, p_partkey % 3 AS site, p_name AS name FROM part),
+best AS (SELECT block, site, name, other_site, other_name, tok, sig, dice FROM (SELECT d.block, a.site, d.m AS name, b.site AS other_site, d.n AS other_name, d.tok, d.sig, d.dice, row_number() OVER (PARTITION BY d.block, a.site, d.m, b.site ORDER BY d.sig DESC, d.dice DESC, d.n) AS place
+ FROM d JOIN s a ON d.block = a.block AND d.m = a.name JOIN s b ON d.block = b.block AND d.n = b.name WHERE accepted AND a.site <> b.site) WHERE place = 1),
+mutual AS (SELECT x.* FROM best x JOIN best y ON x.block = y.block AND x.site = y.other_site AND x.name = y.other_name AND x.other_site = y.site AND x.other_name = y.name)"""
+_CLUSTERS = f"""WITH RECURSIVE {_NAMES}, {_BEST}, e AS (SELECT concat_ws('/', block, site, name) AS a, concat_ws('/', block, other_site, other_name) AS b, dice FROM mutual),
+item AS (SELECT p_brand, p_partkey, p_partkey % 3 AS site, concat_ws('/', p_brand, p_partkey % 3, p_name) AS node FROM part), reach AS (SELECT DISTINCT node AS a, node AS b FROM item UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+c AS (SELECT reach.a AS node, min(item.p_partkey) AS cluster, count(DISTINCT item.site) AS sites FROM reach JOIN item ON reach.b = item.node GROUP BY 1), g AS (SELECT a AS node, max(dice) AS score FROM e GROUP BY 1),
+r AS (SELECT p_brand, p_partkey, site, cluster, sites, score FROM item JOIN c USING (node) LEFT JOIN g USING (node))"""
+
+
+def part_clusters(t):
+    items = t.part.select("p_brand", "p_partkey", (C("p_partkey") % 3).alias("site"), "p_name")
+    return L.clusters(items, "p_brand", "p_partkey", "site", "p_name", PART_RULE)
+
+
+@query("gr1_entity_clusters", f"{_CLUSTERS} SELECT * FROM r")
+def _(t):
+    return part_clusters(t)
+
+
+@query("gr1_candidate_matches", f"WITH {_NAMES}, {_BEST} SELECT best.block, best.site, best.name, best.other_site, best.other_name, best.tok AS shared_tok, best.sig AS shared_sig, best.dice, m.name IS NOT NULL AS mutual FROM best LEFT JOIN mutual m ON best.block = m.block AND best.site = m.site AND best.name = m.name AND best.other_site = m.other_site AND best.other_name = m.other_name")
+def _(t):
+    return L.best_matches(t.part.withColumn("site", C("p_partkey") % 3), "p_brand", "site", "p_name", PART_RULE)
+
+
+@query("gr2_product_refs", f"{_CLUSTERS} SELECT concat('p:', cluster) AS ref, p_brand, max(sites) AS sites, count(*) AS members, max(score) AS best_score FROM r WHERE sites > 1 GROUP BY cluster, p_brand")
 def _(t):
-    items = t.part.select("p_brand", "p_partkey", (C("p_partkey") % 3).alias("site"), S.token_set(C("p_name")).alias("tokens"))
-    return L.clusters(items, "p_brand", "p_partkey", "site", "tokens", rule=PART_RULE)
+    several = part_clusters(t).where("sites > 1")
+    return several.groupBy("cluster", "p_brand").agg(F.max("sites").alias("sites"), F.count("*").alias("members"), F.max("score").alias("best_score")).select(F.concat(F.lit("p:"), C("cluster").cast("string")).alias("ref"), "p_brand", "sites", "members", "best_score")
 
 
-@query("dc6_pair_decisions")
+@query("dc6_pair_decisions", f"WITH {_NAMES} SELECT a.p_partkey AS a, b.p_partkey AS b, accepted, jaccard, dice FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey JOIN d ON d.block = a.p_brand AND d.m = a.p_name AND d.n = b.p_name")
 def _(t):
     return L.pair_decisions(t.part, "p_brand", "p_partkey", "p_name", PART_RULE)
 

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, or below a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tidewell-streams"
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+from ..shared import shared_path
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
