@@ -14,7 +14,7 @@ def connected(edges: DataFrame) -> DataFrame:
     Each round links every node to the least one among its neighbours' links; rounds grow with the logarithm of the
     longest chain, and each is written to the shared folder.
     """
-    links = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

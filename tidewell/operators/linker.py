@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
 from .graph import connected
 
 
@@ -129,7 +130,7 @@ def clusters(items: DataFrame, block: str, key: str, site: str, name: str, rule:
     A cluster is named by its least key; ``sites`` is how many it spans, ``score`` the highest Dice of an item's own
     mutual matches (null without any). Items without a block, a site or a name are clusters of their own.
     """
-    best = best_matches(items, block, site, name, rule).where("mutual")
+    best = written(best_matches(items, block, site, name, rule).where("mutual"), "matches")
     node = lambda s, n: F.struct("block", F.col(s).alias("site"), F.col(n).alias("name"))
     roots = connected(best.select(node("site", "name").alias("a"), node("other_site", "other_name").alias("b")))
     own = items.select(F.col(block).alias("block"), F.col(key).alias("key"), F.col(site).alias("site"), F.coalesce(name, F.lit("")).alias("name"))

@@ -60,13 +60,11 @@ def match_terms(docs: DataFrame, text: str, terms: DataFrame, term: str, key: st
     """
     low = F.lower(text)
     latin = F.lower(term).rlike("^[a-z0-9]")
-    t = terms.withColumn("__w", F.when(latin, F.regexp_extract(F.lower(term), "^[a-z0-9]+", 0)).otherwise(F.regexp_extract(F.lower(term), "^(?s:[^\\x00-\\x7f]{1,2}|.)", 0))).where(F.length("__w") > 0)
+    t = terms.withColumn("__w", F.when(latin, F.regexp_extract(F.lower(term), "^[a-z0-9]+", 0)).otherwise(F.substring(F.lower(term), 1, 2))).where(F.length("__w") > 0)
     words = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), 0)
-    # pairs of characters, of which the first is of another script; a term of one character is met by its own
-    others = F.regexp_replace(low, "[\\x00-\\x7f]{2,}", " ")
-    at = F.when(F.length(others) > 0, F.sequence(F.lit(1), F.length(others))).otherwise(F.array().cast("array<int>"))
-    pairs = F.flatten(F.transform(at, lambda i: F.array(others.substr(i, F.lit(1)), others.substr(i, F.lit(2)))))
-    named = docs.select(key, F.explode(F.array_distinct(F.concat(words, F.when(low.rlike("[^\\x00-\\x7f]"), pairs).otherwise(F.array().cast("array<string>"))))).alias("__w"))
+    # each character of another script, and with the one after it
+    others = F.concat(F.regexp_extract_all(low, F.lit("[^\\x00-\\x7f]"), 0), F.regexp_extract_all(low, F.lit("(?s)(?=([^\\x00-\\x7f].))"), 1))
+    named = docs.select(key, F.explode(F.array_distinct(F.concat(words, others))).alias("__w"))
     met = named.join(t, "__w").drop("__w").groupBy(key).agg(F.collect_set(F.struct(*terms.columns)).alias("__t"))
     found = docs.join(met, key).withColumn("__t", F.explode("__t")).select(*docs.columns, "__t.*")
     bound = lambda p: F.when(latin, F.lit(p)).otherwise("")
