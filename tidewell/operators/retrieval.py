@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot
+from ..shared import shared_path
 
+# BM25's constants, that of rank fusion, and the characters from which a token must be known.
 K1, B = 1.2, 0.75
 RRF_K = 60
 UNKNOWN_LENGTH = 4
+#: Folders of an index's postings: a search reads those of its terms alone.
+TERM_BUCKETS = 32
 
 
 def latin_tokens(text: Column) -> Column:
@@ -24,16 +30,59 @@ def postings(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
     return t.groupBy("term", doc, "length").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, sizes: DataFrame, queries: DataFrame, doc: str, k: int | None = 10) -> DataFrame:
-    """(query, doc, score, place) for ``queries`` (query, term): Robertson-Sparck Jones weights, not below 0; ties by doc.
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
 
-    ``sizes`` has one row (n, average): documents and their mean length. Postings are cut to the query terms before
-    anything is counted.
+@dataclass(frozen=True)
+class StoredIndex:
+    """An inverted index in the shared folder: postings by bucket of their term, each term's df, and the corpus sizes.
+
+    The corpus is tokenised once, when it is built; searches read the buckets of their terms.
     """
+
+    spark: SparkSession
+    folder: str
+
+    @property
+    def postings(self) -> DataFrame:
+        """(term, doc, length, tf)."""
+        return self.spark.read.parquet(f"{self.folder}/postings")
+
+    @property
+    def terms(self) -> DataFrame:
+        """(term, df)."""
+        return self.spark.read.parquet(f"{self.folder}/terms")
+
+    @property
+    def sizes(self) -> DataFrame:
+        """One row (n, average): documents and their mean number of tokens."""
+        return self.spark.read.parquet(f"{self.folder}/sizes")
+
+    def of(self, terms: DataFrame) -> DataFrame:
+        """The postings of a small table of terms, with df; partition pruning leaves out all other buckets."""
+        wanted = terms.select("term").distinct().withColumn("bucket", term_bucket(F.col("term")))
+        df = F.broadcast(wanted.join(self.terms.select("term", "df", "bucket"), ["bucket", "term"]))
+        return self.postings.join(df, ["bucket", "term"]).drop("bucket")
+
+
+def build_index(docs: DataFrame, doc: str, tokens: Column) -> StoredIndex:
+    """Writes the index of ``docs``. A frequent term's postings stay in the parts that they were counted in."""
+    index = StoredIndex(docs.sparkSession, shared_path(docs.sparkSession, "index"))
+    found = postings(docs, doc, tokens).withColumn("bucket", term_bucket(F.col("term")))
+    found.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{index.folder}/postings")
+    stored = index.postings
+    stored.groupBy("bucket", "term").agg(F.count("*").alias("df")).sortWithinPartitions("bucket", "term").write.parquet(f"{index.folder}/terms")
+    # documents without tokens count as well
+    lengths = stored.agg(F.sum("tf").alias("total")).crossJoin(docs.agg(F.count("*").alias("n")))
+    lengths.select("n", (F.coalesce("total", F.lit(0)) / F.col("n")).alias("average")).write.parquet(f"{index.folder}/sizes")
+    return index
+
+
+def bm25(index: StoredIndex, queries: DataFrame, doc: str, k: int | None = 10) -> DataFrame:
+    """(query, doc, score, place) for ``queries`` (query, term), a small table: Robertson-Sparck Jones weights, not below 0; ties by doc."""
     terms = queries.select("query", "term").distinct()
-    mine = index.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    df = mine.groupBy("term").agg(F.count("*").alias("df"))
-    hits = mine.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").crossJoin(F.broadcast(sizes))
+    hits = index.of(terms).join(F.broadcast(terms), "term").crossJoin(F.broadcast(index.sizes))
     idf = F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average"))
     scored = hits.groupBy("query", doc).agg(F.round(F.sum(idf * F.col("tf") * (K1 + 1) / norm), 4).alias("score")).where("score > 0")
@@ -63,14 +112,48 @@ def fuse(rankings: Sequence[DataFrame], key: str, k: int = RRF_K) -> DataFrame:
     return g.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "first", key)))
 
 
-def grounding(queries: DataFrame, index: DataFrame) -> DataFrame:
+def grounding(queries: DataFrame, index: StoredIndex) -> DataFrame:
     """(query, ok, missing): a token of UNKNOWN_LENGTH characters or more that no document has blocks the query."""
-    df = index.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi").select("term").distinct().withColumn("__known", F.lit(True))
-    q = queries.join(F.broadcast(df), "term", "left")
+    asked = queries.select("query", "term").withColumn("bucket", term_bucket(F.col("term")))
+    known = index.terms.join(F.broadcast(asked.select("bucket", "term").distinct()), ["bucket", "term"]).select("term", F.lit(True).alias("__known"))
+    q = asked.join(F.broadcast(known), "term", "left")
     missing = F.array_sort(F.collect_set(F.when(F.col("__known").isNull() & (F.length("term") >= UNKNOWN_LENGTH), F.col("term"))))
     return q.groupBy("query").agg(missing.alias("missing")).withColumn("ok", F.size("missing") == 0)
 
 
+def search(engine: str, index: StoredIndex | None, store: DataFrame | None, queries: DataFrame, vectors: DataFrame | None, doc: str, k: int = 10, fetch: int = 4, vector: str = "embedding") -> DataFrame:
+    """(query, doc, place) by an engine: ``bm25``, ``vector`` or ``hybrid`` (both, ``fetch`` times as deep, fused).
+
+    ``queries`` are (query, term), ``vectors`` (query, vector). Where there is an index, a query that the grounding
+    gate blocks is in no result, and its vector meets no row of the store.
+    """
+    if engine not in ("bm25", "vector", "hybrid"):
+        raise ValueError(f"no engine {engine!r}")
+    if index is None and engine != "vector" or store is None and engine != "bm25":
+        raise ValueError(f"engine {engine!r} needs its index or store")
+    if index is not None:
+        open_ = F.broadcast(grounding(queries, index).where("ok").select("query"))
+        queries = queries.join(open_, "query", "left_semi")
+        vectors = vectors.join(open_, "query", "left_semi") if vectors is not None else None
+    deep = k * fetch if engine == "hybrid" else k
+    words = bm25(index, queries, doc, deep) if engine != "vector" else None
+    near = vector_search(store, doc, vector, vectors, "query", "vector", deep) if engine != "bm25" else None
+    ranked = words if engine == "bm25" else near if engine == "vector" else fuse([words, near], doc)
+    return ranked.where(F.col("place") <= k).select("query", doc, "place")
+
+
+def alias_queries(aliases: DataFrame, topic: str, alias: str, tokens) -> DataFrame:
+    """(query, topic, term) of a dictionary: each distinct alias is a query of its topic's, by its tokens; one without tokens gives none."""
+    a = aliases.select(F.col(topic).alias("topic"), F.trim(alias).alias("query")).where("query != ''").distinct()
+    return a.select("query", "topic", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+
+
+def held_out(gold: DataFrame, index: StoredIndex, queries: DataFrame, doc: str) -> DataFrame:
+    """``gold`` (query, doc) without the documents that have any token of their query, so that words alone can't find them."""
+    with_token = index.of(queries).join(F.broadcast(queries.select("query", "term").distinct()), "term").select("query", doc)
+    return gold.join(with_token, ["query", doc], "left_anti")
+
+
 def evaluated(ranked: DataFrame, gold: DataFrame, key: str, k: int) -> DataFrame:
     """(query, precision, reciprocal, hit) of rankings (query, key, place) against ``gold`` (query, key)."""
     hits = ranked.where(F.col("place") <= k).join(gold.select("query", key).withColumn("__g", F.lit(1)), ["query", key], "left")

@@ -24,12 +24,15 @@ _VEC = """vq AS (SELECT concat('q', vec_id + 1) AS query, embedding AS q FROM em
 vr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, doc_id) AS place FROM vs)"""
 
 
-def index(t):
-    return R.postings(t.documents, "doc_id", R.latin_tokens(C("text")))
+_BUILT: dict[tuple[str, str], R.StoredIndex] = {}
 
 
-def sizes(t):
-    return t.documents.select(F.size(R.latin_tokens(C("text"))).alias("w")).agg(F.count("*").alias("n"), F.avg("w").alias("average"))
+def index(t):
+    """The index of the documents, written once for each application and folder; a folder's files are taken not to change meanwhile."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _BUILT:
+        _BUILT[key] = R.build_index(t.documents, "doc_id", R.latin_tokens(C("text")))
+    return _BUILT[key]
 
 
 def terms(t):
@@ -44,12 +47,12 @@ def vectors(t, k):
 
 @query("rt2_inverted_index", f"WITH {_POSTINGS} SELECT term, doc_id, length, tf FROM x")
 def _(t):
-    return index(t)
+    return index(t).postings.select("term", "doc_id", "length", "tf")
 
 
 @query("rt3_bm25", f"WITH {_BM25} SELECT query, doc_id, score, place FROM r WHERE place <= 10")
 def _(t):
-    return R.bm25(index(t), sizes(t), terms(t), "doc_id").withColumn("place", C("place").cast("long"))
+    return R.bm25(index(t), terms(t), "doc_id").withColumn("place", C("place").cast("long"))
 
 
 @query("rt4_vector_search", f"WITH {_VEC} SELECT query, doc_id, round(similarity, 6) AS similarity, place FROM vr WHERE place <= 10")
@@ -60,25 +63,25 @@ def _(t):
 @query("rt5_hybrid_fusion", f"""WITH {_BM25}, {_VEC}, e AS (SELECT query, doc_id, place, 0 AS i FROM r WHERE place <= 40 UNION ALL SELECT query, doc_id, place, 1 FROM vr WHERE place <= 40), g AS (SELECT query, doc_id, sum(1.0 / (60 + place)) AS score, min_by(place, i) AS f FROM e GROUP BY 1, 2)
 SELECT query, doc_id, round(score, 8) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, f, doc_id) AS n FROM g) WHERE n <= 10""")
 def _(t):
-    fused = R.fuse([R.bm25(index(t), sizes(t), terms(t), "doc_id", 40), vectors(t, 40)], "doc_id")
+    fused = R.fuse([R.bm25(index(t), terms(t), "doc_id", 40), vectors(t, 40)], "doc_id")
     return fused.where("place <= 10").select("query", "doc_id", F.round("score", 8).alias("score"))
 
 
 @query("rt8_held_out_gold", f"WITH {_POSTINGS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM x WHERE term IN ('the', 'of'))")
 def _(t):
-    return t.documents.select("doc_id").join(index(t).where(C("term").isin("the", "of")).select("doc_id"), "doc_id", "left_anti")
+    q = t.spark.createDataFrame([("q", "the"), ("q", "of")], "query string, term string")
+    return R.held_out(t.documents.select(F.lit("q").alias("query"), "doc_id"), index(t), q, "doc_id").select("doc_id")
 
 
 @query("rt10_evidence_fold", f"WITH {_BM25} SELECT query, source, min(place) AS best, string_agg(CAST(doc_id AS VARCHAR), ' … ' ORDER BY place) AS evidence FROM r JOIN documents USING (doc_id) WHERE place <= 20 GROUP BY 1, 2")
 def _(t):
-    r = R.bm25(index(t), sizes(t), terms(t), "doc_id", 20).join(t.documents.select("doc_id", "source"), "doc_id").withColumn("piece", C("doc_id").cast("string"))
+    r = R.bm25(index(t), terms(t), "doc_id", 20).join(t.documents.select("doc_id", "source"), "doc_id").withColumn("piece", C("doc_id").cast("string"))
     return R.folded(r, "source", "piece", 1000).select("query", "source", C("best").cast("long").alias("best"), "evidence")
 
 
 @query("rt11_token_frequency", f"WITH {_POSTINGS} SELECT query, term, count(x.doc_id) AS df FROM qt LEFT JOIN x USING (term) GROUP BY 1, 2")
 def _(t):
-    df = index(t).groupBy("term").agg(F.count("*").alias("df"))
-    return terms(t).join(df, "term", "left").select("query", "term", F.coalesce("df", F.lit(0)).alias("df"))
+    return terms(t).join(index(t).terms.select("term", "df"), "term", "left").select("query", "term", F.coalesce("df", F.lit(0)).alias("df"))
 
 
 @query("dc12_grounding", f"WITH {_POSTINGS}, m AS (SELECT query, term FROM qt WHERE length(term) >= 4 AND term NOT IN (SELECT term FROM x)) SELECT qt.query, count(m.term) = 0 AS ok FROM qt LEFT JOIN m ON qt.query = m.query AND qt.term = m.term GROUP BY 1")
@@ -88,7 +91,7 @@ def _(t):
 
 @query("ag46_bm25_statistics", f"WITH {_POSTINGS} SELECT term, count(*) AS df, round(greatest(0, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1)), 6) AS idf FROM x, z GROUP BY 1")
 def _(t):
-    df = index(t).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes(t)))
+    df = index(t).terms.crossJoin(F.broadcast(index(t).sizes))
     return df.select("term", "df", F.round(F.greatest(F.lit(0.0), F.log((C("n") - C("df") + 0.5) / (C("df") + 0.5) + 1)), 6).alias("idf"))
 
 
@@ -97,7 +100,55 @@ SELECT q.query, coalesce(count(gold) / 10.0, 0) AS "precision", coalesce(1.0 / m
 def _(t):
     q = terms(t)
     gold = t.documents.where("doc_id % 2 = 0").join(F.broadcast(q), F.lower("text").contains(C("term"))).select("query", "doc_id").distinct()
-    return R.evaluated(R.bm25(index(t), sizes(t), q, "doc_id"), gold, "doc_id", 10)
+    return R.evaluated(R.bm25(index(t), q, "doc_id"), gold, "doc_id", 10)
+
+
+_ENGINES = f"""WITH {_BM25}, {_VEC}, ok AS (SELECT query FROM qt GROUP BY 1 HAVING count(CASE WHEN length(term) >= 4 AND term NOT IN (SELECT term FROM x) THEN 1 END) = 0), b AS (SELECT * FROM r WHERE query IN (SELECT query FROM ok)), v AS (SELECT * FROM vr WHERE query IN (SELECT query FROM ok)),
+e AS (SELECT query, doc_id, place, 0 AS i FROM b WHERE place <= 40 UNION ALL SELECT query, doc_id, place, 1 FROM v WHERE place <= 40), g AS (SELECT query, doc_id, sum(1.0 / (60 + place)) AS score, min_by(place, i) AS f FROM e GROUP BY 1, 2),
+h AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, f, doc_id) AS place FROM g)
+SELECT 'bm25' AS engine, query, doc_id, place FROM b WHERE place <= 10 UNION ALL SELECT 'vector', query, doc_id, place FROM v WHERE place <= 10 UNION ALL SELECT 'hybrid', query, doc_id, place FROM h WHERE place <= 10"""
+
+
+@query("rt6_engines", _ENGINES)
+def _(t):
+    store = t.embeddings.withColumnRenamed("vec_id", "doc_id")
+    v = t.embeddings.where("vec_id < 3").select(F.concat(F.lit("q"), (C("vec_id") + 1).cast("string")).alias("query"), C("embedding").alias("vector"))
+    parts = [R.search(e, index(t), store, terms(t), v, "doc_id").select(F.lit(e).alias("engine"), "query", "doc_id", C("place").cast("long").alias("place")) for e in ("bm25", "vector", "hybrid")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_ALIASES = [("article", "the"), ("article", "der"), ("article", "les"), ("joint", "and"), ("joint", "und"), ("joint", "et"), ("joint", "and"), ("pair", "the anea"), ("none", " ")]
+_ALIAS_SQL = "al AS (SELECT DISTINCT topic, trim(alias) AS query FROM (VALUES ('article', 'the'), ('article', 'der'), ('article', 'les'), ('joint', 'and'), ('joint', 'und'), ('joint', 'et'), ('joint', 'and'), ('pair', 'the anea'), ('none', ' ')) v(topic, alias) WHERE trim(alias) <> '')"
+
+
+def aliases(t):
+    return t.spark.createDataFrame(_ALIASES, "topic string, alias string")
+
+
+def gold(t):
+    """RT7: the documents that match any alias of a topic."""
+    terms = aliases(t).where(F.trim("alias") != "").distinct()
+    return X.match_terms(t.documents.select("doc_id", "text"), "text", terms, "alias", "doc_id").select("topic", "doc_id").distinct()
+
+
+_GOLD_SQL = _ALIAS_SQL + ", g AS (SELECT DISTINCT topic, doc_id FROM documents JOIN al ON regexp_matches(lower(text), concat('(^|[^a-z0-9])', query, '([^a-z0-9]|$)')))"
+
+
+@query("rt7_topic_gold", f"WITH {_GOLD_SQL} SELECT topic, doc_id FROM g")
+def _(t):
+    return gold(t)
+
+
+@query("rt9_alias_queries", f"WITH {_ALIAS_SQL} SELECT DISTINCT query, topic, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM al")
+def _(t):
+    return R.alias_queries(aliases(t), "topic", "alias", R.latin_tokens)
+
+
+@query("rt8_held_out_topic_gold", f"""WITH {_GOLD_SQL}, tk AS (SELECT DISTINCT topic, query, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM al), w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents)
+SELECT DISTINCT al.query, g.doc_id FROM g JOIN al USING (topic) WHERE NOT EXISTS (SELECT 1 FROM tk JOIN w USING (term) WHERE tk.query = al.query AND w.doc_id = g.doc_id)""")
+def _(t):
+    q = R.alias_queries(aliases(t), "topic", "alias", R.latin_tokens)
+    return R.held_out(gold(t).join(F.broadcast(q.select("query", "topic").distinct()), "topic").select("query", "doc_id").distinct(), index(t), q, "doc_id")
 
 
 @query("j26_topic_match", r"""
