@@ -93,3 +93,30 @@ def normalized(texts: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html.unescape(t))
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """The matches of a pattern, as an array of (start, stop, found), places counted from 0; none for a null text.
+
+    What stands between the matches has the same lengths as the pieces that the text splits into, which tells the
+    places. For texts with some hundred matches at most, as the array is built one by one; a pattern that matches
+    nothing at all is not meant.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), 0)
+    gaps = F.split(text, pattern, -1)
+    kind = "struct<at:int,out:array<struct<start:int,stop:int,found:string>>>"
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,found:string>>").alias("out")).cast(kind)
+
+    def one(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        stop = start + F.length(x["found"])
+        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["found"].alias("found")))).alias("out")).cast(kind)
+
+    pairs = F.transform(found, lambda m, i: F.struct(F.element_at(gaps, i + 1).alias("gap"), m.alias("found")))
+    return F.coalesce(F.aggregate(pairs, begin, one, lambda acc: acc["out"]), F.array().cast("array<struct<start:int,stop:int,found:string>>"))
+
+
+def around(text: Column, start: Column, stop: Column) -> Column:
+    """The characters of a text from place start to before stop; places outside the text are cut off."""
+    a = F.greatest(start, F.lit(0))
+    return F.substring(text, a + 1, F.greatest(stop - a, F.lit(0)))

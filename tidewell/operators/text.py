@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import around, spans
+
 CHUNK_CHARS = 500
 # Marks to cut a chunk after, by priority.
 BREAK_MARKS = (". ", "! ", "? ", "다. ", "요. ", "\n", " ")
@@ -97,62 +99,185 @@ def list_names(texts: pd.Series) -> pd.Series:
     return texts.map(split_list)
 
 
+#: Matches nothing.
+NEVER = "(?!)"
+
+
 @dataclass(frozen=True)
 class PolarityRules:
-    """Patterns of a rule-based polarity judge; a language is a set of them. ``aspects`` are (name, pattern, neutral noun), first ones first."""
+    """Patterns of a rule-based polarity judge; a language is a set of them. ``aspects`` are (name, pattern, neutral noun), first ones first.
+
+    An aspect is negated by ``after`` within AFTER characters behind it or ``before`` within BEFORE characters before
+    it, and not the product's own after ``context``. ``skin`` speaks of a kind of reader, whom ``warning`` warns;
+    after ``contrast`` comes what counts. A ``wish`` is no praise, but where ``negated_tail`` goes on.
+    """
 
     positive: str
     negative: str
     negated_positive: str
     wish: str
     before: str = r"(?:\bno|\bnot|\bnever|\bwithout)\s*$"
-    after: str = r"^.{0,16}?(?:\bnot\b|\bnone\b|\bgone\b)"
-    window: int = 22
+    after: str = r"^.{0,14}?(?:\bnot\b|\bnone\b|\bgone\b)"
     aspects: tuple[tuple[str, str, bool], ...] = field(default=())
+    negated_tail: str = NEVER
+    context: str = NEVER
+    skin: str = NEVER
+    warning: str = NEVER
+    contrast: str = NEVER
 
 
-def judge(rules: PolarityRules, texts: pd.Series) -> pd.DataFrame:
-    """aspect, polarity (complaint, satisfied, neutral) and reason of each sentence, by ordered rules.
+BEFORE, AFTER = 22, 16
 
-    An aspect is negated by a negation close before or after it. A bare aspect is a complaint, unless most are negated
-    and the sentence is positive; a neutral noun needs a word of judgement; negated aspects alone are satisfaction.
-    """
-    t = texts.fillna("")
-    has = lambda p: t.str.contains(p, regex=True, case=False)
+
+def judged(rules: PolarityRules, s: Column) -> Column:
+    """A struct (aspect, polarity, reason) of a sentence: complaint, satisfied or neutral, by the first rule that holds. A null sentence is an empty one."""
+    s = F.coalesce(s, F.lit(""))
+    has = lambda p, t=s: F.coalesce(t.rlike(p), F.lit(False))
+
+    def hits(name: str, pattern: str, neutral: bool) -> Column:
+        def one(m: Column) -> Column:
+            before, after = around(s, m["start"] - BEFORE, m["start"]), around(s, m["stop"], m["stop"] + AFTER)
+            off = F.when(before.rlike(rules.context), F.lit(None)).otherwise(after.rlike(rules.after) | before.rlike(rules.before))
+            return F.struct(F.lit(name).alias("aspect"), F.lit(neutral).alias("neutral"), off.alias("negated"), m["start"].alias("start"))
+
+        return F.transform(spans(s, pattern), one)
+
+    kind = "array<struct<aspect:string,neutral:boolean,negated:boolean,start:int>>"
+    every = F.concat(*[hits(*a) for a in rules.aspects]).cast(kind) if rules.aspects else F.array().cast(kind)
+    turn = F.try_element_at(spans(s, rules.contrast), F.lit(1))
     unlike = has(rules.negated_positive)
-    pos = has(rules.positive) & ~unlike & ~has(rules.wish)
-    neg = has(rules.negative) | unlike
-    compiled = [(name, re.compile(p, re.I), neutral) for name, p, neutral in rules.aspects]
-    before, after = re.compile(rules.before, re.I), re.compile(rules.after, re.I)
-
-    def found(s: str) -> tuple[list[str], list[str], list[str]]:
-        bare, noun, negated = [], [], []
-        for name, rx, neutral in compiled:
-            for m in rx.finditer(s):
-                off = before.search(s[max(0, m.start() - rules.window) : m.start()]) or after.search(s[m.end() : m.end() + rules.window])
-                (negated if off else noun if neutral else bare).append(name)
-        return bare, noun, negated
-
-    hits = t.map(found)
-    bare, noun, negated = (hits.map(lambda h, k=k: len(h[k])) for k in range(3))
-    first = hits.map(lambda h: next((n for part in h for n in part), None))
-    cases = [
-        (bare + noun + negated == 0, np.where(neg & ~pos, "complaint", np.where(pos & ~neg, "satisfied", "neutral")), "no-aspect"),
-        ((bare > 0) & pos & ~neg & (negated >= bare), "satisfied", "mostly-negated"), (bare > 0, "complaint", "aspect"),
-        ((noun > 0) & (negated == 0), np.where(neg & ~pos, "complaint", np.where(pos, "satisfied", "neutral")), "noun"), (neg & ~pos, "complaint", "negated+negative"),
-    ]
-    when = [c for c, _, _ in cases]
-    return pd.DataFrame({"aspect": first, "polarity": np.select(when, [p for _, p, _ in cases], "satisfied"), "reason": np.select(when, [r for _, _, r in cases], "negated")})
-
-
-def polarity_udf(rules: PolarityRules):
-    """The judge as a vectorised function returning a struct."""
-
-    @F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("aspect", "polarity", "reason")]))
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return judge(rules, texts)
-
-    return run
+    told = F.struct(
+        every.alias("every"), turn.alias("turn"), (has(rules.negative) | unlike).alias("neg"), unlike.alias("unlike"),
+        (has(rules.positive) & ~unlike & ~(has(rules.wish) & ~has(rules.negated_tail))).alias("pos"),
+    )
+
+    def ruled(x: Column) -> Column:
+        some = lambda cond, of=None: F.filter(x["every"] if of is None else of, cond)
+        own, other = some(lambda h: h["negated"].isNotNull()), some(lambda h: h["negated"].isNull())
+        negated, bare = some(lambda h: h["negated"]), some(lambda h: ~h["negated"] & ~h["neutral"])
+        nouns = some(lambda h: ~h["negated"] & h["neutral"])
+        tail = some(lambda h: h["negated"].isNotNull() & (h["start"] >= x["turn"]["start"]))
+        said = around(s, x["turn"]["stop"], F.length(s))
+        first = lambda *of: F.coalesce(*[F.try_element_at(h, F.lit(1))["aspect"] for h in of])
+        any_ = lambda h: F.size(h) > 0
+        pos, neg = x["pos"] & ~x["neg"], x["neg"] & ~x["pos"]
+        reader, turned = has(rules.skin) & ~has(rules.contrast), x["turn"].isNotNull()
+        tail_bare = some(lambda h: ~h["negated"] & ~h["neutral"], tail)
+        behind = around(s, F.try_element_at(negated, F.lit(1))["start"], F.length(s))
+        # in order: when, aspect, polarity, reason
+        table = [
+            (reader & (has(rules.warning) | x["unlike"]), first(own, other), "complaint", "warning-to-others"),
+            (reader & pos & any_(own), first(own), "satisfied", "skin-ctx+pos"),
+            (reader, first(own, other), "neutral", "skin-context"),
+            (~any_(own) & neg, first(other), "complaint", "neg-only"),
+            (~any_(own) & pos, first(other), "satisfied", "pos-only"),
+            (~any_(own) & any_(other), first(other), "neutral", "context-only"),
+            (~any_(own), F.lit(None).cast("string"), "neutral", "no-aspect"),
+            (turned & any_(tail_bare) & has(rules.negative, said), first(tail_bare), "complaint", "contrast-tail-raw"),
+            (turned & (has(rules.positive, said) | F.exists(tail, lambda h: h["negated"])), first(tail, own), "satisfied", "contrast-tail-pos"),
+            (any_(bare) & pos & any_(negated) & (F.size(negated) >= F.size(bare)), first(bare), "satisfied", "mostly-negated+pos"),
+            (any_(bare), first(bare), "complaint", "aspect-raw"),
+            (any_(nouns) & ~any_(negated) & neg, first(nouns), "complaint", "neutral-aspect+neg"),
+            (any_(nouns) & ~any_(negated) & x["pos"], first(nouns), "satisfied", "neutral-aspect+pos"),
+            (any_(nouns) & ~any_(negated), first(nouns), "neutral", "neutral-aspect-only"),
+            (neg & ~has(rules.after, behind), first(negated), "complaint", "aspect-negated+neg"),
+        ]
+        out = F.struct(first(negated).alias("aspect"), F.lit("satisfied").alias("polarity"), F.lit("aspect-negated").alias("reason"))
+        for when, aspect, polarity, reason in reversed(table):
+            out = F.when(when, F.struct(aspect.alias("aspect"), F.lit(polarity).alias("polarity"), F.lit(reason).alias("reason"))).otherwise(out)
+        return out
+
+    # through an array of one, so that what the rules look at is found once
+    return F.element_at(F.transform(F.array(told), ruled), 1)
+
+
+@dataclass(frozen=True)
+class WishRules:
+    """Patterns of wish classes; a language is a set of them. See ``wish_class``."""
+
+    launch: str  # asks for a product to come out
+    launched: str  # says that one did
+    again: str  # asks for it once more, whatever was said
+    not_launch: str
+    less: str  # before the marker: fewer symptoms are to come, not products
+    content: str  # words of videos and posts
+    content_no_market: str
+    over_content: str  # launch markers that outweigh them
+    channel: str
+    asked: str  # asks why there is no such product
+    asked_not: str
+    demand: str  # asks a creator for content at once
+    request: str  # an ending that asks
+    request_bad: str
+    request_object: str
+    hope: str
+    not_hope: str
+
+
+REQUEST_WINDOW = 30
+
+
+def wish_class(rules: WishRules, s: Column) -> Column:
+    """A struct (kind, marker) of a sentence: a for a product to be launched, b for content of a creator, c for any other wish, n for none."""
+    s = F.coalesce(s, F.lit(""))
+    has = lambda p, t=s: t.rlike(p)
+    first = lambda p: F.try_element_at(spans(s, p), F.lit(1))
+    told = F.struct(first(rules.launch).alias("launch"), first(rules.asked).alias("asked"), first(rules.demand).alias("demand"), first(rules.hope).alias("hope"), spans(s, rules.request).alias("requests"))
+
+    def ruled(x: Column) -> Column:
+        stated = (has(rules.launched) & ~has(rules.again)) | has(rules.not_launch)
+        launch = x["launch"].isNotNull() & ~stated & ~has(f"(?:{rules.less})$", around(s, F.lit(0), x["launch"]["start"]))
+        asks = F.filter(x["requests"], lambda m: ~has(rules.request_bad, around(s, m["start"] - 6, m["stop"] + 4)) & has(rules.request_object, around(s, m["start"] - REQUEST_WINDOW, m["stop"])))
+        table = [
+            (launch & ~has(rules.content), "a", x["launch"]["found"]),
+            (x["asked"].isNotNull() & ~has(rules.content_no_market) & ~has(rules.asked_not), "a", x["asked"]["found"]),
+            (launch & has(rules.over_content) & ~has(rules.channel), "a", x["launch"]["found"]),
+            (x["demand"].isNotNull() & ~has(rules.request_bad), "b", x["demand"]["found"]),
+            (F.size(asks) > 0, "b", F.try_element_at(asks, F.lit(1))["found"]),
+            (x["hope"].isNotNull() & ~has(rules.not_hope), "c", x["hope"]["found"]),
+        ]
+        out = F.struct(F.lit("n").alias("kind"), F.lit("").alias("marker"))
+        for when, kind, marker in reversed(table):
+            out = F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(kind).alias("kind"), marker.alias("marker"))).otherwise(out)
+        return out
+
+    return F.element_at(F.transform(F.array(told), ruled), 1)
+
+
+@dataclass(frozen=True)
+class Surface:
+    """A way to write an entity's name; ``tier``: ``link``, ``stop`` (never) or ``near`` (only near a product's word)."""
+
+    surface: str
+    canonical: str
+    kind: str
+    tier: str = "link"
+
+
+def surface_hits(text: Column, surfaces: Sequence[Surface], product_words: str, left: str = r"(?<![\p{L}\p{N}])", right: str = r"(?![\p{L}\p{N}])", window: int = 25) -> Column:
+    """An array of (kind, canonical, surface, start, stop, near) of the names in a text, whatever the letters' case.
+
+    Longer surfaces are tried first, and those of one length by name; of one surface's entries the first counts.
+    ``near`` tells that a product's word stands within ``window`` characters of it.
+    """
+    first: dict[str, Surface] = {}
+    for x in surfaces:
+        first.setdefault(x.surface.lower(), x)
+    stopped = {x.canonical for x in surfaces if x.tier == "stop"}
+    known = {k: x for k, x in first.items() if x.canonical not in stopped}
+    if not known:
+        return F.array().cast("array<struct<kind:string,canonical:string,surface:string,start:int,stop:int,near:boolean>>")
+    names = "|".join(re.escape(k) for k in sorted(known, key=lambda k: (-len(k), k)))
+    strict = {x.canonical for x in surfaces if x.tier == "near"}
+    said = F.create_map(*[F.lit(v) for k, x in sorted(known.items()) for v in (k, f"{x.kind}\t{x.canonical}")])
+
+    def one(m: Column) -> Column:
+        parts = F.split(F.try_element_at(said, F.lower(m["found"])), "\t")
+        near = around(text, m["start"] - window, m["stop"] + window).rlike(product_words)
+        return F.struct(parts[0].alias("kind"), parts[1].alias("canonical"), m["found"].alias("surface"), m["start"].alias("start"), m["stop"].alias("stop"), near.alias("near"))
+
+    hits = F.transform(spans(text, f"(?iu){left}(?:{names}){right}"), one)
+    return F.filter(hits, lambda h: h["near"] | ~h["canonical"].isin(sorted(strict))) if strict else hits
 
 
 def candidate_sentences(units: DataFrame, ref: str, text: str, rating: str, wish: str, complaint: str, low: float = 2) -> DataFrame:

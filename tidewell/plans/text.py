@@ -194,13 +194,47 @@ def _(t):
     return t.documents.select("doc_id", F.explode(X.list_names("text")).alias("name")).groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")).where("n >= 3")
 
 
-_RULES = X.PolarityRules(positive=r"\b(?:the|than)\b", negative=r"\b(?:re|edsh)\b", negated_positive=r"not the", wish=r"\bwish\b", aspects=(("anea", r"anea", False), ("eriner", r"erin", True)))
+_RULES = X.PolarityRules(positive=r"\b(?:the|than)\b", negative=r"\b(?:re|edsh)\b", negated_positive=r"not the", wish=r"\bwish\b", aspects=(("anea", r"anea", False), ("eriner", r"erin", True)), before=r"\b(?:in|of)\s*$", after=r"^.{0,14}?\b(?:is|was)\b", context=r"\bwas\b.{0,6}$", skin=r"\bfor the\b", warning=r"\bnot\b", contrast=r"\bbut\b")
+_SENTENCES = r"""sn AS (SELECT doc_id, unnest(CASE WHEN len(a) > 0 THEN a WHEN length(w) > 0 THEN [w] ELSE [] END) AS sentence FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(replace(replace(text, '. ', '.' || chr(1)), '! ', '!' || chr(1)), '? ', '?' || chr(1)), chr(1) || '|\n+'), lambda x: trim(x)), lambda x: length(x) > 4) AS a, trim(text) AS w FROM documents))"""
+
+
+def candidates(t):
+    return X.candidate_sentences(t.documents.withColumn("rating", C("doc_id") % 5 + 1), "doc_id", "text", "rating", r"\bif\b", r"anea|erin")
+
+
+@query("dc8_candidate_sentences", f"WITH {_SENTENCES}, k AS (SELECT DISTINCT doc_id, sentence, CASE WHEN regexp_matches(sentence, '\\bif\\b') THEN 'wish' WHEN regexp_matches(sentence, 'anea|erin') THEN 'complaint' WHEN doc_id % 5 + 1 <= 2 THEN 'low_rating' END AS kind FROM sn) SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS docs FROM k WHERE kind IS NOT NULL GROUP BY 1")
+def _(t):
+    return candidates(t).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 @query("dc9_rule_polarity")
 def _(t):
-    s = X.candidate_sentences(t.documents.withColumn("rating", C("doc_id") % 5 + 1), "doc_id", "text", "rating", r"\bif\b", r"anea|erin")
-    return s.select("doc_id", "sentence", "kind", X.polarity_udf(_RULES)("sentence").alias("p")).select("doc_id", "sentence", "kind", "p.aspect", "p.polarity", "p.reason")
+    return candidates(t).select("doc_id", "sentence", "kind", X.judged(_RULES, C("sentence")).alias("p")).select("doc_id", "sentence", "kind", "p.aspect", "p.polarity", "p.reason")
+
+
+_WISHES = X.WishRules(
+    launch=r"then the|that in", launched=r"\bwas\b", again=r"again", not_launch=r"\bfrom\b", less=r"\bnot\s*", content=r"\bis\b", content_no_market=r"\bis\b", over_content=r"then the", channel=r"\bare\b", asked=r"\bwhat\b", asked_not=r"\bhow\b",
+    demand=r"\bwith the\b", request=r"\bthe\b", request_bad=r"\bby\b", request_object=r"\bfor\b", hope=r"\bbe\b", not_hope=r"\bnot\b",
+)
+
+
+@query("dc7_wish_classes")
+def _(t):
+    s = t.documents.select("doc_id", F.explode(F.array_distinct(X.sentences(C("text"), 3))).alias("sentence"))
+    return s.select("doc_id", "sentence", X.wish_class(_WISHES, C("sentence")).alias("w")).select("doc_id", "sentence", "w.kind", "w.marker")
+
+
+_SURFACES = [X.Surface("The", "the", "brand"), X.Surface("then", "then", "brand", "near"), X.Surface("und", "and", "brand"), X.Surface("der", "der", "format"), X.Surface("and", "and", "brand", "near"), X.Surface("of", "of", "brand", "stop")]
+
+
+@query("j25_surface_links", r"""
+WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '(?i)then|and|der|the|und') AS m, regexp_split_to_array(text, '(?i)then|and|der|the|und') AS g FROM documents),
+h AS (SELECT doc_id, text, lower(m[k]) AS surface, k, CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS INTEGER) AS start FROM (SELECT doc_id, text, m, g, unnest(range(1, len(m) + 1)) AS k FROM w)),
+n AS (SELECT doc_id, surface, start, regexp_matches(substr(text, greatest(start - 25, 0) + 1, start + length(surface) + 25 - greatest(start - 25, 0)), 'er') AS near FROM h)
+SELECT doc_id, CASE surface WHEN 'und' THEN 'and' ELSE surface END AS canonical, CASE surface WHEN 'der' THEN 'format' ELSE 'brand' END AS kind, start, near FROM n WHERE near OR surface NOT IN ('then', 'and', 'und')""")
+def _(t):
+    hits = t.documents.select("doc_id", F.explode(X.surface_hits(C("text"), _SURFACES, "er", "", "")).alias("h"))
+    return hits.select("doc_id", "h.canonical", "h.kind", "h.start", "h.near")
 
 
 PART_RULE = L.AcceptRule(stop=frozenset({"new", "plate", "rod", "ring"}), discriminators=frozenset({"large", "small"}), forms=("plate", "rod", "widget", "gear", "gizmo", "ring", "bolt", "anvil"))
