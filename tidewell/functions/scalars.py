@@ -99,21 +99,19 @@ def spans(text: Column, pattern: str) -> Column:
     """The matches of a pattern, as an array of (start, stop, found), places counted from 0; none for a null text.
 
     What stands between the matches has the same lengths as the pieces that the text splits into, which tells the
-    places. For texts with some hundred matches at most, as the array is built one by one; a pattern that matches
-    nothing at all is not meant.
+    places. For texts with some thousand matches at most, as the places are summed one by one; a pattern that matches
+    the empty text is not meant.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    gaps = F.split(text, pattern, -1)
-    kind = "struct<at:int,out:array<struct<start:int,stop:int,found:string>>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,found:string>>").alias("out")).cast(kind)
-
-    def one(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["found"])
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["found"].alias("found")))).alias("out")).cast(kind)
-
-    pairs = F.transform(found, lambda m, i: F.struct(F.element_at(gaps, i + 1).alias("gap"), m.alias("found")))
-    return F.coalesce(F.aggregate(pairs, begin, one, lambda acc: acc["out"]), F.array().cast("array<struct<start:int,stop:int,found:string>>"))
+    told = F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"), F.split(text, pattern, -1).alias("gaps")))
+
+    def placed(x: Column) -> Column:
+        steps = F.transform(x["found"], lambda m, i: F.length(m) + F.length(F.element_at(x["gaps"], i + 1)))
+        stops = F.aggregate(steps, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return F.zip_with(F.slice(stops, 2, F.greatest(F.size(stops), F.lit(1))), x["found"], lambda stop, m: F.struct((stop - F.length(m)).alias("start"), stop.alias("stop"), m.alias("found")))
+
+    # through an array of one, so that matches and gaps are found once
+    kind = "array<struct<start:int,stop:int,found:string>>"
+    return F.coalesce(F.element_at(F.transform(told, placed), 1).cast(kind), F.array().cast(kind))
 
 
 def around(text: Column, start: Column, stop: Column) -> Column:
