@@ -1,11 +1,16 @@
-"""A training-corpus pipeline: five stages over ``documents``, each written as Parquet and reread by the next."""
+"""A training-corpus pipeline: five stages over ``documents``, each written as Parquet and reread by the next.
+
+Rows count one by one in every stage: null or repeated ids are no reason to go, nor is a long text, which is read
+whole. Columns beyond those of ``documents`` are returned as they are, whatever their names. An empty table gives an
+empty one. What a stage does with a null or empty text, and with rows that are alike, its docstring says.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import crc_mod, table, written
+from tidewell.llm.common import crc_mod, discard, table, written
 from tidewell.llm.decontaminate import judged, mark_spans
 from tidewell.llm.jaccard_join import jaccard_groups
 from tidewell.llm.language_id import identify
@@ -25,14 +30,22 @@ def apart(docs: DataFrame):
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is told: not ``und``, and with a score of LANG_SCORE or more."""
+    """Keeps the documents whose language is told: not ``und``, and with a score of LANG_SCORE or more.
+
+    A null text, or one without a letter, has none and goes. Repeated rows are judged alike. Where no document has a
+    language to learn from, all go.
+    """
     labelled = table(spark, sf_dir, "documents").where(crc_mod(F.col("doc_id"), 3) != 1)
     docs, names, back = apart(docs)
     return back(identify(docs, labelled, keep=names).where((F.col("lang_pred") != "und") & (F.col("score") >= LANG_SCORE)))
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents of score 0.3 or more."""
+    """Keeps the documents of score 0.3 or more.
+
+    A null text is scored as an empty one. Repeated rows are judged alike. Without labels of both kinds every score
+    is the share of label 1, or one half.
+    """
     learn = crc_mod(F.col("doc_id"), 5) != 0
     docs, names, back = apart(docs)
     return back(classify(docs, docs.where(learn), table(spark, sf_dir, "labels").where(learn), keep=names).where(F.col("score") >= 0.3))
@@ -55,13 +68,19 @@ def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that are not contaminated by the benchmark."""
+    """Keeps the documents that are not contaminated by the benchmark.
+
+    A null or empty text has no words and stays. Repeated rows are judged alike. An empty benchmark contaminates none.
+    """
     docs, _, back = apart(docs)
     return back(judged(mark_spans(docs, table(spark, sf_dir, "benchmark"))).where(~F.col("contaminated")))
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens."""
+    """The pieces of all documents in sequences of at most 2048 tokens.
+
+    A null or empty text has the end id alone. Repeated rows are packed each. The columns are those of the pieces.
+    """
     return pack_documents(docs, default_tokenizer())
 
 
@@ -75,12 +94,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name}")
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: SQL can't express the models of the first two stages, nor the tokens of the last.
