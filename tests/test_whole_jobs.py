@@ -4,8 +4,9 @@ import itertools
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
-from tidewell.operators import graph, linker, sinks
+from tidewell.operators import graph, ledger, linker, sinks
 from tidewell.operators import text as X
 from tidewell.plans import registry
 from tidewell.plans.text import PART_RULE
@@ -140,3 +141,40 @@ def test_whole_tables_come_out(spark, sf):
     assert len(terms) == part.count() and max(len(r.terms) for r in terms) == 3
     assert registry.QUERIES["j29_containment_whole"](spark, sf).select("brand").distinct().count() == part.select("p_brand").distinct().count()
     assert registry.QUERIES["gr3_edge_layers_whole"](spark, sf).where("layer = 2").count() == supplier.count()
+
+
+def test_layers_and_feedback_edges(spark, sf):
+    df = lambda edges: spark.createDataFrame(edges, "a string, b string")
+    chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(120)] + [("n000", "n119")]
+    assert {r.node: r.layer for r in graph.layers(df(chain), "a", "b").collect()} == {f"n{i:03}": i for i in range(121)}
+    with pytest.raises(ValueError):
+        graph.layers(df([("a", "b"), ("b", "a")]), "a", "b")
+    rng = random.Random(3)
+    for _ in range(20):
+        edges = sorted({(rng.choice("abcdefgh"), rng.choice("abcdefgh")) for _ in range(14)})
+        back = graph.feedback_edges(edges)
+        reach = {x: {x} for e in edges for x in e}
+        for _ in range(8):
+            for x, y in edges:
+                for z in reach:
+                    if x in reach[z]:
+                        reach[z].add(y)
+        assert all(x in reach[y] for x, y in back)  # each closes a cycle
+        left = [e for e in edges if e not in back]
+        if left:
+            graph.layers(df(left), "a", "b")  # without them there is none
+    found = registry.QUERIES["gr3_feedback_edges"](spark, sf).collect()
+    assert {r.feedback for r in found} == {True, False} and graph.layers(df([(r.a, r.b) for r in found if not r.feedback]), "a", "b").count() == len({x for r in found for x in (r.a, r.b)})
+
+
+def test_singletons_and_batches(spark):
+    rows = [(1, 1, True), (1, 2, False), (2, 3, False), (None, 4, True)]
+    df = spark.createDataFrame(rows, "k int, v int, active boolean")
+    got = ledger.active_singleton(df, "k", F.col("active"), "v").collect()
+    assert {(r.k, r.v) for r in got} == {(1, 1), (2, None), (None, 4)}
+    with pytest.raises(Exception, match="more than one active row of 1"):
+        ledger.active_singleton(df.withColumn("active", F.lit(True)), "k", F.col("active"), "v").collect()
+    for n, size in ((0, 3), (1, 3), (6, 3), (7, 3), (1000, 64)):
+        batches = [r.batch for r in ledger.request_batches(spark.range(n), "id", size).orderBy("id").collect()]
+        first = n % size or size
+        assert batches == [0 if i < first else 1 + (i - first) // size for i in range(n)]

@@ -28,24 +28,34 @@ def connected(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def layers(edges: DataFrame, a: str, b: str, most: int = 50) -> DataFrame:
-    """(node, layer): the longest path from a node without incoming edges. Raises where a cycle lets paths grow past ``most``."""
-    spark = edges.sparkSession
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
-    now = e.select(F.col("a").alias("node")).join(e.select(F.col("b").alias("node")), "node", "left_anti").distinct()
-    rows = [(r[0], 0) for r in now.collect()]
-    depth = dict(rows)
+def layers(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, layer): the longest path from a node without incoming edges, of any length. Raises on a cycle. The edges are those of a small graph."""
     after: dict = {}
-    for x, y in e.collect():
+    waits: dict = {}
+    for x, y in edges.select(a, b).distinct().collect():
         after.setdefault(x, []).append(y)
-    for layer in range(1, most + 1):
-        step = {y for x, d in depth.items() if d == layer - 1 for y in after.get(x, ())}
-        if not step:
-            break
-        depth |= {y: layer for y in step}
-    else:
-        raise ValueError("the edges have a cycle or a very long path")
-    return spark.createDataFrame(sorted(depth.items()), f"node {edges.schema[a].dataType.simpleString()}, layer int")
+        waits[y] = waits.get(y, 0) + 1
+        waits.setdefault(x, 0)
+    depth = {x: 0 for x, n in waits.items() if not n}
+    ready = list(depth)
+    while ready:
+        x = ready.pop()
+        for y in after.get(x, ()):
+            depth[y] = max(depth.get(y, 0), depth[x] + 1)
+            waits[y] -= 1
+            if not waits[y]:
+                ready.append(y)
+    if any(waits.values()):
+        raise ValueError("the edges have a cycle")
+    return edges.sparkSession.createDataFrame(sorted(depth.items()), f"node {edges.schema[a].dataType.simpleString()}, layer int")
+
+
+def feedback_table(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, feedback) of a small graph's edges: those that close a cycle in a depth-first walk in the order of names."""
+    rows = sorted({(r[0], r[1]) for r in edges.select(a, b).distinct().collect()})
+    back = feedback_edges(rows)
+    kinds = [edges.schema[c].dataType.simpleString() for c in (a, b)]
+    return edges.sparkSession.createDataFrame([(*e, e in back) for e in rows], f"{a} {kinds[0]}, {b} {kinds[1]}, feedback boolean")
 
 
 def feedback_edges(edges: list[tuple[str, str]]) -> set[tuple[str, str]]:

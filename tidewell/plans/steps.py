@@ -130,3 +130,16 @@ def _(t):
     ranked = lambda c: F.when(C(c) > 30, F.rank().over(Window.partitionBy("cell").orderBy(F.desc(c), "topic")))
     rows = shares(t).select("cell", "topic", (C("a") - C("b")).alias("rate_diff"), ranked("a").alias("seen_rank"), ranked("b").alias("holdout_rank"))
     return G.holdout_verdict(rows, "cell", 2, 6)
+
+
+def status_edges(t):
+    """Steps between an order's priority and its status, one way for finished orders and the other for open ones."""
+    o = t.orders.select(C("o_orderpriority").alias("p"), C("o_orderstatus").alias("s"))
+    return o.where("s = 'F'").select(C("p").alias("a"), C("s").alias("b")).unionByName(o.where("s = 'O'").select(C("s").alias("a"), C("p").alias("b"))).unionByName(t.spark.createDataFrame([("F", "O")], "a string, b string")).distinct()
+
+
+@query("gr3_feedback_edges")
+def _(t):
+    from ..operators.graph import feedback_table
+
+    return feedback_table(status_edges(t), "a", "b")
