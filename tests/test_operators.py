@@ -1,9 +1,7 @@
 import datetime as dt
+import random
 
-import pandas as pd
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tidewell.functions import scalars as S
 from tidewell.operators import graph, linker, sinks, windows
@@ -45,12 +43,28 @@ def test_mid_rank_of_ties(spark):
     assert got == [("x", 1.0, pytest.approx(1 / 6)), ("x", 2.0, pytest.approx(2 / 3)), ("x", 2.0, pytest.approx(2 / 3)), ("y", 5.0, 1.0)]
 
 
-@given(st.text(alphabet="ab. !\n?다", max_size=400), st.integers(5, 60))
-@settings(max_examples=200, deadline=None)
-def test_chunks_lose_no_character(text, limit):
-    pieces = X.cut_chunks(text, limit)
-    assert all(0 < len(p) <= limit for p in pieces)
-    assert "".join("".join(p.split()) for p in pieces) == "".join(text.split())
+def test_chunks_lose_no_character(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab. !\n?다한") for _ in range(rng.randint(0, 400))) for _ in range(300)] + [None, "", " \n", "x" * 200, "  a  "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for limit in (5, 17, 60):
+        for r in df.select("t", X.chunks(F.col("t"), limit).alias("c")).collect():
+            assert all(0 < len(p) <= limit and p == p.strip() for p in r.c)
+            assert "".join("".join(p.split()) for p in r.c) == "".join((r.t or "").split())
+
+
+def test_chunks_are_cut_at_the_foremost_mark(spark):
+    cases = [
+        ("aaaa. bb cc", 10, ["aaaa. bb", "cc"]),  # the full stop is not past the middle, a blank is
+        ("aaaaaa. b c d", 10, ["aaaaaa.", "b c d"]),  # past the middle a full stop goes before blanks
+        ("aaaaaa! b. c dd", 10, ["aaaaaa!", "b. c dd"]),  # the full stop's blank lies beyond the limit
+        ("aaaaaa? b c dd", 10, ["aaaaaa?", "b c dd"]),
+        ("abcdefghijkl", 10, ["abcdefghij", "kl"]),
+        ("short", 10, ["short"]),
+        ("aaaaa bbb\nccc", 10, ["aaaaa bbb", "ccc"]),
+    ]
+    got = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "i int, t string").select("i", X.chunks(F.col("t"), 10).alias("c")).orderBy("i").collect()
+    assert [r.c for r in got] == [c for _, _, c in cases]
 
 
 def test_list_names():
@@ -59,17 +73,18 @@ def test_list_names():
     assert X.split_list(None) == []
 
 
-def test_polarity_order():
+def test_polarity_order(spark):
     rules = X.PolarityRules(positive=r"\bgood\b", negative=r"\bbad\b", negated_positive=r"never again", wish=r"\bwish\b", aspects=(("sticky", "sticky", False), ("scent", "scent", True)))
-    got = X.judge(rules, pd.Series(["so sticky", "not sticky, good", "the scent", "bad scent", "never again", "good", "nothing here"]))
-    assert got["polarity"].tolist() == ["complaint", "satisfied", "neutral", "complaint", "complaint", "satisfied", "neutral"]
-    assert got["aspect"].tolist()[:4] == ["sticky", "sticky", "scent", "scent"]
+    texts = ["so sticky", "not sticky, good", "the scent", "bad scent", "never again", "good", "nothing here"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.judged(rules, F.col("t")).alias("p")).orderBy("i").collect()
+    assert [r.p.polarity for r in got] == ["complaint", "satisfied", "neutral", "complaint", "complaint", "satisfied", "neutral"]
+    assert [r.p.aspect for r in got][:4] == ["sticky", "sticky", "scent", "scent"]
 
 
 def test_clusters_hold_one_item_per_site(spark):
-    rows = [("b", 1, "x", ["red", "pen"]), ("b", 2, "y", ["red", "pen"]), ("b", 3, "y", ["red", "pen", "xl"]), ("b", 4, "z", ["blue"])]
-    df = spark.createDataFrame(rows, "brand string, k int, site string, tokens array<string>")
-    got = {r.k: r.cluster for r in linker.clusters(df, "brand", "k", "site", "tokens").collect()}
+    rows = [("b", 1, "x", "red pen"), ("b", 2, "y", "red pen"), ("b", 3, "y", "red pen xl"), ("b", 4, "z", "blue")]
+    df = spark.createDataFrame(rows, "brand string, k int, site string, name string")
+    got = {r.k: r.cluster for r in linker.clusters(df, "brand", "k", "site", "name", linker.AcceptRule()).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 

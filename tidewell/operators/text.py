@@ -19,29 +19,26 @@ CHUNK_CHARS = 500
 BREAK_MARKS = (". ", "! ", "? ", "다. ", "요. ", "\n", " ")
 
 
-def cut_chunks(text: str | None, limit: int = CHUNK_CHARS) -> list[str]:
-    """Pieces of at most ``limit`` characters, each cut after the foremost mark whose last place lies past the middle, or at the limit."""
-    pieces, rest = [], (text or "").strip()
-    while rest:
-        at = len(rest)
-        if at > limit:
-            ends = (rest.rfind(m, 0, limit) for m in BREAK_MARKS)
-            at = next((e + len(m) for e, m in zip(ends, BREAK_MARKS, strict=True) if e > limit // 2), limit)
-        if piece := rest[:at].strip():
-            pieces.append(piece)
-        rest = rest[at:].strip()
-    return pieces
+_BLANK = r"[\s\p{Z}\x1c-\x1f\x85]"
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def chunks_of(texts: pd.Series) -> pd.Series:
-    return texts.map(cut_chunks)
+def chunks(text: Column, limit: int = CHUNK_CHARS) -> Column:
+    """Pieces of at most ``limit`` characters: the rest of the text if it fits, else up to the foremost mark whose last place lies past the middle, else ``limit`` characters.
+
+    One pattern says so: its branches stand in that order, and each takes as many characters as it can. White space
+    around pieces goes. A null or empty text has none.
+    """
+    marks = [rf".{{{limit // 2 + 1},{limit - len(m)}}}{re.escape(m)}" for m in BREAK_MARKS if limit - len(m) > limit // 2]
+    branches = "|".join([rf".{{1,{limit}}}\z", *marks, f".{{1,{limit}}}"])
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{_BLANK}+|{_BLANK}+$", "")
+    pieces = F.regexp_extract_all(body, F.lit(f"(?s){_BLANK}*({branches})"), 1)
+    return F.filter(F.transform(pieces, lambda p: F.regexp_replace(p, f"{_BLANK}+$", "")), lambda p: p != "")
 
 
 def chunk_table(docs: DataFrame, doc: str, text: str, normalize=None) -> DataFrame:
     """(doc, ordinal, chunk_id, chunk, digest): ids are ``doc#ordinal`` from 0."""
     body = F.col(text) if normalize is None else normalize(F.col(text))
-    c = docs.select(doc, F.posexplode(chunks_of(body)).alias("ordinal", "chunk"))
+    c = docs.select(doc, F.posexplode(chunks(body)).alias("ordinal", "chunk"))
     return c.select(doc, "ordinal", F.concat(F.col(doc).cast("string"), F.lit("#"), F.col("ordinal").cast("string")).alias("chunk_id"), "chunk", F.md5(F.col("chunk").cast("binary")).alias("digest"))
 
 
@@ -101,6 +98,11 @@ def list_names(texts: pd.Series) -> pd.Series:
 
 #: Matches nothing.
 NEVER = "(?!)"
+# How many characters before and after an aspect can negate it, those before a request that can name its
+# object, and those around a name that can hold a product's word. The reasons that ``judged`` gives are fixed, too.
+BEFORE, AFTER = 22, 16
+REQUEST_WINDOW = 30
+NAME_WINDOW = 25
 
 
 @dataclass(frozen=True)
@@ -126,9 +128,6 @@ class PolarityRules:
     contrast: str = NEVER
 
 
-BEFORE, AFTER = 22, 16
-
-
 def judged(rules: PolarityRules, s: Column) -> Column:
     """A struct (aspect, polarity, reason) of a sentence: complaint, satisfied or neutral, by the first rule that holds. A null sentence is an empty one."""
     s = F.coalesce(s, F.lit(""))
@@ -214,9 +213,6 @@ class WishRules:
     not_hope: str
 
 
-REQUEST_WINDOW = 30
-
-
 def wish_class(rules: WishRules, s: Column) -> Column:
     """A struct (kind, marker) of a sentence: a for a product to be launched, b for content of a creator, c for any other wish, n for none."""
     s = F.coalesce(s, F.lit(""))
@@ -254,7 +250,7 @@ class Surface:
     tier: str = "link"
 
 
-def surface_hits(text: Column, surfaces: Sequence[Surface], product_words: str, left: str = r"(?<![\p{L}\p{N}])", right: str = r"(?![\p{L}\p{N}])", window: int = 25) -> Column:
+def surface_hits(text: Column, surfaces: Sequence[Surface], product_words: str, left: str = r"(?<![\p{L}\p{N}])", right: str = r"(?![\p{L}\p{N}])", window: int = NAME_WINDOW) -> Column:
     """An array of (kind, canonical, surface, start, stop, near) of the names in a text, whatever the letters' case.
 
     Longer surfaces are tried first, and those of one length by name; of one surface's entries the first counts.

@@ -172,6 +172,13 @@ def _(t):
     return X.chunk_table(t.documents, "doc_id", "text", S.normalized)
 
 
+@query("rt1_plain_chunks", r"""
+WITH c AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(regexp_replace(text, '^\s+|\s+$', '', 'g'), concat('(?s)\s*(.{1,500}$|.{251,498}\. |.{251,498}! |.{251,498}\? |.{251,497}다\. |.{251,497}요\. |.{251,499}', chr(10), '|.{251,499} |.{1,500})'), 1), lambda p: regexp_replace(p, '\s+$', '')), lambda p: p <> '') AS p FROM documents)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS ordinal, md5(p[i]) AS digest FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM c)""")
+def _(t):
+    return X.chunk_table(t.documents, "doc_id", "text").select("doc_id", "ordinal", "digest")
+
+
 @query("ud6_sentences", r"""
 WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(replace(replace(text, '. ', '.' || chr(1)), '! ', '!' || chr(1)), '? ', '?' || chr(1)), chr(1) || '|\n+'), lambda x: trim(x)), lambda x: length(x) > 4) AS a, trim(text) AS w FROM documents)
 SELECT doc_id, CAST(CASE WHEN len(a) > 0 THEN len(a) WHEN length(w) > 0 THEN 1 ELSE 0 END AS INTEGER) AS n FROM s""")
