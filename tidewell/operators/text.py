@@ -19,7 +19,8 @@ CHUNK_CHARS = 500
 BREAK_MARKS = (". ", "! ", "? ", "다. ", "요. ", "\n", " ")
 
 
-_BLANK = r"[\s\p{Z}\x1c-\x1f\x85]"
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+_BLANK = f"[{_BLANKS}]"
 
 
 def chunks(text: Column, limit: int = CHUNK_CHARS) -> Column:
@@ -29,10 +30,10 @@ def chunks(text: Column, limit: int = CHUNK_CHARS) -> Column:
     around pieces goes. A null or empty text has none.
     """
     marks = [rf".{{{limit // 2 + 1},{limit - len(m)}}}{re.escape(m)}" for m in BREAK_MARKS if limit - len(m) > limit // 2]
-    branches = "|".join([rf".{{1,{limit}}}\z", *marks, f".{{1,{limit}}}"])
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{_BLANK}+|{_BLANK}+$", "")
+    branches = "|".join([rf".{{1,{limit}}}+\z", *marks, f".{{1,{limit}}}"])
+    body = F.btrim(F.coalesce(text, F.lit("")), F.lit(_BLANKS))
     pieces = F.regexp_extract_all(body, F.lit(f"(?s){_BLANK}*({branches})"), 1)
-    return F.filter(F.transform(pieces, lambda p: F.regexp_replace(p, f"{_BLANK}+$", "")), lambda p: p != "")
+    return F.filter(F.transform(pieces, lambda p: F.btrim(p, F.lit(_BLANKS))), lambda p: p != "")
 
 
 def chunk_table(docs: DataFrame, doc: str, text: str, normalize=None) -> DataFrame:
