@@ -12,6 +12,7 @@ from .packing import op1_packing
 from .quality_cnn import op3_quality
 from .token_counts import op5_token_counts
 from .warc import OP4_SQL, op4_warc
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
     "op10_jaccard": op10_jaccard,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op6_compaction": OP6_SQL}
