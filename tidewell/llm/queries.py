@@ -10,6 +10,7 @@ from .license_scan import op7_licenses
 from .multiset_hash import op2_fingerprints
 from .packing import op1_packing
 from .quality_cnn import op3_quality
+from .repair import op13_repair
 from .token_counts import op5_token_counts
 from .warc import OP4_SQL, op4_warc
 from .whitening import op12_whitening
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_jaccard": op10_jaccard,
     "op12_whitening": op12_whitening,
+    "op13_repair": op13_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op6_compaction": OP6_SQL}
