@@ -9,6 +9,7 @@ from .language_id import op9_language_id
 from .license_scan import op7_licenses
 from .multiset_hash import op2_fingerprints
 from .packing import op1_packing
+from .personal_data import op11_personal_data
 from .quality_cnn import op3_quality
 from .repair import op13_repair
 from .token_counts import op5_token_counts
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
     "op10_jaccard": op10_jaccard,
+    "op11_personal_data": op11_personal_data,
     "op12_whitening": op12_whitening,
     "op13_repair": op13_repair,
 }
