@@ -129,10 +129,10 @@ def nodes(text: str, base: list[Span], failed: list[Span]) -> Nodes:
             i += 1
     chain = [(i, i + 1) for i in range(len(starts) - 1) if starts[i + 1] == ends[i] + 1 and text[ends[i]] == " "]
     first: dict[str, int] = {}
-    skip = set()
+    near, skip = set(chain), set()
     for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
         for k in keys(text[a:b]):
-            if (j := first.setdefault(k, i)) != i and j + 1 != i:
+            if (j := first.setdefault(k, i)) != i and (j, i) not in near:
                 skip.add((j, i))
     return Nodes(starts, ends, labels, chain, sorted(skip))
 
@@ -360,5 +360,5 @@ def op11_personal_data(spark, sf_dir: str) -> DataFrame:
     found = personal_spans(docs, fitted(docs))
     base = F.filter("spans", lambda s: s["base"])
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    number = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(number, KINDS), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
