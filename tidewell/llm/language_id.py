@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,14 +194,18 @@ def predict(model: LanguageModel, texts: list[str]) -> tuple[list[str], list[flo
 
 
 def sampled_examples(docs: DataFrame, lang_col: str, per_lang: int, bits: int) -> list[tuple[int, str, np.ndarray, np.ndarray]]:
-    """The examples of at most ``per_lang`` rows of each language, chosen by a hash of the id; texts are read whole, on the executors."""
+    """The examples of at most ``per_lang`` rows of each language, chosen by a hash of id and text; texts are read whole, on the executors."""
     known = docs.where(F.col("text").isNotNull() & F.col(lang_col).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
     if not sizes:
         return []
-    h = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30))
+    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     rate = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, (per_lang + 3 * math.sqrt(per_lang)) / n) * (1 << 30))])
-    rows = known.where(h < rate[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), h.alias("h"), F.xxhash64("text").alias("t"), "text")
+    some = known.where(h < rate[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), h.alias("h"), F.xxhash64("text").alias("t"), "text")
+    # rows alike in id and text are one; what is left of a language is little more than per_lang rows, and cut there
+    one = some.groupBy("lang", "h", "t").agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
+    rows = one.withColumn("place", place).where(F.col("place") <= per_lang).drop("place")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
