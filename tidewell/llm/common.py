@@ -6,8 +6,10 @@ Python strings, in blocks of at most ``BLOCK_BYTES``, so memory stays bounded fo
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
+import secrets
 import tempfile
 import uuid
 
@@ -111,7 +113,9 @@ def find_words(data: np.ndarray, cuts: np.ndarray, is_word: np.ndarray) -> tuple
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand.
+    """64-bit hashes of byte spans, equal for equal bytes wherever they stand, and in every run.
+
+    They have no key, so they are for sketches alone; what equality decides takes ``keyed_hashes``.
 
     Spans of up to LONG_SPAN bytes are mixed eight bytes at a time, so that two of at most eight bytes and one length
     never have the same hash; longer ones are hashed by blake2b.
@@ -120,7 +124,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     h = size.astype(_U) * _U(0x94D049BB133111EB)
     if not len(h):
         return h
-    eights = np.ndarray((len(data),), "<u8", data.tobytes() + bytes(8), strides=(1,))
+    eights = _eights(data)
     long = np.flatnonzero(size > LONG_SPAN)
     some, at = slice(None), 0
     while True:
@@ -138,6 +142,81 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return h
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The little-endian number at each place of some bytes, with zeros after the last one."""
+    return np.ndarray((len(data),), "<u8", data.tobytes() + bytes(8), strides=(1,))
+
+
+def word_key() -> bytes:
+    """A fresh key for ``keyed_hashes``: one for all tasks of a run, so that nobody can choose words that meet in it."""
+    return secrets.token_bytes(16)
+
+
+@functools.lru_cache(maxsize=64)
+def _lanes(key: bytes) -> np.ndarray:
+    """Two lanes of random 64-bit numbers: one to begin with, one for the length and one for each four bytes."""
+    return np.frombuffer(hashlib.shake_128(key).digest(2 * (2 + LONG_SPAN // 4) * 8), "<u8").reshape(2, -1)
+
+
+def keyed_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes) -> np.ndarray:
+    """64-bit hashes of byte spans under a key; two given spans meet in one of 2^64 keys, whatever they are.
+
+    The halves are the high halves of two sums of a span's length and four-byte parts, each times a random number
+    (which is strongly universal); longer spans than LONG_SPAN have keyed blake2b digests.
+    """
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, _U)
+    lanes = _lanes(key)
+    sums = lanes[:, :1] + size.astype(_U) * lanes[:, 1:2]
+    eights = _eights(data)
+    some, at = slice(None), 0
+    while True:
+        here = eights[starts[some] + at] & _LOW_BYTES[np.minimum(size[some] - at, 8)]
+        low, high = here & _U(0xFFFFFFFF), here >> _U(32)
+        for lane, own in zip(sums, lanes, strict=True):
+            lane[some] += low * own[2 + at // 4] + high * own[3 + at // 4]
+        at += 8
+        some = np.flatnonzero((size > at) & (size <= LONG_SPAN))
+        if not len(some):
+            break
+    h = (sums[0] & _U(0xFFFFFFFF00000000)) | (sums[1] >> _U(32))
+    long = np.flatnonzero(size > LONG_SPAN)
+    if len(long):
+        raw = data.tobytes()
+        spans = zip(starts[long].tolist(), ends[long].tolist(), strict=True)
+        h[long] = np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=8, key=key).digest() for a, b in spans), "<u8")
+    return h
+
+
+def same_bytes(one: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether spans of some bytes and spans of others are alike, pair by pair."""
+    size = ends - starts
+    same = size == last - first
+    x, y = _eights(one), _eights(other)
+    some, at = np.flatnonzero(same & (size > 0) & (size <= LONG_SPAN)), 0
+    while len(some):
+        differ = (x[starts[some] + at] ^ y[first[some] + at]) & _LOW_BYTES[np.minimum(size[some] - at, 8)]
+        same[some[differ != 0]] = False
+        at += 8
+        some = some[(size[some] > at) & (differ == 0)]
+    for i in np.flatnonzero(same & (size > LONG_SPAN)).tolist():
+        same[i] = np.array_equal(one[starts[i] : ends[i]], other[first[i] : last[i]])
+    return same
+
+
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Distinct hashes of some words, rising, the first word of each, each word's number among them, and whether words of one number are alike."""
+    hashes, first, number = np.unique(keyed_hashes(data, starts, ends, key), return_index=True, return_inverse=True)
+    number = number.ravel()
+    return hashes, first, number, bool(same_bytes(data, starts, ends, data, starts[first][number], ends[first][number]).all())
+
+
+def next_key(key: bytes) -> bytes:
+    """The key to try where two words meet under ``key``."""
+    return hashlib.blake2b(key, digest_size=16).digest()
+
+
 def lower_table() -> np.ndarray:
     t = np.arange(256, dtype=np.uint8)
     t[65:91] += 32

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import find_words, lower_table, row_blocks, span_hashes, text_buffers, written
+from .common import find_words, keyed_hashes, lower_table, next_key, numbered, row_blocks, same_bytes, text_buffers, word_key, written
 
 WINDOW = 13
 SAMPLE = 8
@@ -31,12 +31,12 @@ _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of some texts, and how many each text has."""
+def words_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased bytes of some texts, where their words start and end, and how many each text has."""
     data = _LOWER[raw[off[0] : off[-1]]]
     cuts = off - off[0]
     starts, ends = find_words(data, cuts, _WORD)
-    return span_hashes(data, starts, ends), np.diff(np.searchsorted(starts, cuts))
+    return data, starts, ends, np.diff(np.searchsorted(starts, cuts))
 
 
 class FmIndex:
@@ -144,9 +144,12 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Windows:
-    """The windows of some benchmark items, as parts of the items' words; about 25 bytes for each word."""
+    """The windows of some benchmark items, as parts of the items' words; about 25 bytes for each word, and the distinct words."""
 
-    vocabulary: np.ndarray  # sorted word hashes
+    key: bytes  # of the word hashes
+    vocabulary: np.ndarray  # the distinct words' hashes
+    letters: np.ndarray  # their bytes, one word after another
+    cuts: np.ndarray
     symbols: np.ndarray  # the items' words one after another, as places in the vocabulary
     first: np.ndarray  # of each window in ``symbols``
     lengths: np.ndarray
@@ -156,44 +159,67 @@ class Windows:
 
 def windows_of(items: list[tuple[str | None, str | None]]) -> Windows:
     column = pa.array([t or "" for _, t in items], pa.large_string())
-    hashes, counts = word_hashes(*text_buffers(column)) if items else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    vocabulary, symbols = np.unique(hashes, return_inverse=True)
+    none = np.zeros(0, np.int64)
+    data, starts, ends, counts = words_of(*text_buffers(column)) if items else (np.zeros(0, np.uint8), none, none, none)
+    key, alike = word_key(), False
+    while not alike:
+        key = next_key(key)
+        vocabulary, first, symbols, alike = numbered(data, starts, ends, key)
+    size = (ends - starts)[first]
+    cuts = np.r_[0, np.cumsum(size)]
+    letters = data[np.arange(cuts[-1]) + np.repeat(starts[first] - cuts[:-1], size)]
     # an item of n words has n - WINDOW + 1 windows, or a shorter one if it has any word
     many = np.where(counts > 0, np.maximum(1, counts - WINDOW + 1), 0)
     begin = np.r_[0, np.cumsum(counts)[:-1]] if len(counts) else counts
     inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
     return Windows(
-        vocabulary, symbols.ravel().astype(np.int32), (np.repeat(begin, many) + inner).astype(np.int32), np.repeat(np.minimum(counts, WINDOW), many).astype(np.int8),
+        key, vocabulary, letters, cuts, symbols.astype(np.int32), (np.repeat(begin, many) + inner).astype(np.int32), np.repeat(np.minimum(counts, WINDOW), many).astype(np.int8),
         np.repeat(np.arange(len(items)), many).astype(np.int32), [i for i, _ in items],
     )
 
 
 def search_shard(w: Windows, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of each text; occurrences as text, first word (counted in the shard), length and window."""
-    hashes, counts = word_hashes(raw, off)
+    data, starts, ends, counts = words_of(raw, off)
     row = np.repeat(np.arange(len(counts)), counts)
     found = []
-    for a in range(0, len(hashes) if len(w.first) else 0, SHARD_WORDS - WINDOW + 1):
-        b = min(len(hashes), a + SHARD_WORDS)
-        start, which = search_words(w, hashes[a:b], row[a:b])
+    for a in range(0, len(starts) if len(w.first) else 0, SHARD_WORDS - WINDOW + 1):
+        b = min(len(starts), a + SHARD_WORDS)
+        start, which = search_words(w, data, starts[a:b], ends[a:b], row[a:b])
         found.append((start + a, which))
-        if b == len(hashes):
+        if b == len(starts):
             break
     start, which = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     return counts, row[start], start, w.lengths[which].astype(np.int64), which
 
 
-def search_words(w: Windows, hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shard_numbers(w: Windows, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many distinct words a shard has, the number of each of its words, from 1, and of each benchmark word (0: not there).
+
+    Hashes only sort the words: where two that differ meet, in the shard or with the benchmark, all are hashed anew.
+    """
+    key, asked = w.key, w.vocabulary
+    while True:
+        vocabulary, first, number, alike = numbered(data, starts, ends, key)
+        at = np.minimum(np.searchsorted(vocabulary, asked), len(vocabulary) - 1)
+        met = np.flatnonzero(vocabulary[at] == asked)
+        here = first[at[met]]
+        if alike and same_bytes(data, starts[here], ends[here], w.letters, w.cuts[met], w.cuts[met + 1]).all():
+            there = np.zeros(len(asked), np.int64)
+            there[met] = at[met] + 1
+            return len(vocabulary), number + 1, there
+        key = next_key(key)
+        asked = keyed_hashes(w.letters, w.cuts[:-1], w.cuts[1:], key)
+
+
+def search_words(w: Windows, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First word and window of each occurrence in the words of a shard; ``row`` is the text that each is of."""
-    vocabulary, symbol = np.unique(hashes, return_inverse=True)
+    distinct, symbol, number = shard_numbers(w, data, starts, ends)
     # the words with a separator after each text
-    ends = np.flatnonzero(np.r_[row[1:] != row[:-1], True])
-    word = np.insert(np.arange(len(hashes)), ends + 1, -1)
-    text = np.where(word >= 0, symbol.ravel()[word] + 1, 0)
-    index = FmIndex(text, len(vocabulary) + 1)
-    # the benchmark's words in the shard's numbers, 0 for one that the shard lacks
-    at = np.minimum(np.searchsorted(vocabulary, w.vocabulary), len(vocabulary) - 1)
-    number = np.where(vocabulary[at] == w.vocabulary, at + 1, 0)
+    last = np.flatnonzero(np.r_[row[1:] != row[:-1], True])
+    word = np.insert(np.arange(len(starts)), last + 1, -1)
+    text = np.where(word >= 0, symbol[word], 0)
+    index = FmIndex(text, distinct + 1)
     found, low, high = index.search(number[w.symbols], w.first, w.lengths)
     size = high - low
     rows = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)

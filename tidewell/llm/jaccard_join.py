@@ -27,13 +27,14 @@ import itertools
 import math
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, find_words, lower_table, mix, row_blocks, span_hashes, text_buffers, width, written
+from .common import discard, find_words, keyed_hashes, lower_table, mix, row_blocks, text_buffers, width, word_key, written
 from .components import components
 
 #: Classes and shingles of a block at most (a class with more shingles is a block of its own).
@@ -59,12 +60,20 @@ _NONE = np.zeros(0, np.int64)
 # --- sets ------------------------------------------------------------------------------------------------------
 
 
-def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int) -> Iterator[np.ndarray]:
+class Shingles(NamedTuple):
+    """How texts become sets in one run: shingles of so many words, which are hashed under the run's key."""
+
+    words: int
+    key: bytes
+
+
+def shingle_sets(raw: np.ndarray, off: np.ndarray, shingles: Shingles) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
+    size = shingles.words
     data = _LOWER[raw[off[0] : off[-1]]]
     cuts = off - off[0]
     starts, ends = find_words(data, cuts, _WORD)
-    h = span_hashes(data, starts, ends)
+    h = keyed_hashes(data, starts, ends, shingles.key)
     first = np.searchsorted(starts, cuts)
     full = np.zeros(0, _U)
     if len(h) >= size:
@@ -85,10 +94,10 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int) -> Iterator[np.nda
             yield np.zeros(0, _U)
 
 
-def sets_of(column, size: int) -> Iterator[np.ndarray]:
+def sets_of(column, shingles: Shingles) -> Iterator[np.ndarray]:
     raw, off = text_buffers(column)
     for a, b in row_blocks(off):
-        yield from shingle_sets(raw, off[a : b + 1], size)
+        yield from shingle_sets(raw, off[a : b + 1], shingles)
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -127,13 +136,13 @@ class Counter:
         self.tokens, self.counts = tokens[keep], counts[keep]
 
 
-def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, shingles: Shingles) -> tuple[np.ndarray, np.ndarray]:
     """The FREQUENT most frequent shingles of all documents at most, sorted, and about how many have each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
         for batch in batches:
-            for s in sets_of(batch.column(0), size):
+            for s in sets_of(batch.column(0), shingles):
                 counter.add(s)
         counter.settle()
         if len(counter.tokens):
@@ -455,8 +464,12 @@ def in_cells(rows: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFra
 # --- the join -----------------------------------------------------------------------------------------------------
 
 
-def described(docs: DataFrame, size: int, percent: int, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), sig (16 bytes), the leading shingles, the profile, the least and the greatest shingle of each row."""
+def text_hash():
+    return F.xxhash64("text").alias("th")
+
+
+def described(docs: DataFrame, shingles: Shingles, percent: int, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """doc_id, th (the text's hash), n (set size), sig (16 bytes), the leading shingles, the profile, the least and the greatest shingle of each row."""
     held = docs.sparkSession.sparkContext.broadcast((common, counts))
     kept = [c for c in docs.columns if c == "key"]
 
@@ -466,7 +479,7 @@ def described(docs: DataFrame, size: int, percent: int, common: np.ndarray, coun
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
                 n, sig, lead, outline, ends = [], [], [], [], ([], [])
-                for s in sets_of(part.column(1), size):
+                for s in sets_of(part.column(1), shingles):
                     n.append(len(s))
                     sig.append(signature(s))
                     outline.append(profile(s))
@@ -475,11 +488,11 @@ def described(docs: DataFrame, size: int, percent: int, common: np.ndarray, coun
                     lead.append(leading(s, common, counts, percent).view(np.int64) if len(s) else s.view(np.int64))
                 offsets = np.r_[0, np.cumsum([len(x) for x in lead])].astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lead), pa.int64()))
-                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), tokens, pa.array(outline, pa.binary()), *(pa.array(e, pa.int64()) for e in ends), *part.columns[2:]]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig", "lead", "profile", "head", "tail", *kept])
+                columns = [part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), tokens, pa.array(outline, pa.binary()), *(pa.array(e, pa.int64()) for e in ends), *part.columns[3:]]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "n", "sig", "lead", "profile", "head", "tail", *kept])
 
-    kind = "doc_id long, n long, sig binary, lead array<long>, profile binary, head long, tail long" + "".join(f", {c} binary" for c in kept)
-    out = written(docs.select("doc_id", "text", *kept).mapInArrow(describe, kind), "shingles")
+    kind = "doc_id long, th long, n long, sig binary, lead array<long>, profile binary, head long, tail long" + "".join(f", {c} binary" for c in kept)
+    out = written(docs.select("doc_id", "text", text_hash(), *kept).mapInArrow(describe, kind), "shingles")
     held.destroy()
     return out
 
@@ -573,21 +586,21 @@ def links_of(rows: DataFrame, sets: DataFrame, percent: int, own: bool, every: b
     return by_job(rows).mapInArrow(run, "u binary, v binary")
 
 
-def sets_again(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """sig, shingles of the classes in ``wanted`` (sig, rep), whose texts are read again."""
-
-    def bucket(c):
-        return F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+def sets_again(docs: DataFrame, wanted: DataFrame, shingles: Shingles) -> DataFrame:
+    """sig, shingles of the classes in ``wanted`` (sig, rep, th), whose texts are read again.
 
-    buckets = wanted.select(bucket("rep").alias("bucket")).distinct()
-    few = docs.join(F.broadcast(buckets), bucket("doc_id") == F.col("bucket"), "left_semi")
-    texts = few.join(wanted.hint("merge"), F.col("doc_id") == F.col("rep")).select("sig", "text")
+    Rows are met by id and text hash, so rows that share an id, or have none, meet their own class alone.
+    """
+    bucket = F.pmod(F.xxhash64("rep", "th"), F.lit(BUCKETS))
+    buckets = wanted.select(bucket.alias("bucket")).distinct()
+    few = docs.select(F.col("doc_id").alias("rep"), text_hash(), "text").withColumn("bucket", bucket).join(F.broadcast(buckets), "bucket", "left_semi")
+    texts = few.join(wanted.hint("merge"), ["rep", "th"]).select("sig", "text")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                sets = list(sets_of(part.column(1), size))
+                sets = list(sets_of(part.column(1), shingles))
                 own = [i for i, (s, sig) in enumerate(zip(sets, part.column(0).to_pylist(), strict=True)) if signature(s) == sig]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), pa.array([sets[i].tobytes() for i in own], pa.binary())], names=["sig", "shingles"])
 
@@ -595,11 +608,11 @@ def sets_again(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(packed, "sig binary, shingles binary").dropDuplicates(["sig"])
 
 
-def found_links(jobs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, own: bool, every: bool) -> DataFrame:
+def found_links(jobs: DataFrame, docs: DataFrame, classes: DataFrame, shingles: Shingles, percent: int, own: bool, every: bool) -> DataFrame:
     """The links of some jobs, as a written table."""
     left = written(survivors(jobs, classes, percent, own, every), "survivors")
-    wanted = classes.select("sig", "rep").join(left.select("sig").distinct().hint("merge"), "sig")
-    sets = written(sets_again(docs, wanted, size), "sets")
+    wanted = classes.select("sig", "rep", "th").join(left.select("sig").distinct().hint("merge"), "sig")
+    sets = written(sets_again(docs, wanted, shingles), "sets")
     links = written(links_of(left, sets, percent, own, every), "found")
     discard(left, sets)
     return links
@@ -607,14 +620,15 @@ def found_links(jobs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
 
 def joined(docs: DataFrame, size: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows, classes and links of ``docs`` (doc_id, text and maybe key): enough links for the components, or every one."""
-    common, counts = frequent_shingles(docs, size)
-    rows = described(docs, size, percent, common, counts)
-    of_class = [F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "lead", "profile", "head", "tail")]]
-    classes = written(rows.where("n > 0").groupBy("sig").agg(*of_class).withColumn("own", F.xxhash64("sig")), "classes")
+    shingles = Shingles(size, word_key())
+    common, counts = frequent_shingles(docs, shingles)
+    rows = described(docs, shingles, percent, common, counts)
+    of_class = [F.min(F.struct("doc_id", "th")).alias("least"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "lead", "profile", "head", "tail")]]
+    classes = written(rows.where("n > 0").groupBy("sig").agg(*of_class).withColumns({"own": F.xxhash64("sig"), "rep": F.col("least.doc_id"), "th": F.col("least.th")}).drop("least"), "classes")
     placed = written(in_blocks(classes, "head"), "blocks")
     inside = placed if every else placed.unionByName(in_blocks(classes, "tail"))
     jobs = inside.select(F.col("block").alias("job"), F.lit(0).alias("query"), "sig", F.xxhash64("sig").alias("label"))
-    links = found_links(jobs, docs, classes, size, percent, True, every)
+    links = found_links(jobs, docs, classes, shingles, percent, True, every)
     known = None if every else components(links)
 
     # a class with a head of its own is a block of its own
@@ -632,7 +646,7 @@ def joined(docs: DataFrame, size: int, percent: int, every: bool) -> tuple[DataF
     queries = sent.select(F.col("block").alias("job"), "own").join(slim.select("own", "sig", "label").hint("merge"), "own").select("job", F.lit(1).alias("query"), "sig", "label")
     asked = sent.select(F.col("block").alias("job")).distinct()
     indexed = slim.select(F.col("block").alias("job"), F.lit(0).alias("query"), "sig", "label").join(asked.hint("merge"), "job", "left_semi")
-    more = found_links(queries.unionByName(indexed), docs, classes, size, percent, False, every)
+    more = found_links(queries.unionByName(indexed), docs, classes, shingles, percent, False, every)
     discard(sent, placed, slim)
     return rows, classes, links.unionByName(more)
 

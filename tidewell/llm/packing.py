@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_table, row_blocks, span_hashes, text_buffers
+from .common import keyed_hashes, lower_table, row_blocks, same_bytes, text_buffers, word_key
 
 CACHE_WORDS = 400_000
 END_ID = 1
@@ -53,8 +53,10 @@ class WordTokens:
 
     The vocabulary splits a text into runs of letters, single digits, runs of marks and a few contractions, in
     small letters, and never joins what white space parts. Such words are found over the bytes of many texts at
-    once, hashed, and looked up in a bounded table; the tokenizer sees each new one once. A text with characters
-    other than ASCII and the letters from U+00C0 to U+00FF, or with ``<|``, goes to the tokenizer as it is.
+    once, hashed under a key of the process, and looked up in a bounded table; the tokenizer sees each new one once.
+    The bytes of a word are compared with those that the table has under its hash. A text with a word that differs,
+    with characters other than ASCII and the letters from U+00C0 to U+00FF, or with ``<|``, goes to the tokenizer as
+    it is.
     """
 
     def __init__(self, path: str):
@@ -62,6 +64,7 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.key = word_key()
         self.forget()
 
     def forget(self) -> None:
@@ -69,6 +72,7 @@ class WordTokens:
         self.number: dict[int, int] = {}
         self.first, self.flat = [0], np.zeros(0, np.uint32)
         self.offsets = np.zeros(1, np.int64)
+        self.letters, self.letter_ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # the bytes of all words
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -85,6 +89,9 @@ class WordTokens:
         for h in hashes:
             self.number[h] = len(self.number)
         self.flat, self.offsets = np.concatenate(parts), np.array(self.first)
+        raw = [w.encode() for w in words]
+        self.letters = np.concatenate([self.letters, np.frombuffer(b"".join(raw), np.uint8)])
+        self.letter_ends = np.concatenate([self.letter_ends, self.letter_ends[-1] + np.cumsum([len(r) for r in raw])])
 
     def numbers(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The numbers of words by their hashes."""
@@ -151,7 +158,10 @@ class WordTokens:
         if odd.any():
             own = ~odd[np.searchsorted(cuts, starts, side="right") - 1]
             starts, ends = starts[own], ends[own]
-        words = self.numbers(span_hashes(data, starts, ends), data, starts, ends)
+        words = self.numbers(keyed_hashes(data, starts, ends, self.key), data, starts, ends)
+        known = same_bytes(data, starts, ends, self.letters, self.letter_ends[words], self.letter_ends[words + 1])
+        if not known.all():
+            odd[np.searchsorted(cuts, starts[~known], side="right") - 1] = True
         size = self.offsets[words + 1] - self.offsets[words]
         total = np.r_[0, np.cumsum(size)]
         ids = self.flat[np.arange(total[-1]) + np.repeat(self.offsets[words] - total[:-1], size)]
