@@ -95,6 +95,8 @@ def test_field_parts_what_a_pattern_swallowed(field):
         one, two = phone(rng), card(rng)
         text = f"call me {one} {two} today"
         assert plain(text) == [] and found(text, field) == [("phone", one, False), ("card", two, False)]
+    hexed = next(t for k in range(10**4) if P.luhn(P.digits(t := f"35f6899{k:04d}02e0a6fc36")) and len(P.digits(t)) > 11)
+    assert found(f"password={hexed} token {hexed}", field) == []
     assert found("in chapter 12 of 30, version 2.1. of 1999, key AKIA123456789", field) == []
 
 

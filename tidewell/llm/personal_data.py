@@ -45,6 +45,9 @@ RUN = re.compile(r"[0-9]+|[A-Z]+|[a-z]+|(.)\1*", re.S)
 #: What the field may call an address: a host without a dot too.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
 
+#: What a number that the field labels may be made of.
+NUMBER = {2: re.compile(r"[0-9\x20.-]+"), 3: re.compile(r"\+?[0-9\x20().-]+")}
+
 Span = tuple[int, int, int]  # start, end, kind
 
 
@@ -292,7 +295,7 @@ def added(text: str, n: Nodes, label: np.ndarray, base: list[Span]) -> list[Span
             for a, b in [(i, j)] + [(k, k) for k in range(i, j + 1)] * (j > i):
                 s, e = trimmed(text, n.starts[a], n.ends[b], kind)
                 before = bisect_left(starts, e)
-                if end <= s < e and passes(kind, text[s:e]) and not (before and reach[before - 1] > s):
+                if end <= s < e and (kind not in NUMBER or NUMBER[kind].fullmatch(text, s, e)) and passes(kind, text[s:e]) and not (before and reach[before - 1] > s):
                     out.append((s, e, kind))
                     end = e
         i = j + 1
