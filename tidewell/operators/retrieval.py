@@ -66,9 +66,9 @@ class StoredIndex:
         return self.postings.join(df, ["bucket", "term"]).drop("bucket")
 
 
-def build_index(docs: DataFrame, doc: str, tokens: Column) -> StoredIndex:
-    """Writes the index of ``docs``. A frequent term's postings stay in the parts that they were counted in."""
-    index = StoredIndex(docs.sparkSession, shared_path(docs.sparkSession, "index"))
+def build_index(docs: DataFrame, doc: str, tokens: Column, folder: str | None = None) -> StoredIndex:
+    """Writes the index of ``docs``, to a folder of its own if none is given. A frequent term's postings stay in the parts that they were counted in."""
+    index = StoredIndex(docs.sparkSession, folder or shared_path(docs.sparkSession, "index"))
     found = postings(docs, doc, tokens).withColumn("bucket", term_bucket(F.col("term")))
     found.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{index.folder}/postings")
     stored = index.postings

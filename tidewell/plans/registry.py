@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import metrics, more, relational, steps, text
+from . import incremental, metrics, more, relational, steps, text
 from .base import Query
 
-_CATALOGS = [relational.catalog, metrics.catalog, text.catalog, more.catalog, steps.catalog]
+_CATALOGS = [relational.catalog, metrics.catalog, text.catalog, more.catalog, steps.catalog, incremental.catalog]
 
 QUERIES: dict[str, Query] = {name: q for c in _CATALOGS for name, q in c.queries.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for c in _CATALOGS for name, sql in c.oracle.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions import scalars as S
 from ..operators import linker as L
 from ..operators import retrieval as R
 from ..operators import text as X
+from ..operators.derived import derived_folder, files_fingerprint
+from ..shared import shared_root
 from .base import Catalog
 
 catalog = Catalog()
@@ -24,15 +28,11 @@ _VEC = """vq AS (SELECT concat('q', vec_id + 1) AS query, embedding AS q FROM em
 vr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, doc_id) AS place FROM vs)"""
 
 
-_BUILT: dict[tuple[str, str], R.StoredIndex] = {}
-
-
 def index(t):
-    """The index of the documents, written once for each application and folder; a folder's files are taken not to change meanwhile."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _BUILT:
-        _BUILT[key] = R.build_index(t.documents, "doc_id", R.latin_tokens(C("text")))
-    return _BUILT[key]
+    """The index of the documents, written once for each state of their files."""
+    mark = files_fingerprint(t.spark, [f"{t.folder}/documents.parquet"], "latin", R.TERM_BUCKETS)
+    root = f"{shared_root(t.spark)}/index-{hashlib.sha256(t.folder.encode()).hexdigest()[:16]}"
+    return R.StoredIndex(t.spark, derived_folder(t.spark, root, mark, lambda folder: R.build_index(t.documents, "doc_id", R.latin_tokens(C("text")), folder)))
 
 
 def terms(t):

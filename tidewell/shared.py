@@ -9,14 +9,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``. Where that is unset, it is a local one in local mode (tests), else an error."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, it is a local one in local mode (tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "tidewell-shared")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

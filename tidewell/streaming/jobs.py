@@ -29,20 +29,24 @@ def tumbling_counts(stream: DataFrame, at: str, width: str, key: Sequence[str],
 
 
 def first_seen(stream: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The first row of each key that arrives, over restarts as well."""
+    """The first row of each key that arrives, over restarts as well.
+
+    The state holds every key ever seen: without a bound on how late a key can come back, none can be forgotten.
+    """
     return stream.dropDuplicates(list(key))
 
 
 def replayed(spark: SparkSession, path: str, job: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """Runs a job over the stored rows until all are read; returns what the sink then holds."""
+    """Runs a job over the stored rows until all are read; returns what the sink then holds. A batch that is run again overwrites its part."""
     out, state = shared_path(spark, "stream-out"), shared_path(spark, "stream-state")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
     q = job(file_stream(spark, path)).writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    found = spark.read.parquet(out)
+    return found if mode == "complete" else found.drop("batch")
 
 
 def routed(spark: SparkSession, path: str, kind: str, kinds: Sequence[str]) -> DataFrame:
