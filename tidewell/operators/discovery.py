@@ -45,7 +45,7 @@ def violations(documents: DataFrame, observations: DataFrame, candidates: DataFr
     ])
     known = candidates.select(F.col("candidate").alias("declared")).distinct()
     o = observations.join(docs.select("doc_id", "text"), "doc_id").join(F.broadcast(known), F.col("candidate") == F.col("declared"), "left")
-    seen, text = F.col("disposition") == "observed", F.col("text")
+    seen, text = F.col("disposition").eqNullSafe(F.lit("observed")), F.col("text")
     of_field = [(seen & (_blank(F.col(f)["summary"]) | ~grounded(F.col(f)["span"], text)), f"ungrounded {f}") for f in FIELDS]
     of_observation = _told(o, "observation", F.col("doc_id"), [
         (~F.coalesce(F.col("disposition").isin(*DISPOSITIONS), F.lit(False)), "unknown disposition"), (_blank("reason"), "no reason"), (F.col("candidate").isNotNull() & F.col("declared").isNull(), "undeclared candidate"), *of_field,
@@ -69,7 +69,7 @@ def sorted_out(documents: DataFrame, observations: DataFrame) -> DataFrame:
     same = F.row_number().over(Window.partitionBy(F.sha2(F.col("text"), 256)).orderBy("doc_id")) > 1
     d = documents.select("doc_id", "source", "author_hash", "published_at", same.alias("__copy"))
     why = (
-        F.when(F.col("__copy"), "duplicate").when(F.col("disposition") != "observed", F.concat_ws(": ", "disposition", "reason")).when(_blank("author_hash"), "no author")
+        F.when(F.col("__copy"), "duplicate").when(~F.col("disposition").eqNullSafe(F.lit("observed")), F.concat_ws(": ", "disposition", "reason")).when(_blank("author_hash"), "no author")
     )
     return observations.join(d, "doc_id").select("doc_id", "candidate", why.alias("rejected"), "disposition", "recurring", "source", "author_hash", "published_at")
 

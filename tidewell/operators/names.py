@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +20,8 @@ BRACKET_FIGURES = r"(?i)\[(SPF[^\]]*|PA[^\]]*)\]"
 
 @F.arrow_udf(T.StringType())
 def nfkc(texts: pa.Array) -> pa.Array:
-    """Compatibility forms composed, a batch at a time."""
-    return pc.utf8_normalize(texts, "NFKC")
+    """Compatibility forms composed (Arrow's own function takes Hangul syllables apart)."""
+    return pa.array([t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
 def folded(name: Column) -> Column:

@@ -189,13 +189,13 @@ def review(t):
 @query("dc17_review_violations", f"""WITH {_REVIEW}, x AS (SELECT o.*, d.text, d.author, (SELECT count(*) FROM sp WHERE sp.candidate = o.candidate) > 0 AS declared, coalesce(disposition = 'observed', false) AS seen, disposition IS DISTINCT FROM 'observed' AS unseen, span <> '' AND contains(text, span) AS ok, contains(text, other) AS other_ok FROM o JOIN d USING (doc_id))
 SELECT 'document' AS subject, CAST(doc_id AS VARCHAR) AS key, 'author is no stored hash' AS violation FROM d WHERE author = 'jo' UNION ALL SELECT 'document', CAST(doc_id AS VARCHAR), 'not reviewed' FROM d WHERE doc_id NOT IN (SELECT doc_id FROM o)
 UNION ALL SELECT 'observation', CAST(doc_id AS VARCHAR), unnest([CASE WHEN disposition IS NULL OR disposition = 'odd' THEN 'unknown disposition' END, CASE WHEN reason IS NULL THEN 'no reason' END, CASE WHEN candidate IS NOT NULL AND NOT declared THEN 'undeclared candidate' END, CASE WHEN seen AND text = '' THEN 'ungrounded context' END, CASE WHEN seen AND text = '' THEN 'ungrounded requirement' END, CASE WHEN seen AND text = '' THEN 'ungrounded trade_off' END,
- CASE WHEN seen AND NOT ok THEN 'ungrounded behavior' END, CASE WHEN seen AND NOT ok THEN 'ungrounded burden' END, CASE WHEN seen AND candidate IS NULL THEN 'no candidate' END, CASE WHEN seen AND recurring IS NULL THEN 'recurrence not said' END, CASE WHEN seen AND recurring AND NOT (other <> '' AND other_ok) THEN 'recurrence without its span' END, CASE WHEN disposition <> 'observed' AND NOT ok THEN 'no supporting span' END]) FROM x
+ CASE WHEN seen AND NOT ok THEN 'ungrounded behavior' END, CASE WHEN seen AND NOT ok THEN 'ungrounded burden' END, CASE WHEN seen AND candidate IS NULL THEN 'no candidate' END, CASE WHEN seen AND recurring IS NULL THEN 'recurrence not said' END, CASE WHEN seen AND recurring AND NOT (other <> '' AND other_ok) THEN 'recurrence without its span' END, CASE WHEN unseen AND NOT ok THEN 'no supporting span' END]) FROM x
 UNION ALL SELECT 'candidate', candidate, unnest([CASE WHEN need = '' THEN 'no need' END, CASE WHEN limitations IS NULL THEN 'no limitations' END, CASE WHEN technical = 'odd' THEN 'unknown technical status' END, CASE WHEN technical = 'available' AND refs = '' THEN 'available without references' END, CASE WHEN feasibility = 'maybe' THEN 'unknown feasibility status' END, CASE WHEN technical_reason = '' THEN 'no technical reason' END, CASE WHEN feasibility_reason = '' THEN 'no feasibility reason' END]) FROM sp""".join(["SELECT * FROM (", ") WHERE violation IS NOT NULL"]))
 def _(t):
     return D.violations(*review(t))
 
 
-_SORTED = f"""{_REVIEW}, c AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS copy FROM d), so AS (SELECT doc_id, candidate, CASE WHEN copy THEN 'duplicate' WHEN disposition <> 'observed' THEN concat_ws(': ', disposition, reason) WHEN author IS NULL THEN 'no author' END AS rejected, recurring, source, author, published FROM o JOIN c USING (doc_id))"""
+_SORTED = f"""{_REVIEW}, c AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS copy FROM d), so AS (SELECT doc_id, candidate, CASE WHEN copy THEN 'duplicate' WHEN disposition IS DISTINCT FROM 'observed' THEN concat_ws(': ', disposition, reason) WHEN author IS NULL THEN 'no author' END AS rejected, recurring, source, author, published FROM o JOIN c USING (doc_id))"""
 
 
 @query("dc17_rejected_observations", f"WITH {_SORTED} SELECT doc_id, candidate, rejected FROM so")
