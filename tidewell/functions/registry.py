@@ -73,3 +73,12 @@ def batch_function(build: Callable[[], Predictor], kind: T.DataType | None = Non
             yield pd.Series(list(out))
 
     return run
+
+
+def evaluated(task: str, name: str, rows: DataFrame, text: str, gold: str, by: list[str] | None = None) -> DataFrame:
+    """(implementation, by, label, support, predicted, hit, precision, recall) of an implementation on labelled rows. Null texts are empty ones."""
+    from ..operators.metrics import confusion
+
+    said = batch_function(implementation(task, name).build)(F.coalesce(F.col(text), F.lit("")))
+    pairs = rows.select(*(by or []), F.col(gold).alias("gold"), said.alias("said"))
+    return confusion(pairs, "gold", "said", by or []).withColumn("implementation", F.lit(name))

@@ -72,6 +72,8 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Places that are summed one by one before blocks are put together.
+BLOCK = 512
 # The characters that go from a text, and how often it is normalised at most.
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
@@ -100,15 +102,22 @@ def spans(text: Column, pattern: str) -> Column:
     """The matches of a pattern, as an array of (start, stop, found), places counted from 0; none for a null text.
 
     What stands between the matches has the same lengths as the pieces that the text splits into, which tells the
-    places. For texts with some thousand matches at most, as the places are summed one by one; a pattern that matches
-    the empty text is not meant.
+    places. They are summed in blocks of BLOCK, then over the blocks, so that work grows with the matches and not with
+    their square. A pattern that matches the empty text is not meant.
     """
     told = F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"), F.split(text, pattern, -1).alias("gaps")))
 
+    def summed(numbers: Column) -> Column:
+        """Running sums, 0 before them."""
+        return F.aggregate(numbers, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
     def placed(x: Column) -> Column:
         steps = F.transform(x["found"], lambda m, i: F.length(m) + F.length(F.element_at(x["gaps"], i + 1)))
-        stops = F.aggregate(steps, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-        return F.zip_with(F.slice(stops, 2, F.greatest(F.size(stops), F.lit(1))), x["found"], lambda stop, m: F.struct((stop - F.length(m)).alias("start"), stop.alias("stop"), m.alias("found")))
+        count = F.floor((F.size(steps) + BLOCK - 1) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda b: summed(F.slice(steps, (b - 1) * BLOCK + 1, F.lit(BLOCK))))
+        # through an array of one, so that the blocks are summed once
+        whole = F.element_at(F.transform(F.array(blocks), lambda bs: F.flatten(F.zip_with(bs, F.slice(summed(F.transform(bs, lambda s: F.element_at(s, -1))), F.lit(1), F.size(bs)), lambda s, base: F.transform(F.slice(s, F.lit(2), F.size(s)), lambda n: n + base)))), 1)
+        return F.zip_with(whole, x["found"], lambda stop, m: F.struct((stop - F.length(m)).alias("start"), stop.alias("stop"), m.alias("found")))
 
     # through an array of one, so that matches and gaps are found once
     kind = "array<struct<start:int,stop:int,found:string>>"

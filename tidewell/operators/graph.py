@@ -1,4 +1,4 @@
-"""Graphs: connected components of any size, and layers and feedback edges of small tables of pipeline steps."""
+"""Graphs: connected components and layers of any size, and feedback edges of small tables of pipeline steps."""
 
 from __future__ import annotations
 
@@ -29,25 +29,28 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def layers(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, layer): the longest path from a node without incoming edges, of any length. Raises on a cycle. The edges are those of a small graph."""
-    after: dict = {}
-    waits: dict = {}
-    for x, y in edges.select(a, b).distinct().collect():
-        after.setdefault(x, []).append(y)
-        waits[y] = waits.get(y, 0) + 1
-        waits.setdefault(x, 0)
-    depth = {x: 0 for x, n in waits.items() if not n}
-    ready = list(depth)
-    while ready:
-        x = ready.pop()
-        for y in after.get(x, ()):
-            depth[y] = max(depth.get(y, 0), depth[x] + 1)
-            waits[y] -= 1
-            if not waits[y]:
-                ready.append(y)
-    if any(waits.values()):
-        raise ValueError("the edges have a cycle")
-    return edges.sparkSession.createDataFrame(sorted(depth.items()), f"node {edges.schema[a].dataType.simpleString()}, layer int")
+    """(node, layer): the longest path from a node without incoming edges, of any length. Raises on a cycle.
+
+    Each round takes off the edges from nodes that no edge is left to. A node's layer is the last round in which an edge
+    to it went, so rounds are as many as layers, and what is left without such a node has a cycle.
+    """
+    every = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct(), "layer-edges")
+    left, ended, layer = every, [every.select(F.col("a").alias("node"), F.lit(0).alias("layer"))], 0
+    while True:
+        first = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        marked = written(left.join(first.withColumn("gone", F.lit(True)), "a", "left").select("a", "b", F.coalesce("gone", F.lit(False)).alias("gone")), "layer-edges")
+        rest, gone = marked.agg(F.count("*"), F.count_if("gone")).first()
+        if not rest:
+            break
+        if not gone:
+            raise ValueError("the edges have a cycle")
+        layer += 1
+        ended.append(marked.where("gone").select(F.col("b").alias("node"), F.lit(layer).alias("layer")))
+        left = marked.where("not gone").drop("gone")
+    out = ended[0]
+    for part in ended[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("node").agg(F.max("layer").alias("layer"))
 
 
 def feedback_table(edges: DataFrame, a: str, b: str) -> DataFrame:

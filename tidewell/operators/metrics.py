@@ -60,10 +60,10 @@ def launch_verdict(lower: Column, upper: Column, reference: Column) -> Column:
     )
 
 
-def confusion(pairs: DataFrame, gold: str, predicted: str) -> DataFrame:
-    """Support, predictions, hits, precision and recall of each label."""
-    both = pairs.select(F.explode(F.array_distinct(F.array(gold, predicted))).alias("label"), gold, predicted)
-    counts = both.groupBy("label").agg(F.count_if(F.col(gold) == F.col("label")).alias("support"), F.count_if(F.col(predicted) == F.col("label")).alias("predicted"), F.count_if((F.col(gold) == F.col("label")) & (F.col(predicted) == F.col("label"))).alias("hit"))
+def confusion(pairs: DataFrame, gold: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
+    """Support, predictions, hits, precision and recall of each label, within ``by``."""
+    both = pairs.select(*by, F.explode(F.array_distinct(F.array(gold, predicted))).alias("label"), gold, predicted)
+    counts = both.groupBy(*by, "label").agg(F.count_if(F.col(gold) == F.col("label")).alias("support"), F.count_if(F.col(predicted) == F.col("label")).alias("predicted"), F.count_if((F.col(gold) == F.col("label")) & (F.col(predicted) == F.col("label"))).alias("hit"))
     return counts.withColumns({"precision": ratio(F.col("hit"), F.col("predicted")), "recall": ratio(F.col("hit"), F.col("support"))})
 
 

@@ -301,6 +301,12 @@ def candidate_terms(brand: Column, name: Column, generic: Column, cap: int = 3)
 
 
 def fingerprint(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: sha256 of the rows, in order of their rendering. For dictionaries, which fit one task."""
-    line = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n").cast("binary"), 256).alias("fingerprint"))
+    """One row: a digest of a table as a multiset, whatever the order of its rows and parts.
+
+    Rows' digests meet in 65,536 buckets by their first four digits, each bucket's sorted digests give one, and these
+    give the last; so no task has all rows, and the top one has a digest for each bucket at most.
+    """
+    line = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    whole = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "").cast("binary"), 256)
+    buckets = rows.select(line.alias("h")).groupBy(F.left("h", F.lit(4)).alias("b")).agg(whole(F.col("h")).alias("d"))
+    return buckets.agg(whole(F.concat("b", "d")).alias("fingerprint"))

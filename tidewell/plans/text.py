@@ -297,7 +297,7 @@ def _(t):
     return p.alias("a").join(p.alias("b"), (C("a.p_brand") == C("b.p_brand")) & (C("a.p_partkey") < C("b.p_partkey"))).select(C("a.p_partkey").alias("a"), C("b.p_partkey").alias("b"), S.jaccard(C("a.w"), C("b.w")).alias("jaccard"))
 
 
-@query("gr4_dictionary_fingerprint")
+@query("gr4_dictionary_fingerprint", """WITH h AS (SELECT sha256(to_json({'r_regionkey': r_regionkey, 'r_name': r_name})) AS h FROM region), b AS (SELECT substr(h, 1, 4) AS b, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1) SELECT sha256(string_agg(concat(b, d), '' ORDER BY b)) AS fingerprint FROM b""")
 def _(t):
     return X.fingerprint(t.region, ["r_regionkey", "r_name"])
 
