@@ -162,3 +162,64 @@ def test_boards_of_odd_pages(spark):
     bodies = [page({"r": {"data": rows}, "trendingThemeId": 12}), page({"r": {"data": 3}}), page([]), "<script>", None]
     out = P.board_records(answers(spark, *bodies), [("hot", "r", None)]).collect()
     assert sorted((r.kind, r.category, r["rank"], r.product_key, r.name, r.price, r.fresh) for r in out) == [("price", "12", 1, "5", None, 9.0, None), ("rank", "12", 1, "5", "", 9.0, None), ("rank", "12", 2, "6", "", None, True)]
+
+
+def test_terms_of_both_scripts(spark):
+    from tidewell.operators import retrieval as Q
+    from tidewell.operators.names import nfkc
+
+    texts = ["SPF50+ sun-cream PA++ a", "선크림은 SPF50+ 라네즈에서 산 워터선크림이 좋아요", "ＡＢＣ cream 가", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", nfkc("t").alias("t"))
+    got = {r.i: r.w for r in df.select("i", Q.search_tokens(F.col("t"), ["선크림", "라네", "x y"]).alias("w")).collect()}
+    assert got[0] == ["spf50+", "sun-cream", "pa+", "a"] and got[2] == ["abc", "cream"] and got[3] == got[4] == []
+    assert got[1] == ["선크림", "라네즈", "라네", "워터선크림", "선크림", "좋아요", "spf50+"]
+    asked = {r.i: r.w for r in spark.createDataFrame([(0, "the cream the"), (1, "the of")], "i long, t string").select("i", Q.query_tokens(F.col("t"), ["the", "of"]).alias("w")).collect()}
+    assert asked == {0: ["cream"], 1: ["the", "of"]}
+
+
+def test_rules_of_a_versioned_dictionary(spark):
+    rows = [
+        ("aspect", "dry", "dry", False, 2, True, 3), ("aspect", "sting", "sting(?:s|ing)", False, 1, True, 3), ("aspect", "sting", "burns", False, 3, True, 3), ("positive", None, "love", None, 1, True, 3), ("positive", None, "great", None, 2, True, 3),
+        ("negative", None, "awful", None, 1, True, 3), ("negative", None, "old", None, 1, False, 2), ("wish", None, "hope", None, None, True, 3),
+    ]
+    kind = "slot string, name string, pattern string, neutral boolean, place long, active boolean, version int"
+    df = spark.createDataFrame(rows, kind)
+    rules = X.rules_of(X.PolarityRules, df)
+    assert rules.positive == "(?:love)|(?:great)" and rules.negative == "(?:awful)" and rules.negated_positive == X.NEVER and [a[0] for a in rules.aspects] == ["sting", "dry"]
+    said = spark.createDataFrame([(0, "it burns, awful"), (1, "not dry, love it"), (2, "great")], "i long, s string").select("i", X.judged(rules, F.col("s")).alias("p")).collect()
+    assert {r.i: (r.p.aspect, r.p.polarity) for r in said} == {0: ("sting", "complaint"), 1: ("dry", "satisfied"), 2: (None, "satisfied")}
+    assert X.rules_of(X.PolarityRules, df, 2).negative == "(?:old)" and X.rules_of(X.WishRules, df.where("slot = 'none'").unionByName(spark.createDataFrame([("launch", None, "make it", None, 1, True, 1)], kind))).launch == "(?:make it)"
+    with pytest.raises(ValueError, match="more than one active"):
+        X.rules_of(X.PolarityRules, df.withColumn("active", F.lit(True)))
+    with pytest.raises(ValueError, match="no slot"):
+        X.rules_of(X.WishRules, df.where("slot = 'negative'"))
+
+
+def test_terms_are_counted_in_their_row(spark):
+    from tidewell.operators import retrieval as Q
+
+    df = spark.createDataFrame([(0, ["b", "a", "b"]), (1, []), (2, ["x"] * 5000 + ["y"]), (3, None)], "i long, w array<string>")
+    got = {r.i: [tuple(x) for x in r.c] for r in df.select("i", Q.term_counts(F.col("w")).alias("c")).collect()}
+    assert got == {0: [("a", 1), ("b", 2)], 1: [], 2: [("x", 5000), ("y", 1)], 3: []}
+
+
+# --- queues and caches ------------------------------------------------------------------------------------------------
+
+
+def test_queue_outcomes_in_order(spark):
+    from tidewell.operators import work as K
+
+    jobs = spark.createDataFrame([("a", "t", "queued"), ("b", "t", "running"), ("a", "u", "done")], "kind string, target string, state string")
+    wanted = [("a", "t", 1), ("a", "u", 2), ("a", "u", 3), ("c", "t", 4), ("d", "t", 5), ("a", "v", 6), ("a", "w", 7)]
+    out = K.enqueued(jobs, spark.createDataFrame(wanted, "kind string, target string, place long"), 5, 3).collect()
+    assert {r.place: r.outcome for r in out} == {1: "duplicate", 2: "enqueued", 3: "duplicate", 4: "enqueued", 5: "per_target", 6: "enqueued", 7: "capped"}
+    assert {r.outcome for r in K.enqueued(jobs, spark.createDataFrame(wanted, "kind string, target string, place long"), 1, 3).collect()} == {"duplicate", "per_target", "capped"}
+
+
+def test_routes_that_can_not_be_compared(spark):
+    from tidewell.operators import work as K
+
+    arm = spark.createDataFrame([("c", "x", 1, None), ("c", "y", 2, date(2024, 1, 2))], "c string, v string, place int, at date")
+    with pytest.raises(K.IncomparableWindow, match="first listing"):
+        K.route_comparison(arm, arm, ["c"], "v", "place", "at", "2024-01-01")
+    assert {r.side for r in K.route_comparison(arm, arm, ["c"], "v", "place", "at").collect()} == {"both"}

@@ -24,10 +24,56 @@ def latin_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
 
 
+# Latin terms with their inner signs, the share of Hangul from which a text is Korean, particles that end a word.
+LATIN_TERM = r"[a-z0-9]+(?:[+\-][a-z0-9]+)*\+?"
+KOREAN_SHARE = 0.05
+PARTICLES = ("에서는", "으로는", "에서", "으로", "에게", "까지", "부터", "보다", "처럼", "이랑", "하고", "은", "는", "이", "가", "을", "를", "에", "의", "와", "과", "도", "로", "만", "랑")
+
+
+def search_tokens(text: Column, aliases: Sequence[str] = ()) -> Column:
+    """The terms of a text by its script, in order; none for a null text. The text is to be in compatibility form (``names.nfkc``, as a column of its own).
+
+    A text that is Latin gives its Latin terms (``spf50+`` is one). A Korean one gives the words of two syllables or more
+    without their particle (there is no morphology here: a verb keeps its ending), then its Latin terms of two characters or more;
+    and after each term the ``aliases`` (Hangul, without blanks, of two characters or more) inside it, in order.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    latin = F.regexp_extract_all(low, F.lit(LATIN_TERM), 0)
+    hangul = F.length(F.regexp_replace(low, "[^가-힣]", ""))
+    bare = F.transform(F.regexp_extract_all(low, F.lit("[가-힣]+"), 0), lambda w: F.coalesce(F.nullif(F.regexp_extract(w, f"^([가-힣]{{2,}}?)(?:{'|'.join(PARTICLES)})$", 1), F.lit("")), w))
+    words = F.concat(F.filter(bare, lambda w: F.length(w) >= 2), F.filter(latin, lambda w: F.length(w) >= 2))
+    inner = sorted({a for a in aliases if len(a) >= 2 and " " not in a})
+    if inner:
+        known = F.array(*map(F.lit, inner))
+        words = F.flatten(F.transform(words, lambda w: F.concat(F.array(w), F.filter(known, lambda a: (a != w) & w.contains(a)))))
+    return F.when(hangul > KOREAN_SHARE * F.length(low), words).otherwise(latin)
+
+
+def query_tokens(text: Column, stop: Sequence[str], aliases: Sequence[str] = ()) -> Column:
+    """The terms of a query without stop words; all of them where nothing else is left, as no term finds nothing."""
+    words = F.array(*map(F.lit, stop)).cast("array<string>")
+    or_all = lambda found: F.element_at(F.transform(F.array(F.filter(found, lambda w: ~F.array_contains(words, w))), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(found)), 1)
+    # through arrays of one, so that the terms are found once
+    return F.element_at(F.transform(F.array(search_tokens(text, aliases)), or_all), 1)
+
+
+def term_counts(tokens: Column) -> Column:
+    """The distinct tokens of an array with how often each is there, (term, tf), by term; work grows with the array and its sorting."""
+
+    def runs(s: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.element_at(s, i) != F.try_element_at(s, i + 1)))
+        counted = lambda e: F.transform(e, lambda x, k: F.struct(F.element_at(s, x).alias("term"), (x - F.when(k > 0, e[k - 1]).otherwise(0)).cast("long").alias("tf")))
+        return F.element_at(F.transform(F.array(ends), counted), 1)
+
+    # through arrays of one, so that what an inner function looks at is made once
+    some = F.element_at(F.transform(F.array(F.array_sort(tokens)), runs), 1)
+    return F.when(F.size(tokens) > 0, some).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+
 def postings(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
-    """(term, doc, tf, length): an inverted index; a document's length is its number of tokens."""
-    t = docs.select(doc, tokens.alias("__t")).select(doc, F.size("__t").alias("length"), F.explode("__t").alias("term"))
-    return t.groupBy("term", doc, "length").agg(F.count("*").alias("tf"))
+    """(term, doc, tf, length): an inverted index; a document's length is its number of tokens. Terms are counted within their row, so nothing is shuffled."""
+    t = docs.select(doc, tokens.alias("__t")).select(doc, F.size("__t").alias("length"), F.explode(term_counts(F.col("__t"))).alias("p"))
+    return t.select("p.term", doc, "length", "p.tf")
 
 
 def term_bucket(term: Column) -> Column:
@@ -67,10 +113,14 @@ class StoredIndex:
 
 
 def build_index(docs: DataFrame, doc: str, tokens: Column, folder: str | None = None) -> StoredIndex:
-    """Writes the index of ``docs``, to a folder of its own if none is given. A frequent term's postings stay in the parts that they were counted in."""
+    """Writes the index of ``docs``, to a folder of its own if none is given. A frequent term's postings are in all parts of its bucket."""
     index = StoredIndex(docs.sparkSession, folder or shared_path(docs.sparkSession, "index"))
     found = postings(docs, doc, tokens).withColumn("bucket", term_bucket(F.col("term")))
-    found.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{index.folder}/postings")
+    # a bucket's files are as many as its share of the tasks, and a hot term is in all of them
+    width = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, width // TERM_BUCKETS)
+    dealt = found.repartition(width, "bucket", F.pmod(F.xxhash64(doc), F.lit(parts)))
+    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{index.folder}/postings")
     stored = index.postings
     stored.groupBy("bucket", "term").agg(F.count("*").alias("df")).sortWithinPartitions("bucket", "term").write.parquet(f"{index.folder}/terms")
     # documents without tokens count as well

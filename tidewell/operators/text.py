@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import MISSING, dataclass, field, fields
 
 import numpy as np
 import pandas as pd
@@ -191,6 +191,38 @@ def judged(rules: PolarityRules, s: Column) -> Column:
     return F.element_at(F.transform(F.array(told), ruled), 1)
 
 
+def rules_of(kind: type, rows: DataFrame, version: int | None = None, most: int = 20_000):
+    """``PolarityRules`` or ``WishRules`` of a versioned dictionary (slot, name, pattern, neutral, place, active, version): patterns of a slot are alternatives.
+
+    Without a ``version`` the active one counts, of which there must be one. Slot ``aspect`` gives the aspects, those of a
+    name in one pattern, the first by place first. A slot that the dictionary lacks keeps its default, or matches nothing.
+    """
+    if version is None:
+        found = [r[0] for r in rows.where("active").select("version").distinct().limit(2).collect()]
+        if len(found) != 1:
+            raise ValueError(f"{len(found) or 'no'} active versions of the dictionary" if len(found) != 2 else "more than one active version of the dictionary")
+        version = found[0]
+    entries = rows.where(F.col("version") == version).select("slot", "name", "pattern", "neutral", "place").limit(most + 1).collect()
+    if len(entries) > most:
+        raise ValueError(f"more than {most} patterns: find names with a dictionary instead")
+    entries.sort(key=lambda r: (r.place is None, r.place, r.pattern))
+    slots: dict[str, list[str]] = {}
+    aspects: dict[str, list] = {}
+    for r in entries:
+        if r.slot == "aspect":
+            aspects.setdefault(r.name, []).append(r)
+        else:
+            slots.setdefault(r.slot, []).append(r.pattern)
+    known = {f.name: f for f in fields(kind)}
+    if unknown := sorted(set(slots) - set(known)):
+        raise ValueError(f"no slot {', '.join(unknown)}")
+    told: dict = {name: "|".join(f"(?:{p})" for p in patterns) for name, patterns in slots.items()}
+    told |= {name: NEVER for name, f in known.items() if name not in told and f.default is MISSING and f.default_factory is MISSING}
+    if aspects:
+        told["aspects"] = tuple((name, "|".join(f"(?:{r.pattern})" for r in own), bool(own[0].neutral)) for name, own in aspects.items())
+    return kind(**told)
+
+
 @dataclass(frozen=True)
 class WishRules:
     """Patterns of wish classes; a language is a set of them. See ``wish_class``."""

@@ -32,9 +32,9 @@ def _(t):
     return o.groupBy("note").agg(F.min("o_orderkey").alias("run_id")).withColumn("stamp", F.substring(F.sha2(C("note"), 256), 1, 12))
 
 
-@query("sc13_identity_check", "SELECT doc_id FROM documents WHERE length(text) <> n_chars OR source NOT IN (SELECT DISTINCT source FROM documents WHERE doc_id < 100)")
+@query("sc13_identity_check", "SELECT doc_id FROM documents WHERE length(text) <> n_chars OR source IS NULL OR source NOT IN (SELECT source FROM documents WHERE source IS NOT NULL GROUP BY 1 HAVING count(*) >= 3)")
 def _(t):
-    known = t.documents.where("doc_id < 100").select("source").distinct().withColumn("known", F.lit(True))
+    known = t.documents.where("source is not null").groupBy("source").count().where("count >= 3").select("source", F.lit(True).alias("known"))
     return t.documents.join(F.broadcast(known), "source", "left").where((F.length("text") != C("n_chars")) | C("known").isNull()).select("doc_id")
 
 
@@ -261,10 +261,10 @@ def _(t):
     return t.part.join(b, "p_partkey").select("p_partkey", relation.alias("relation"))
 
 
-@query("dc20_search_terms", "SELECT p_partkey, [concat(p_brand, ' ', p_name), p_name] AS terms FROM part WHERE p_size > 45")
+@query("dc20_search_terms", "SELECT p_partkey, [concat(p_brand, ' ', p_name), p_name] AS terms FROM part")
 def _(t):
     terms = F.array(F.concat_ws(" ", "p_brand", "p_name"), C("p_name"), F.concat_ws(" ", C("p_brand"), F.element_at(F.split("p_name", " "), 2)))
-    return t.part.where("p_size > 45").select("p_partkey", F.slice(F.array_distinct(terms), 1, 2).alias("terms"))
+    return t.part.select("p_partkey", F.slice(F.array_distinct(terms), 1, 2).alias("terms"))
 
 
 @query("dc20_candidate_terms", """

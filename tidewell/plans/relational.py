@@ -380,20 +380,22 @@ def _(t):
 
 
 @query("j29_containment_join", """
-SELECT DISTINCT a.p_name AS short, b.p_brand AS brand FROM (SELECT DISTINCT split_part(p_name, ' ', 2) AS p_name FROM part) a JOIN (SELECT DISTINCT p_brand, p_name FROM part) b ON contains(b.p_name, a.p_name) AND b.p_brand < 'Brand#12'""")
+SELECT DISTINCT a.p_name AS short, b.p_brand AS brand FROM (SELECT DISTINCT split_part(p_name, ' ', 2) AS p_name FROM part) a JOIN (SELECT DISTINCT p_brand, p_name FROM part) b ON list_contains(string_split(b.p_name, ' '), a.p_name)""")
 def _(t):
     a = t.part.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("short")).distinct()
-    b = t.part.where("p_brand < 'Brand#12'").select(C("p_brand").alias("brand"), "p_name").distinct()
+    b = t.part.select(C("p_brand").alias("brand"), "p_name").distinct()
     # whole words meet by equality: the contained part is one of the words
     return b.select("brand", F.explode(F.split("p_name", " ")).alias("short")).join(a, "short").distinct().select("short", "brand")
 
 
 @query("j29_containment_whole", """
-SELECT DISTINCT a.p_name AS short, b.p_brand AS brand FROM (SELECT DISTINCT split_part(p_name, ' ', 2) AS p_name FROM part) a JOIN (SELECT DISTINCT p_brand, p_name FROM part) b ON contains(b.p_name, a.p_name)""")
+SELECT DISTINCT a.p_name AS short, b.p_brand AS brand FROM (SELECT DISTINCT split_part(p_name, ' ', 2) AS p_name FROM part WHERE p_name LIKE '% %') a JOIN (SELECT DISTINCT p_brand, p_name FROM part) b ON contains(b.p_name, a.p_name)""")
 def _(t):
-    a = t.part.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("short")).distinct()
+    from ..operators.launch import contained
+
+    a = t.part.where("p_name like '% %'").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("short")).distinct()
     b = t.part.select(C("p_brand").alias("brand"), "p_name").distinct()
-    return b.join(F.broadcast(a), C("p_name").contains(C("short"))).select("short", "brand").distinct()
+    return contained(b, "p_name", a, "short").select("name.short", "text.brand").distinct()
 
 
 @query("j31_same_quarter_last_year", """

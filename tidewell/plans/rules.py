@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import registry as P
 from ..operators import launch as L
+from ..operators import names as N
+from ..operators import retrieval as Q
 from ..operators import rules as R
 from ..operators import text as X
 from ..operators import trend as T
@@ -193,3 +195,10 @@ def _(t):
     a = t.part.select(F.replace("p_name", F.lit(" "), F.lit("")).alias("short")).distinct()
     b = t.part.select(C("p_brand").alias("brand"), F.concat("p_type", F.replace("p_name", F.lit(" "), F.lit("")), F.lit("-"), C("p_size").cast("string")).alias("long")).distinct()
     return L.contained(b, "long", a, "short").select("name.short", "text.brand").distinct()
+
+
+@query("fn_search_tokens", r"WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+(?:[+\-][a-z0-9]+)*\+?') AS w FROM documents) SELECT doc_id, len(w) AS n, md5(array_to_string(w, ' ')) AS terms, len(list_filter(w, lambda x: x NOT IN ('the', 'of', 'und'))) AS kept FROM t")
+def _(t):
+    w, kept = Q.search_tokens(C("text"), ["선크림"]), Q.query_tokens(C("text"), ["the", "of", "und"])
+    n = F.size(F.filter(kept, lambda x: ~x.isin("the", "of", "und")))
+    return t.documents.select("doc_id", N.nfkc("text").alias("text")).select("doc_id", F.size(w).cast("long").alias("n"), F.md5(F.array_join(w, " ").cast("binary")).alias("terms"), n.cast("long").alias("kept"))

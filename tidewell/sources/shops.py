@@ -192,3 +192,26 @@ def flight_reviews(pages: DataFrame) -> DataFrame:
     o = objects_with(f, "key", "flight", "idreviewcomment").select("key", F.try_parse_json("object").alias("o")).where("o is not null").join(f.select("key", "at"), "key")
     out = o.select("key", "at", filled(at_path("o", "$.idreviewcomment")).alias("review_key"), filled(at_path("o", "$.reviewText")).alias("body"), number(F.col("o"), "$.rating").alias("rating"), at_path("o", "$.product.idProduct").alias("product_key"), at_path("o", "$.product.productTitle").alias("product_name"))
     return out.where("review_key is not null and body is not null")
+
+
+# --- search trends ------------------------------------------------------------------------------------------------
+
+
+def _points(series: Column) -> Column:
+    """(month, ratio) of a series' data: periods of seven characters or more, ratios that are numbers."""
+    some = F.filter(elements(series, "$.data"), lambda p: (F.schema_of_variant(at_path(p, "$.period", "variant")) == "STRING") & (F.length(at_path(p, "$.period")) >= 7))
+    return F.transform(some, lambda p: F.struct(F.left(at_path(p, "$.period"), F.lit(7)).alias("month"), number(p, "$.ratio").alias("ratio")))
+
+
+def trend_points(payloads: DataFrame) -> DataFrame:
+    """(key, at, series, terms, month, ratio) of answers whose series name themselves; one without a name is none."""
+    s = parsed(payloads).select("key", "at", F.explode(elements("v", "$.results")).alias("s"))
+    named = s.where(F.schema_of_variant(at_path("s", "$.title", "variant")) == "STRING").withColumn("series", filled(at_path("s", "$.title"))).where("series is not null")
+    terms = F.transform(elements("s", "$.keywords"), lambda t: at_path(t, "$"))
+    return named.select("key", "at", "series", terms.alias("terms"), F.explode(_points(F.col("s"))).alias("p")).select("key", "at", "series", "terms", "p.*")
+
+
+def positional_points(payloads: DataFrame, terms: str = "terms") -> DataFrame:
+    """(key, at, series, month, ratio) of answers whose series are those of the request's ``terms``, by position; more series than terms are cut off, entries that are no objects keep their place."""
+    s = payloads.select("key", "at", terms, F.try_parse_json("body").alias("v")).where("v is not null").select("key", "at", terms, F.posexplode(elements("v", "$.results")).alias("i", "s"))
+    return s.where(F.col("i") < F.size(terms)).select("key", "at", F.col(terms)[F.col("i")].alias("series"), F.explode(_points(F.col("s"))).alias("p")).select("key", "at", "series", "p.*")
