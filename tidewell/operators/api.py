@@ -34,3 +34,10 @@ def select_rows(df: DataFrame, columns: Sequence[str], filters: Sequence[tuple]
     if offset:
         df = df.offset(offset)
     return (df if limit is None else df.limit(limit)).select(*columns)
+
+
+def page_rows(df: DataFrame, columns: Sequence[str], filters: Sequence[tuple], order: Sequence[tuple[str, str]], limit: int, offset: int = 0) -> DataFrame:
+    """One page of ``select_rows``, with next_offset: where the next page begins, null on the last one. The order must be of unique rows, so that pages neither overlap nor leave gaps."""
+    here = select_rows(df, columns, filters, order, limit, offset)
+    more = select_rows(df, columns, filters, order, 1, offset + limit).agg((F.count("*") > 0).alias("__more"))
+    return here.crossJoin(F.broadcast(more)).select(*columns, F.when(F.col("__more"), F.lit(offset + limit)).cast("long").alias("next_offset"))

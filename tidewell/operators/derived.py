@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -32,11 +33,11 @@ def files_fingerprint(spark: SparkSession, paths: Sequence[str], *parameters: ob
     return sha.hexdigest()
 
 
-def derived_folder(spark: SparkSession, root: str, fingerprint: str, build: Callable[[str], None], keep: int = 1) -> str:
+def derived_folder(spark: SparkSession, root: str, fingerprint: str, build: Callable[[str], None], keep: int = 1, half_age: float = 86_400) -> str:
     """The folder ``root/fingerprint``; if it is not there, ``build`` fills another one, which is renamed to it when it is whole.
 
     Of two builders at once one renames first, and both then have its folder. After a build, all but the ``keep``
-    newest other folders under ``root`` go; one that a dead builder left half done goes with them.
+    newest other folders under ``root`` go, and so do those that builders began more than ``half_age`` seconds ago and left half done.
     """
     goal, files = _path(spark, f"{root}/{fingerprint}")
     if files.exists(goal):
@@ -50,7 +51,8 @@ def derived_folder(spark: SparkSession, root: str, fingerprint: str, build: Call
     files.delete(below, True)
     others = [f for f in files.listStatus(goal.getParent()) if f.getPath().getName() != fingerprint]
     whole = sorted((f for f in others if not f.getPath().getName().startswith("_")), key=lambda f: -f.getModificationTime())
-    for f in [*whole[keep:], *(f for f in others if f.getPath().getName().startswith("_"))]:
+    since = (time.time() - half_age) * 1000
+    for f in [*whole[keep:], *(f for f in others if f.getPath().getName().startswith("_") and f.getModificationTime() <= since)]:
         files.delete(f.getPath(), True)
     return f"{root}/{fingerprint}"
 

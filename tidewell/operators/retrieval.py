@@ -141,12 +141,12 @@ def bm25(index: StoredIndex, queries: DataFrame, doc: str, k: int | None = 10) -
     return ranked if k is None else ranked.where(F.col("place") <= k)
 
 
-def vector_search(store: DataFrame, key: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int) -> DataFrame:
-    """(query, key, similarity, place): exact dot products of unit vectors; NaN goes; ties by key.
+def vector_search(store: DataFrame, key: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int, mask: Column | None = None) -> DataFrame:
+    """(query, key, similarity, place): exact dot products of unit vectors, of the rows that a ``mask`` lets through; NaN goes; ties by key.
 
     ``queries`` is a stated set, broadcast to the rows of the store.
     """
-    s = store.select(key, vector).crossJoin(F.broadcast(queries.select(F.col(query).alias("query"), F.col(query_vector).alias("__q"))))
+    s = (store if mask is None else store.where(mask)).select(key, vector).crossJoin(F.broadcast(queries.select(F.col(query).alias("query"), F.col(query_vector).alias("__q"))))
     s = s.select("query", key, dot(F.col(vector), F.col("__q")).alias("similarity")).where(~F.isnan("similarity"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), key))
     return s.withColumn("place", place).where(F.col("place") <= k)
