@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,10 +68,20 @@ def test_chunks_are_cut_at_the_foremost_mark(spark):
     assert [r.c for r in got] == [c for _, _, c in cases]
 
 
-def test_list_names():
-    assert X.split_list("Water, Oil (a, b), [mark] Salt @ Wax") == ["Water", "Oil (a, b)", "Salt", "Wax"]
-    assert X.split_list("A (b, C, D") == ["A (b", "C", "D"]
-    assert X.split_list(None) == []
+def test_list_names(spark):
+    def plain(text):
+        body = re.sub(r"\[[^\]]*\]", " ", text or "")
+        hidden = body
+        while m := re.search(r"\([^()]*\)", hidden):  # the innermost pairs first
+            hidden = hidden[: m.start()] + "x" * len(m[0]) + hidden[m.end() :]
+        cuts = [-1, *(m.start() for m in re.finditer("[,@]", hidden)), len(body)]
+        return [n for a, b in zip(cuts, cuts[1:], strict=False) if (n := body[a + 1 : b].strip())]
+
+    rng = random.Random(3)
+    texts = ["Water, Oil (a, b), [mark] Salt @ Wax", "A (b, C, D", None, "", "a (b (c, d), e), f)", "(" * 300 + ",", "x, " * 9000] + ["".join(rng.choice("ab ,@()[]") for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.n for r in df.select("i", X.list_names(F.col("t")).alias("n")).collect()}
+    assert plain(texts[0]) == ["Water", "Oil (a, b)", "Salt", "Wax"] and got == {i: plain(t) for i, t in enumerate(texts)}
 
 
 def test_polarity_order(spark):

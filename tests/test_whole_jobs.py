@@ -12,20 +12,38 @@ from tidewell.plans import registry
 from tidewell.plans.text import PART_RULE
 
 
+def by_side(parts):
+    """{part: 1 if the first name alone has it, 2 if the second alone, 3 if both}"""
+    told = {}
+    for side, own in ((1, parts[0]), (2, parts[1])):
+        for part in own:
+            told[part] = told.get(part, 0) | side
+    return told
+
+
+def last_form(rule, name):
+    """The last form that a walk through a name's letters meets, the longest of those that begin at one place."""
+    at, last = 0, ""
+    while at < len(name):
+        here = max((f for f in rule.forms if name.startswith(f, at)), key=len, default="")
+        last, at = here or last, at + max(1, len(here))
+    return dict(rule.form_map).get(last, last)
+
+
 def accepts(rule, a, b):
-    """(accepted, jaccard, dice) of two names, word by word."""
-    tokens = [frozenset(t for t in n.split() if len(t) >= 2 or t.isdigit()) for n in (a, b)]
-    x, y = (t - rule.stop for t in tokens)
-    glued = [n.replace(" ", "") for n in (a, b)]
-    p, q = (frozenset(g[i : i + 2] for i in range(len(g) - 1)) for g in glued)
-    numbers = [frozenset(t for t in n.split() if re.fullmatch(r"[\d\.]+", t)) for n in (a, b)]
-    form = re.compile("|".join(map(re.escape, sorted(rule.forms, key=len, reverse=True))) or r"(?!)")
-    last = [dict(rule.form_map).get(f[-1], f[-1]) if (f := form.findall(g)) else "" for g in glued]
-    jaccard = len(x & y) / len(x | y) if x | y else 0.0
-    dice = round(2 * len(p & q) / (len(p) + len(q)), 3) if p and q else 0.0
-    differ = any((t in glued[0]) != (t in glued[1]) for t in (x ^ y) & rule.discriminators) or numbers[0] != numbers[1]
-    near = (jaccard >= 0.5 and bool(x & y)) or dice >= 0.7 or (len(x & y) >= 2 and dice >= 0.6)
-    return last[0] == last[1] and not differ and near, jaccard, dice
+    """(accepted, jaccard, dice) by which side has what."""
+    joined = ["".join(n.split(" ")) for n in (a, b)]
+    words = by_side([[w for w in n.split() if len(w) > 1 or w.isdigit()] for n in (a, b)])
+    telling = {w: side for w, side in words.items() if w not in rule.stop}
+    met = sum(side == 3 for side in telling.values())
+    letters = by_side([{x + y for x, y in itertools.pairwise(n)} for n in joined])
+    sizes = [sum(bool(side & bit) for side in letters.values()) for bit in (1, 2)]
+    jaccard = met / len(telling) if telling else 0.0
+    dice = round(2 * sum(side == 3 for side in letters.values()) / sum(sizes), 3) if all(sizes) else 0.0
+    figures = by_side([[w for w in n.split() if not w.strip("0123456789.")] for n in (a, b)])
+    told_apart = [w for w, side in telling.items() if side < 3 and w in rule.discriminators and sum(w in n for n in joined) == 1]
+    alike = last_form(rule, joined[0]) == last_form(rule, joined[1]) and not told_apart and all(side == 3 for side in figures.values())
+    return alike and (met > 0 and jaccard >= 0.5 or dice >= 0.7 or met > 1 and dice >= 0.6), jaccard, dice
 
 
 def decided(spark, rule, pairs):

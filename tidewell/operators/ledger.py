@@ -20,11 +20,11 @@ def active_singleton(rows: DataFrame, key: str, active: Column, value: str) -> D
 def run_of_note(ledger: DataFrame, wanted: DataFrame, note: str = "note", run: str = "run_id") -> DataFrame:
     """(note, run, reopened) for each wanted note: its first run, opened again, or a new one numbered on from the last.
 
-    New notes are a small table, numbered by name, so that the same notes get the same runs again.
+    New notes are numbered by name, by ranges, so that the same notes get the same runs again.
     """
     first = ledger.groupBy(note).agg(F.min(run).alias(run))
     asked = wanted.select(note).distinct().join(first, note, "left")
-    new = asked.where(F.col(run).isNull()).select(note, F.row_number().over(Window.orderBy(note)).alias("__k"))
+    new = positions(asked.where(F.col(run).isNull()).select(note), note).select(note, (F.col("position") + 1).alias("__k"))
     last = ledger.agg(F.coalesce(F.max(run), F.lit(0)).alias("__last"))
     made = new.crossJoin(F.broadcast(last)).select(note, (F.col("__last") + F.col("__k")).alias(run), F.lit(False).alias("reopened"))
     return asked.where(F.col(run).isNotNull()).select(note, run, F.lit(True).alias("reopened")).unionByName(made)

@@ -6,11 +6,8 @@ import re
 from collections.abc import Sequence
 from dataclasses import MISSING, dataclass, field, fields
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalars import around, spans
 
@@ -72,29 +69,24 @@ def match_terms(docs: DataFrame, text: str, terms: DataFrame, term: str, key: st
     return found.withColumn("span_start", F.regexp_instr(low, pattern) - 1).where("span_start >= 0")
 
 
-_MARK = re.compile(r"\[[^\]]*\]")
+# Marks that go from an ingredient list, and how deep parentheses are followed.
+MARK = r"\[[^\]]*\]"
+DEPTH = 8
 
 
-def split_list(text: str | None, separators: str = ",@") -> list[str]:
-    """Names of an ingredient list: cut at separators outside parentheses; bracketed marks go. An opening parenthesis that never closes hides nothing."""
-    body = _MARK.sub(" ", text or "")
-    stack, spans = [], []
-    for i, ch in enumerate(body):
-        if ch == "(":
-            stack.append(i)
-        elif ch == ")" and stack:
-            spans.append((stack.pop(), i))
-    inside = np.zeros(len(body) + 1, bool)
-    for a, b in spans:
-        inside[a : b + 1] = True
-    cuts = [-1, *(i for i, ch in enumerate(body) if ch in separators and not inside[i]), len(body)]
-    names = (body[a + 1 : b].strip() for a, b in zip(cuts, cuts[1:], strict=False))
-    return [n for n in names if n]
+def balanced(depth: int) -> str:
+    """A pattern of balanced parentheses, that many inside each other."""
+    inner = r"\([^()]*+\)"
+    for _ in range(depth - 1):
+        inner = rf"\((?:[^()]++|{inner})*+\)"
+    return inner
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def list_names(texts: pd.Series) -> pd.Series:
-    return texts.map(split_list)
+def list_names(text: Column, separators: str = ",@") -> Column:
+    """An array of the names of an ingredient list: cut at separators outside parentheses; bracketed marks go. A parenthesis without its partner hides nothing. None for a null text."""
+    cut = re.escape(separators)
+    names = F.regexp_extract_all(F.regexp_replace(F.coalesce(text, F.lit("")), MARK, " "), F.lit(rf"(?:{balanced(DEPTH)}|[^{cut}(]++|\()++"), 0)
+    return F.filter(F.transform(names, lambda n: F.regexp_replace(n, r"(?U)^\s+|\s+$", "")), lambda n: n != "")
 
 
 #: Matches nothing.

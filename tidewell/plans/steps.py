@@ -18,10 +18,10 @@ def _(t):
     return parts[0].unionByName(parts[1]).where("rows > 0")
 
 
-@query("sc6_active_singleton_guarded", "SELECT n_regionkey, min(n_nationkey) AS n_nationkey FROM nation GROUP BY 1")
+@query("sc6_active_singleton_guarded", "SELECT n_regionkey, CASE WHEN min(n_nationkey) % 2 = 0 THEN min(n_nationkey) END AS n_nationkey FROM nation GROUP BY 1")
 def _(t):
     first = t.nation.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("first"))
-    return G.active_singleton(t.nation.join(first, "n_regionkey"), "n_regionkey", C("n_nationkey") == C("first"), "n_nationkey")
+    return G.active_singleton(t.nation.join(first, "n_regionkey"), "n_regionkey", (C("n_nationkey") == C("first")) & (C("first") % 2 == 0), "n_nationkey")
 
 
 _LEDGER = "l AS (SELECT o_orderkey AS run_id, concat_ws('/', o_orderpriority, o_orderstatus) AS note FROM orders WHERE o_orderstatus <> 'P'), w AS (SELECT DISTINCT concat_ws('/', o_orderpriority, o_orderstatus) AS note FROM orders UNION SELECT DISTINCT c_mktsegment FROM customer)"

@@ -206,9 +206,14 @@ def _(t):
     return t.documents.select("doc_id", S.normalized("text").alias("text"))
 
 
-@query("ag43_list_names")
+_DEEP = r"\([^()]*\)"
+for _ in range(7):
+    _DEEP = rf"\((?:[^()]|{_DEEP})*\)"
+
+
+@query("ag43_list_names", f"""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '\\[[^\\]]*\\]', ' ', 'g'), '(?:{_DEEP}|[^,@(]|\\()+')) AS name FROM documents), s AS (SELECT doc_id, regexp_replace(name, '^[\\s]+|[\\s]+$', '', 'g') AS name FROM n) SELECT name, count(*) AS n, count(DISTINCT doc_id) AS docs FROM s WHERE name <> '' GROUP BY 1 HAVING count(*) >= 3""")
 def _(t):
-    return t.documents.select("doc_id", F.explode(X.list_names("text")).alias("name")).groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")).where("n >= 3")
+    return t.documents.select("doc_id", F.explode(X.list_names(C("text"))).alias("name")).groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")).where("n >= 3")
 
 
 _RULES = X.PolarityRules(positive=r"\b(?:the|than)\b", negative=r"\b(?:re|edsh)\b", negated_positive=r"not the", wish=r"\bwish\b", aspects=(("anea", r"anea", False), ("eriner", r"erin", True)), before=r"\b(?:in|of)\s*$", after=r"^.{0,14}?\b(?:is|was)\b", context=r"\bwas\b.{0,6}$", skin=r"\bfor the\b", warning=r"\bnot\b", contrast=r"\bbut\b")
