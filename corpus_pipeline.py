@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import crc_mod, discard, table, written
+from tidewell.llm.common import crc_mod, discard, release_memory, table, written
 from tidewell.llm.decontaminate import judged, mark_spans
 from tidewell.llm.jaccard_join import jaccard_groups
 from tidewell.llm.language_id import identify
@@ -35,6 +35,7 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null text, or one without a letter, has none and goes. Repeated rows are judged alike. Where no document has a
     language to learn from, all go.
     """
+    release_memory(spark)
     labelled = table(spark, sf_dir, "documents").where(crc_mod(F.col("doc_id"), 3) != 1)
     docs, names, back = apart(docs)
     return back(identify(docs, labelled, keep=names).where((F.col("lang_pred") != "und") & (F.col("score") >= LANG_SCORE)))
@@ -46,6 +47,7 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null text is scored as an empty one. Repeated rows are judged alike. Without labels of both kinds every score
     is the share of label 1, or one half.
     """
+    release_memory(spark)
     learn = crc_mod(F.col("doc_id"), 5) != 0
     docs, names, back = apart(docs)
     return back(classify(docs, docs.where(learn), table(spark, sf_dir, "labels").where(learn), keep=names).where(F.col("score") >= 0.3))
@@ -56,6 +58,7 @@ def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Rows count one by one, not by doc_id: those that share an id, or have none, all stay if they aren't linked.
     """
+    release_memory(spark)
     docs, _, back = apart(docs)
     has_words = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
     name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit("/"), F.col("text"))
@@ -72,6 +75,7 @@ def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     A null or empty text has no words and stays. Repeated rows are judged alike. An empty benchmark contaminates none.
     """
+    release_memory(spark)
     docs, _, back = apart(docs)
     return back(judged(mark_spans(docs, table(spark, sf_dir, "benchmark"))).where(~F.col("contaminated")))
 
@@ -81,6 +85,7 @@ def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null or empty text has the end id alone. Repeated rows are packed each. The columns are those of the pieces.
     """
+    release_memory(spark)
     return pack_documents(docs, default_tokenizer())
 
 

@@ -58,6 +58,33 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_memory(spark: SparkSession) -> None:
+    """Has the Python workers give back what earlier stages have left in them: tokenizers' words, and freed memory that the allocators keep.
+
+    A worker serves stage after stage, so without this the largest need of each adds up. It runs a few empty tasks for each core.
+    """
+
+    def run(batches):
+        import ctypes
+        import gc
+
+        from tidewell.llm import packing
+
+        for _ in batches:
+            pass
+        packing.word_tokens.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+        yield from ()
+
+    tasks = 4 * max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, tasks, 1, tasks).mapInArrow(run, "id long").write.format("noop").mode("overwrite").save()
+
+
 def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
