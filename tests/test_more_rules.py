@@ -216,6 +216,29 @@ def test_queue_outcomes_in_order(spark):
     assert {r.outcome for r in K.enqueued(jobs, spark.createDataFrame(wanted, "kind string, target string, place long"), 1, 3).collect()} == {"duplicate", "per_target", "capped"}
 
 
+def test_the_latest_artifact_keeps_the_last_limit(spark):
+    from tidewell.operators import work as K
+
+    day = lambda d: datetime(2024, 1, d)
+    rows = [
+        ("kept", 1, day(1), day(9)), ("kept", 2, day(2), None), ("kept", 3, day(2), None), ("stale", 4, day(1), day(9)), ("stale", 5, day(2), day(3)),
+        ("never", 6, day(1), None), ("undated", 7, None, day(9)), ("undated", 8, day(2), day(3)), ("unnamed", None, day(2), day(9)), ("unnamed", 9, day(1), None), ("not asked", 10, day(1), day(9)),
+    ]
+    artifacts = spark.createDataFrame(rows, "k string, identifier long, fetched_at timestamp_ntz, fresh_until timestamp_ntz")
+    asked = spark.createDataFrame([(k,) for k in ("kept", "stale", "never", "undated", "unnamed", "unknown", None)], "k string")
+    got = {r.k: (r.artifact, r.fetch) for r in K.cached_or_fetch(asked, artifacts, ["k"], day(5)).collect()}
+    none = (None, True)
+    assert got == {"kept": (3, False), "stale": none, "never": none, "undated": (7, False), "unnamed": (9, False), "unknown": none, None: none}
+
+
+@pytest.mark.parametrize("name", ["st7_cached_artifacts"])
+def test_rows_of_the_next_larger_tables(spark, name):
+    from tidewell.plans import compare, registry
+
+    sf = "/root/testdata/sf0.01"  # the smallest tables don't have these cases
+    assert compare.differences(registry.QUERIES[name](spark, sf), compare.connect(sf), registry.ORACLE_SQL[name]) is None
+
+
 def test_routes_that_can_not_be_compared(spark):
     from tidewell.operators import work as K
 

@@ -53,10 +53,16 @@ def claim_pass(store: Passes, jobs: DataFrame, limit: int, now: datetime) -> int
 
 
 def cached_or_fetch(asked: DataFrame, artifacts: DataFrame, key: Sequence[str], now: datetime) -> DataFrame:
-    """``asked`` (key) with artifact and fetch: the latest artifact (key, identifier, fetched_at, fresh_until) counts, if it is fresh after ``now``; one without a limit is not."""
-    latest = artifacts.groupBy(*key).agg(F.max(F.struct("fetched_at", "identifier", "fresh_until")).alias("a"))
-    fresh = F.coalesce(F.col("a.fresh_until") > instant(now, artifacts.schema["fresh_until"].dataType), F.lit(False))
-    return asked.join(latest, list(key), "left").select(*asked.columns, F.when(fresh, F.col("a.identifier")).alias("artifact"), (~fresh).alias("fetch"))
+    """``asked`` (key) with artifact and fetch: the latest artifact (key, identifier, fetched_at, fresh_until) counts, if it is fresh after ``now``.
+
+    One without a limit keeps that of the latest before it that has one; where there is none, it is not fresh. One without an
+    instant is later than those with one, as a descending order of the source's database has it.
+    """
+    order = F.struct(F.isnull("fetched_at").alias("undated"), "fetched_at", F.isnull("identifier").alias("unnamed"), "identifier")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order))
+    latest = artifacts.groupBy(*key).agg(last("identifier").alias("__identifier"), last("fresh_until").alias("__until"))
+    fresh = F.coalesce(F.col("__until") > instant(now, artifacts.schema["fresh_until"].dataType), F.lit(False))
+    return asked.join(latest, list(key), "left").select(*asked.columns, F.when(fresh, F.col("__identifier")).alias("artifact"), (~fresh).alias("fetch"))
 
 
 def queue_status(in_flight: Column, ok: Column, failures: Column, blocked: Column, requests: Column) -> Column:
