@@ -231,7 +231,7 @@ def test_the_latest_artifact_keeps_the_last_limit(spark):
     assert got == {"kept": (3, False), "stale": none, "never": none, "undated": (7, False), "unnamed": (9, False), "unknown": none, None: none}
 
 
-@pytest.mark.parametrize("name", ["st7_cached_artifacts"])
+@pytest.mark.parametrize("name", ["st7_cached_artifacts", "dc4_card_types"])
 def test_rows_of_the_next_larger_tables(spark, name):
     from tidewell.plans import compare, registry
 
@@ -239,6 +239,16 @@ def test_rows_of_the_next_larger_tables(spark, name):
     assert compare.differences(registry.QUERIES[name](spark, sf), compare.connect(sf), registry.ORACLE_SQL[name]) is None
 
 
+def test_strength_is_rounded_from_the_double(spark):
+    from tidewell.operators import work as K
+
+    values = [294.715, 276.335, 270.715, -294.715, 2.675, 0.125, 1.005, 1e308, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    got = [r.s for r in df.select(K.card_strength(F.lit("fad_risk"), F.lit(None).cast("double"), F.col("x")).alias("s")).collect()]
+    assert [str(x) for x in got] == ["294.71", "276.33", "270.71", "-294.71", "2.68", "0.13", "1.0", "1e+308", "inf", "nan", "0.0"]
+    assert [r.s for r in df.limit(3).select(K.card_strength(F.lit("product_gap"), -F.col("x"), F.lit(1.0)).alias("s")).collect()] == [294.71, 276.33, 270.71]
+
+
 def test_routes_that_can_not_be_compared(spark):
     from tidewell.operators import work as K
 

@@ -39,6 +39,16 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def scaled_round(c: Column, places: int) -> Column:
+    """A double rounded as DuckDB does: its product with a power of ten to the whole number, half away from zero, divided again.
+
+    Spark rounds the shortest decimal text of the double instead, so 294.715, which is a little less, becomes 294.72 there.
+    """
+    x, scale = c.cast("double"), F.lit(10.0**places)
+    out = F.round(x * scale, 0) / scale
+    return F.when(F.abs(out) < float("inf"), out).otherwise(x)
+
+
 def quoted_leaf(path: Column) -> Column:
     """The last part of a ``a > b > c`` path."""
     return F.element_at(F.split(path, " > "), -1)

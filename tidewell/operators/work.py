@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import scaled_round
 from ..streaming.passes import Passes, instant
 from .ledger import positions
 
@@ -136,7 +137,7 @@ def card_rules(gap: Column, comment: Column, video: Column, share: Column, wide:
 
 def card_strength(kind: Column, gap: Column, *scores: Column) -> Column:
     """What set the type is its strength: of a gap its width, of the others the first score there is."""
-    return F.round(F.when(kind == "product_gap", F.abs(F.coalesce(gap, F.lit(0.0)))).otherwise(F.coalesce(*scores, F.lit(0.0))), 2)
+    return scaled_round(F.when(kind == "product_gap", F.abs(F.coalesce(gap, F.lit(0.0)))).otherwise(F.coalesce(*scores, F.lit(0.0))), 2)
 
 
 def card_limits(sides: Mapping[str, tuple[Column, Column]], used: Column, generic: Column, always: str) -> Column:

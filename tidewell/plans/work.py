@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import scaled_round
 from ..operators import work as K
 from ..shared import shared_path
 from ..sources import shops as P
@@ -111,7 +112,7 @@ def _(t):
     n, status = F.count("*"), F.when(C("o_orderstatus") == "F", 10.0).otherwise(-7.0)
     g = t.orders.groupBy(C("o_custkey").alias("cell")).agg(
         F.round(F.sum(status), 2).alias("gap"), F.when(n % 5 == 0, "rising").when(n % 5 == 1, "steady").when(n % 5 == 2, "thin").when(n % 5 == 3, "new").alias("comment"), F.when(n % 3 == 0, "steady").when(n % 3 == 1, "falling").alias("video"),
-        n.cast("double").alias("share"), F.round(F.max("o_totalprice") / 1000, 3).alias("score"),
+        n.cast("double").alias("share"), scaled_round(F.max("o_totalprice") / 1000, 3).alias("score"),
     )
     g = g.withColumns({"gap": F.when(C("cell") % 6 != 0, C("gap")), "score": F.when(C("cell") % 4 != 0, C("score"))})
     g = g.withColumn("card", K.card_rules(C("gap"), C("comment"), C("video"), C("share"), 20, ["thin"], ["rising", "new"], ["steady"], 6)).where("card is not null")
