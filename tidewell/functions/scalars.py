@@ -49,6 +49,13 @@ def scaled_round(c: Column, places: int) -> Column:
     return F.when(F.abs(out) < float("inf"), out).otherwise(x)
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """A quotient of doubles as DuckDB gives it: by zero it is infinite by the signs of both, and 0 / 0 is NaN."""
+    a, b = a.cast("double"), b.cast("double")
+    endless = F.when(b.cast("string").startswith("-"), float("-inf")).otherwise(float("inf"))
+    return F.when(b == 0, a * endless).otherwise(F.try_divide(a, b))
+
+
 def quoted_leaf(path: Column) -> Column:
     """The last part of a ``a > b > c`` path."""
     return F.element_at(F.split(path, " > "), -1)

@@ -137,7 +137,7 @@ def _(t):
 @query("ag15_price_events", """
 WITH c AS (SELECT event_id, user_id, ts, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events WHERE event_type = 'purchase') SELECT event_id, round((value - prev) / prev * 100, 4) AS pct FROM c WHERE prev IS NOT NULL AND prev <> value""")
 def _(t):
-    return W.changes(t.events.where("event_type = 'purchase'"), ["user_id"], ["ts", "event_id"], "value").select("event_id", F.round((C("value") - C("previous")) / C("previous") * 100, 4).alias("pct"))
+    return W.changes(t.events.where("event_type = 'purchase'"), ["user_id"], ["ts", "event_id"], "value").select("event_id", S.scaled_round(S.quotient(C("value") - C("previous"), C("previous")) * 100, 4).alias("pct"))
 
 
 @query("ag17_denominators", "SELECT l_partkey, count(*) FILTER (WHERE l_quantity <= 5) AS low, count(*) AS n, (count(*) FILTER (WHERE l_quantity <= 5) < 3 OR bool_or(l_quantity > 6)) AS complete FROM lineitem GROUP BY 1")
