@@ -18,3 +18,15 @@ def test_price_events_after_a_price_of_zero(spark, tmp_path):
     prices = "0.0, 5.0, -0.0, 3.0, 0.0, -2.0, NULL, 4.0, 4.0, 7.0, 'nan'::DOUBLE, 'inf'::DOUBLE, 1.0, 2.94715, 8.68574"
     rows = f"SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i) HOUR AS ts, 1::BIGINT AS user_id, 'purchase' AS event_type, ([{prices}])[i] AS value FROM range(1, 16) r(i)"
     assert same(spark, tmp_path, "ag15_price_events", events=rows) is None
+
+
+def test_flight_pages_of_many_objects(spark):
+    """Objects that lie in several pieces of a text, in each other and beside thousands of others, in time that grows with the text."""
+    from tidewell.sources import shops as P
+
+    inner = ['{"id": %d, "é😀": "%s}{\\\\\\"", "in": {"y": {}}}' % (i, "x" * (i % 97 * (100 if i % 50 == 0 else 1))) for i in range(6000)]  # noqa: UP031
+    flight = '{"id": "outer", "list": [' + ",".join(inner) + ']}, "odd": "'
+    df = spark.createDataFrame([("k", flight), ("lone", '{"id": 1, "a": "id"} "never closed {"id": 2} }')], "key string, t string")
+    got = P.objects_with(df, "key", "t", "id").collect()
+    assert sorted(r.object for r in got if r.key == "k") == sorted([*inner, flight[: flight.rindex("}") + 1]])
+    assert [r.object for r in got if r.key == "lone"] == ['{"id": 1, "a": "id"}']

@@ -88,9 +88,10 @@ def flights(t):
     g = t.part.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_list(said)), ",").alias("rows"))
     flight = F.concat(F.lit('7:{"a": "}{ idProduct", "list": ['), "rows", F.lit('], "open": {"idProduct": "never closed"'))
     escaped = F.replace(F.replace(flight, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    # in two pieces, cut between objects
-    cut = F.locate(r"},{\"idreviewcomment", escaped) + 1
-    two = F.when(cut > 1, F.concat(F.substring(escaped, F.lit(1), cut), F.lit('"])</script><script>self.__next_f.push([1,"'), F.substring(escaped, cut + 1, F.length(escaped)))).otherwise(escaped)
+    # in two pieces, cut between objects; through arrays of one, so that each text is made once
+    once = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)
+    halves = lambda x, cut: F.concat(F.substring(x, F.lit(1), cut), F.lit('"])</script><script>self.__next_f.push([1,"'), F.substring(x, cut + 1, F.length(x)))
+    two = once(escaped, lambda x: once(F.locate(r"},{\"idreviewcomment", x) + 1, lambda cut: F.when(cut > 1, halves(x, cut)).otherwise(x)))
     return payloads(g, C("p_brand"), F.concat(F.lit('<script>self.__next_f.push([1,"'), two, F.lit('"])</script>')))
 
 

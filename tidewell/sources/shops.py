@@ -12,9 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The script that holds a page's properties, a piece of a flight payload, features of a summary.
+# The script that holds a page's properties, a piece of a flight payload, characters of a piece of a text, features of a summary.
 PROPERTIES = r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>'
 FLIGHT = r'(?s)self\.__next_f\.push\(\[1,"((?:[^"\\]|\\.)*+)"\]\)'
+PIECE = 4096
 FEATURES = 3
 
 
@@ -150,37 +151,44 @@ def board_records(pages: DataFrame, boards: Sequence[tuple[str, str, str | None]
 def flight_text(html: Column) -> Column:
     """The pieces of a page's flight payload, unescaped and put together; empty without any."""
     pieces = F.regexp_extract_all(html, F.lit(FLIGHT), 1)
-    said = F.transform(pieces, lambda p: F.try_element_at(F.from_json(F.concat(F.lit('["'), p, F.lit('"]')), "array<string>"), F.lit(1)))
+    # a piece may be longer than the 20 million characters that the parser takes by itself
+    said = F.transform(pieces, lambda p: F.try_element_at(F.from_json(F.concat(F.lit('["'), p, F.lit('"]')), "array<string>", {"maxStringLen": str(2**31 - 1)}), F.lit(1)))
     return F.coalesce(F.array_join(F.array_compact(said), ""), F.lit(""))
 
 
 def objects_with(rows: DataFrame, key: str, text: str, marker: str) -> DataFrame:
     """(key, start, object): the innermost objects in a text that have a key ``marker`` of their own, by balanced braces.
 
-    Braces inside strings don't count: escapes are blotted out and strings are tokens. At each depth the opening and
-    closing braces of a row alternate, so one running count per (row, depth) pairs them. Objects whose brace is never closed are
-    none. ``key`` is unique.
+    Braces inside strings don't count: escapes are blotted out, and a token is all up to the next brace or marker outside
+    other strings. At each depth the opening and closing braces of a row alternate, so one running count per (row, depth)
+    pairs them. Objects whose brace is never closed are none. Texts are cut into pieces, and an object is put together
+    of its own, so that no row carries a whole text for each object. ``key`` is unique.
     """
-    tokens = F.regexp_extract_all(F.regexp_replace(text, r"(?s)\\.", "__"), F.lit(r'"[^"]*+"|[{}]|[^"{}]++|"'), 0)
+    quiet = rf'(?:[^"{{}}]++|"(?!\Q{marker}\E")[^"]*+")'
+    tokens = F.regexp_extract_all(F.regexp_replace(text, r"(?s)\\.", "__"), F.lit(rf'{quiet}*+(?:[{{}}]|"\Q{marker}\E")|{quiet}++|"'), 0)
     from pyspark.sql import Window
 
-    t = rows.select(key, F.posexplode(tokens).alias("i", "token"))
+    kind = F.when(F.col("token").endswith("{"), 1).when(F.col("token").endswith("}"), -1).when(F.col("token").endswith(f'"{marker}"'), 0)
+    t = rows.select(key, F.posexplode(tokens).alias("i", "token")).select(key, "i", kind.alias("kind"), F.length("token").cast("long").alias("size"))
     along = Window.partitionBy(key).orderBy("i")
-    move = F.when(F.col("token") == "{", 1).when(F.col("token") == "}", -1).otherwise(0)
-    placed = t.select(key, "i", "token", F.sum(move).over(along).alias("depth"), (F.sum(F.length("token")).over(along) - F.length("token")).alias("at"))
-    some = placed.where(F.col("token").isin("{", "}", f'"{marker}"')).withColumn("level", F.col("depth") + F.when(F.col("token") == "}", 1).otherwise(0))
-    turn = F.count_if(F.col("token") == "{").over(Window.partitionBy(key, "level").orderBy("i"))
+    placed = t.select(key, "i", "kind", F.sum(F.coalesce("kind", F.lit(0))).over(along).alias("depth"), (F.sum("size").over(along) - 1).alias("at"))
+    some = placed.where("kind is not null").withColumn("level", F.col("depth") + F.when(F.col("kind") == -1, 1).otherwise(0))
+    turn = F.count_if(F.col("kind") == 1).over(Window.partitionBy(key, "level").orderBy("i"))
     whole = some.withColumn("turn", turn).where("turn > 0 and level > 0").groupBy(key, "level", "turn").agg(
-        F.min(F.when(F.col("token") == "{", F.col("at"))).alias("start"), F.min(F.when(F.col("token") == "}", F.col("at"))).alias("stop"), F.bool_or(~F.col("token").isin("{", "}")).alias("has"),
+        F.min(F.when(F.col("kind") == 1, F.col("at"))).alias("start"), F.min(F.when(F.col("kind") == -1, F.col("at"))).alias("stop"), F.bool_or(F.col("kind") == 0).alias("has"),
     )
-    met = whole.where("has and stop is not null").join(rows.select(key, text), key)
-    return met.select(key, "start", F.substring(F.col(text), F.col("start").cast("int") + 1, (F.col("stop") - F.col("start") + 1).cast("int")).alias("object"))
+    pieces = rows.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), 0)).alias("piece", "said"))
+    first, last = (F.floor(F.col(c) / PIECE).cast("int") for c in ("start", "stop"))
+    spans = whole.where("has and stop is not null").select(key, "start", "stop", F.explode(F.sequence(first, last)).alias("piece"))
+    begin, end = F.greatest(F.col("start") - F.col("piece") * PIECE, F.lit(0)), F.least(F.col("stop") + 1 - F.col("piece") * PIECE, F.lit(PIECE))
+    cut = spans.join(pieces, [key, "piece"]).select(key, "start", "piece", F.substring(F.col("said"), (begin + 1).cast("int"), (end - begin).cast("int")).alias("said"))
+    return cut.groupBy(key, "start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "said"))), lambda x: x["said"]), "").alias("object"))
 
 
 def flight_products(pages: DataFrame) -> DataFrame:
     """(key, at, product_key, rank, name, brand, volume) of the products in a page's flight payload; ``key`` is unique. Ranks may be wrapped in an array."""
-    f = pages.select("key", "at", flight_text(F.col("body")).alias("flight")).where("flight <> ''")
-    o = objects_with(f, "key", "flight", "idProduct").select("key", F.try_parse_json("object").alias("o")).where("o is not null").join(f.select("key", "at"), "key")
+    f = pages.select("key", flight_text(F.col("body")).alias("flight"))
+    o = objects_with(f, "key", "flight", "idProduct").select("key", F.try_parse_json("object").alias("o")).where("o is not null").join(pages.select("key", "at"), "key")
     rank = F.coalesce(at_path("o", "$.productRank", "int"), at_path("o", "$.productRank[0]", "int"))
     out = o.select("key", "at", filled(at_path("o", "$.idProduct")).alias("product_key"), rank.alias("rank"), filled(at_path("o", "$.productTitle")).alias("name"), at_path("o", "$.brand.brandTitle").alias("brand"), filled(at_path("o", "$.volume")).alias("volume"))
     return out.where("product_key is not null and rank is not null and name is not null")
@@ -188,8 +196,8 @@ def flight_products(pages: DataFrame) -> DataFrame:
 
 def flight_reviews(pages: DataFrame) -> DataFrame:
     """(key, at, review_key, body, rating, product_key, product_name): the feed of recent reviews in a flight payload, with the product that each has inside."""
-    f = pages.select("key", "at", flight_text(F.col("body")).alias("flight")).where("flight <> ''")
-    o = objects_with(f, "key", "flight", "idreviewcomment").select("key", F.try_parse_json("object").alias("o")).where("o is not null").join(f.select("key", "at"), "key")
+    f = pages.select("key", flight_text(F.col("body")).alias("flight"))
+    o = objects_with(f, "key", "flight", "idreviewcomment").select("key", F.try_parse_json("object").alias("o")).where("o is not null").join(pages.select("key", "at"), "key")
     out = o.select("key", "at", filled(at_path("o", "$.idreviewcomment")).alias("review_key"), filled(at_path("o", "$.reviewText")).alias("body"), number(F.col("o"), "$.rating").alias("rating"), at_path("o", "$.product.idProduct").alias("product_key"), at_path("o", "$.product.productTitle").alias("product_name"))
     return out.where("review_key is not null and body is not null")
 
