@@ -30,3 +30,12 @@ def test_flight_pages_of_many_objects(spark):
     got = P.objects_with(df, "key", "t", "id").collect()
     assert sorted(r.object for r in got if r.key == "k") == sorted([*inner, flight[: flight.rindex("}") + 1]])
     assert [r.object for r in got if r.key == "lone"] == ['{"id": 1, "a": "id"}']
+
+
+def test_flight_pieces_of_any_length(spark):
+    """A piece longer than the JSON parser's own limit of 20 million characters is read."""
+    from pyspark.sql import functions as F
+    from tidewell.sources import shops as P
+
+    html = F.concat(F.lit('self.__next_f.push([1,"'), F.repeat(F.lit("a\\\\"), F.lit(11_000_000)), F.lit('"])'))
+    assert spark.range(1).select(F.length(P.flight_text(html))).first()[0] == 22_000_000
