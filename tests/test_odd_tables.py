@@ -39,3 +39,14 @@ def test_flight_pieces_of_any_length(spark):
 
     html = F.concat(F.lit('self.__next_f.push([1,"'), F.repeat(F.lit("a\\\\"), F.lit(11_000_000)), F.lit('"])'))
     assert spark.range(1).select(F.length(P.flight_text(html))).first()[0] == 22_000_000
+
+
+def test_closest_pairs_of_odd_keys(spark, tmp_path):
+    """Nulls, keys with several rows, brands of one part, values far apart."""
+    for seed in range(6):
+        keys, sizes = ("i", "(h // 7) % 9") if seed % 2 else ("h % 60", "(h // 7) % 40")
+        rows = f"""SELECT CASE WHEN h % 23 = 0 THEN NULL ELSE {keys} END::BIGINT AS p_partkey, CASE WHEN h % 19 = 0 THEN NULL ELSE concat('b', h % {3 + seed * 4}) END AS p_brand,
+        CASE WHEN h % {2 if seed > 3 else 5} = 0 THEN NULL ELSE {sizes} * {sizes} END::INT AS p_size, 1.0::DOUBLE AS p_retailprice FROM (SELECT i, (hash(i + {seed * 1000}) % 100003)::BIGINT AS h FROM range(120) r(i))"""
+        folder = tmp_path / str(seed)
+        folder.mkdir()
+        assert same(spark, folder, "j28_blocked_best_pairs", part=rows) is None

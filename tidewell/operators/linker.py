@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -88,16 +88,32 @@ def pair_decisions(items: DataFrame, block: str, key: str, name: str, rule: Acce
     return a.join(pairs, ["block", "m"]).join(b, ["block", "n"]).where("a < b").select("a", "b", "d.accepted", "d.jaccard", "d.dice")
 
 
-def mutual_best(items: DataFrame, key: str, block: Sequence[str], distance: Callable[[Callable[[str], Column], Callable[[str], Column]], Column]) -> DataFrame:
-    """(a, b, d), a < b: items of a block that are each other's closest; ties go to the smaller key."""
-    a, b = items.alias("a"), items.alias("b")
-    same = F.lit(True)
-    for c in block:
-        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    pairs = a.join(b, same & (F.col(f"a.{key}") != F.col(f"b.{key}"))).select(
-        F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), distance(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")).alias("d")
-    )
-    best = pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.d").alias("d"))
+def mutual_best(items: DataFrame, key: str, block: Sequence[str], value: str) -> DataFrame:
+    """(a, b, d), a < b: items of a block that are each other's closest by a whole number ``value``, d apart; ties go to the smaller key.
+
+    What is null is the farthest. No pairs of a block: an item's closest is among the least keys of its own value, of the
+    next value below and of the next above. A key with several values in a block meets the least keys of each value there.
+    """
+    block = list(block)
+    own = items.select(*block, F.col(key).alias("k"), F.col(value).alias("v")).dropna(subset=[*block, "k"]).distinct()
+
+    def least(rows: DataFrame, by: list[str]) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("k"))
+        return rows.withColumn("place", place).where("place <= 2").groupBy(*by).agg(F.min("k").alias("one"), F.when(F.count("*") > 1, F.max("k")).alias("two"))
+
+    other = lambda g: F.when(g["one"] != F.col("k"), g["one"]).otherwise(g["two"])
+    near = lambda g: F.when(other(g).isNotNull(), F.struct(F.abs(F.col("v") - g["v"]).alias("d"), other(g).alias("b")))
+    along = Window.partitionBy(*block).orderBy("v")
+    groups = least(own.where("v is not null"), [*block, "v"]).select(*block, "v", F.struct("v", "one", "two").alias("g"))
+    placed = groups.withColumns({"below": F.lag("g").over(along), "above": F.lead("g").over(along)})
+    keyed = own.join(own.groupBy(*block, "k").agg(F.count("v").alias("values")), [*block, "k"])
+    once = keyed.where("values <= 1").join(placed, [*block, "v"], "left").select(*block, "k", F.least(*[near(F.col(c)) for c in ("g", "below", "above")]).alias("m"))
+    often = keyed.where("values > 1").join(groups.withColumnRenamed("v", "at"), block, "left").groupBy(*block, "k").agg(F.min(near(F.col("g"))).alias("m"))
+    # without a number on either side the least other key of the block
+    any_ = least(own.select(*block, "k").distinct(), block).withColumn("g", F.struct("one", "two"))
+    found = once.unionByName(often).join(any_.select(*block, "g"), block)
+    best = found.select(F.col("k").alias("a"), F.col("m").isNull().alias("far"), F.col("m.d").alias("d"), F.coalesce("m.b", other(F.col("g"))).alias("b")).where("b is not null")
+    best = best.groupBy("a").agg(F.min(F.struct("far", "d", "b")).alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.d").alias("d"))
     back = best.select(F.col("b").alias("a"), F.col("a").alias("b"))
     return best.join(back, ["a", "b"]).where("a < b").select("a", "b", "d")
 

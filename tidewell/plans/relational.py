@@ -376,7 +376,7 @@ SELECT x.a, x.b, x.d FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.n = 1
 def _(t):
     from ..operators.linker import mutual_best
 
-    return mutual_best(t.part, "p_partkey", ["p_brand"], lambda a, b: F.abs(a("p_size") - b("p_size")))
+    return mutual_best(t.part, "p_partkey", ["p_brand"], "p_size")
 
 
 @query("j29_containment_join", """
