@@ -50,3 +50,19 @@ def test_closest_pairs_of_odd_keys(spark, tmp_path):
         folder = tmp_path / str(seed)
         folder.mkdir()
         assert same(spark, folder, "j28_blocked_best_pairs", part=rows) is None
+
+
+def test_candidates_of_an_hour_are_placed_once(spark, tmp_path, monkeypatch):
+    """Ids of several rows, null ids and times, an hour of several slices; no shuffle carries pairs."""
+    from tidewell.operators import joins
+
+    monkeypatch.setattr(joins, "SLICE", 16)
+    rows = """SELECT CASE WHEN i % 41 = 0 THEN NULL WHEN i % 13 = 0 THEN i // 100 ELSE i END::BIGINT AS event_id, CASE WHEN i % 29 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01' + INTERVAL ((i * i) % 3000) MINUTE * (i % 3) END AS ts,
+    (i % 5)::BIGINT AS user_id, (['purchase', 'view', 'signup', 'click'])[i % 7 % 4 + 1] AS event_type, 1.0::DOUBLE AS value FROM range(900) r(i)"""
+    assert same(spark, tmp_path, "j9_lateral_candidates", events=rows) is None
+    plan = registry.QUERIES["j9_lateral_candidates"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan()
+    names = []
+    while plan.nodeName() != "Join":  # pairs come of the last join, and no window or aggregate stands above it
+        names.append(plan.nodeName())
+        plan = plan.children().apply(0)
+    assert set(names) <= {"Project", "Union"}

@@ -46,6 +46,32 @@ def interval_join(points: DataFrame, spans: DataFrame, on: Sequence[str], at: st
     return p.join(s, [*on, "__b"]).where((F.col(at) >= F.col(begin)) & (F.col(at) < F.col(end))).drop("__b")
 
 
+#: Left rows of a block that one task joins at a time.
+SLICE = 1024
+
+
+def ranked_pairs(left: DataFrame, key: str, right: DataFrame, block: str, other: str, order: str) -> DataFrame:
+    """(key, other, count, place): each left key with every right row of its block, their number, and its place by (order, other), nulls last.
+
+    Right rows are counted and placed within their block, not within each left key, so pairs are only made by the last join, and
+    nothing is shuffled that grows with them. A large block is dealt by ``SLICE`` left rows. Keys of several left rows
+    have their pairs placed together, as SQL's windows over the key do.
+    """
+    left, right = left.select(key, block).where(F.col(block).isNotNull()), right.select(block, other, order).where(F.col(block).isNotNull())
+    counted = left.withColumn("__n", F.count("*").over(Window.partitionBy(key)))
+    within = Window.partitionBy(block)
+    placed = right.select(block, other, F.count("*").over(within).alias("count"), F.row_number().over(within.orderBy(order, F.col(other).asc_nulls_last())).cast("long").alias("place"))
+    slices = left.groupBy(block).agg(F.ceil(F.count("*") / SLICE).cast("int").alias("__slices"))
+    dealt = counted.where("__n = 1").join(slices, block).select(key, block, F.pmod(F.xxhash64(key), F.col("__slices")).cast("int").alias("__slice"))
+    spread = placed.join(slices, block).withColumn("__slice", F.explode(F.sequence(F.lit(0), F.col("__slices") - 1))).drop("__slices")
+    # by a stated number, as few bytes make many pairs and small partitions would be put together
+    width = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = dealt.repartition(width, block, "__slice").join(spread.repartition(width, block, "__slice"), [block, "__slice"]).select(key, other, "count", "place")
+    whole = Window.partitionBy(key)
+    often = counted.where("__n > 1").join(right, block).select(key, other, F.count("*").over(whole).alias("count"), F.row_number().over(whole.orderBy(order, F.col(other).asc_nulls_last())).cast("long").alias("place"))
+    return once.unionByName(often)
+
+
 def reconcile(old: DataFrame, new: DataFrame, on: Sequence[str], compare: Sequence[str]) -> DataFrame:
     """Keys with change ``added``, ``removed`` or ``changed`` between two tables; nulls compare as values."""
     a = old.select(*on, F.lit(True).alias("__old"), *[F.col(c).alias(f"__o_{c}") for c in compare])

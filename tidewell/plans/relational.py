@@ -283,8 +283,7 @@ def _(t):
     h = F.date_trunc("hour", "ts")
     e = t.events.where("event_type = 'purchase'").select("event_id", h.alias("h"))
     r = t.events.where(F.array_contains(F.array(F.lit("signup"), F.lit("view")), C("event_type"))).select(C("event_id").alias("candidate"), C("ts").alias("at"), h.alias("h"))
-    w = Window.partitionBy("event_id")
-    return e.join(r, "h").select("event_id", "candidate", F.count("*").over(w).alias("candidates"), F.row_number().over(w.orderBy("at", "candidate")).cast("long").alias("place"))
+    return J.ranked_pairs(e, "event_id", r, "h", "candidate", "at").withColumnRenamed("count", "candidates")
 
 
 @query("j10_correlated_counts", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS orders FROM customer")
