@@ -66,3 +66,9 @@ def test_candidates_of_an_hour_are_placed_once(spark, tmp_path, monkeypatch):
         names.append(plan.nodeName())
         plan = plan.children().apply(0)
     assert set(names) <= {"Project", "Union"}
+
+
+def test_launch_claims_keep_their_plan_small(spark, sf):
+    """The driver holds a plan's generated code: what several joins read is written, and one join serves names of all lengths."""
+    plan = registry.QUERIES["dc15_launch_claims"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan.split("\n")) < 250

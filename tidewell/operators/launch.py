@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 # Axes, directions and strengths; the least length of a line's key; bracketed parts of a title.
 REGISTRATION, BOARD, REVIEW, TITLE = "mfds", "vendor_board", "old_review", "vendor_title_tag"
 NOT_BEFORE, NOT_AFTER = "not_before", "not_after"
@@ -16,33 +18,34 @@ BRACKETED = r"\[[^\]]*\]|\([^)]*\)|【[^】]*】"
 GRAM = 3
 
 
-def grams(text: Column, size: int = GRAM) -> Column:
+def grams(text: Column, size: Column | int = GRAM) -> Column:
     """The distinct substrings of a size; of a shorter text the text itself, of an empty one none."""
-    n = F.length(text)
-    return F.when(n > size, F.array_distinct(F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, F.lit(size))))).when(n > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
+    n, size = F.length(text), F.lit(size)
+    return F.when(n > size, F.array_distinct(F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, size)))).when(n > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
 
 
 def contained(texts: DataFrame, text: str, names: DataFrame, name: str, block: Sequence[str] = ()) -> DataFrame:
     """Pairs of rows, one of each side, where the text contains the name (and both are of one ``block``); empty names are in none.
 
     No nested loop: a pair meets at one gram of the name, the one that the fewest texts of the block have. Texts are
-    names and titles, not documents (those take ``dictionary_hits``). Names shorter than a gram meet substrings of their length.
+    names and titles, not documents (those take ``dictionary_hits``). Names shorter than a gram meet substrings of their
+    length; texts are cut to the sizes that any name has, in one plan for all.
     """
-    short = names.where(F.length(name) < GRAM).withColumn("__size", F.length(name))
-    long = names.where(F.length(name) >= GRAM).withColumn("__size", F.lit(GRAM))
-    out = None
-    for size in range(1, GRAM + 1):
-        n = (long if size == GRAM else short.where(F.col("__size") == size)).drop("__size").withColumn("__n", F.struct(*names.columns))
-        mine = n.select(*block, F.col(name).alias("__name"), "__n", F.explode(grams(F.col(name), size)).alias("__g"))
-        theirs = texts.withColumn("__t", F.struct(*texts.columns)).select(*block, "__t", F.explode(grams(F.col(text), size)).alias("__g"))
-        count = theirs.groupBy(*block, "__g").agg(F.count("*").alias("__c"))
-        met = mine.join(count, [*block, "__g"], "left").withColumn("__c", F.coalesce("__c", F.lit(0)))
-        # a name with a gram that no text has is in none; equal rows of names count one by one
-        rare = met.groupBy(*block, "__n").agg(F.min(F.struct("__c", "__g")).alias("__m"), F.count_distinct("__g").alias("__k"), F.count("*").alias("__rows"))
-        rare = rare.where("__m.__c > 0").select(*block, "__n", F.col("__m.__g").alias("__g"), F.explode(F.sequence(F.lit(1), (F.col("__rows") / F.col("__k")).cast("int"))).alias("__copy"))
-        pairs = theirs.join(rare, [*block, "__g"]).where(F.col(f"__t.{text}").contains(F.col(f"__n.{name}"))).select(F.col("__t").alias("text"), F.col("__n").alias("name"))
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+    side = lambda df, mark: df.select(*block, *[F.col(c).alias(f"{mark}{c}") for c in df.columns])
+    whole = lambda df, mark, out: F.struct(*[F.col(f"{mark}{c}").alias(c) for c in df.columns]).alias(out)
+    said, own = F.col(f"__t_{text}"), F.col(f"__n_{name}")
+    size = F.least(F.length(own), F.lit(GRAM))
+    n = side(names, "__n_").where(size > 0)
+    mine = n.withColumn("__g", F.explode(grams(own, size)))
+    sizes = n.agg(F.collect_set(size).alias("__sizes"))
+    of_sizes = F.flatten(F.transform("__sizes", lambda k: F.when(F.length(said) >= k, grams(said, k)).otherwise(F.array().cast("array<string>"))))
+    theirs = side(texts, "__t_").crossJoin(F.broadcast(sizes)).withColumn("__g", F.explode(of_sizes)).drop("__sizes")
+    count = theirs.groupBy(*block, "__g").agg(F.count("*").alias("__c"))
+    met = mine.join(count, [*block, "__g"], "left").withColumn("__c", F.coalesce("__c", F.lit(0)))
+    # a name with a gram that no text has is in none; equal rows of names count one by one
+    rare = met.groupBy(*n.columns).agg(F.min(F.struct("__c", "__g")).alias("__m"), F.count_distinct("__g").alias("__k"), F.count("*").alias("__rows")).where("__m.__c > 0")
+    rare = rare.select(*n.columns, F.col("__m.__g").alias("__g"), F.explode(F.sequence(F.lit(1), (F.col("__rows") / F.col("__k")).cast("int"))).alias("__copy"))
+    return theirs.join(rare, [*block, "__g"]).where(said.contains(own)).select(whole(texts, "__t_", "text"), whole(names, "__n_", "name"))
 
 
 def registration_claims(refs: DataFrame, registrations: DataFrame, brands: DataFrame) -> DataFrame:
@@ -53,14 +56,16 @@ def registration_claims(refs: DataFrame, registrations: DataFrame, brands: DataF
     is the item without these. Equal lines are exact, one inside the other partial; lines of fewer than four characters say nothing.
     """
     keys = brands.where(F.length("key") > 0).select("brand", "key").distinct()
-    r = registrations.select("report_seq", "item_key", "entp_key", "report_date")
+    # what several joins read is written, so that keys are made once and the plan stays small
+    r = written(registrations.select("report_seq", "item_key", "entp_key", "report_date"), "registrations")
     named = contained(r, "item_key", keys, "key").select("text.report_seq", "name.brand")
     filed = r.join(keys, F.col("entp_key") == F.col("key")).select("report_seq", "brand")
     spelled = keys.groupBy("brand").agg(F.collect_set("key").alias("keys"))
     first = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
     item = F.aggregate(F.array_sort("keys", first), F.col("item_key"), lambda s, k: F.replace(s, k, F.lit("")))
     lines = named.unionByName(filed).distinct().join(r, "report_seq").join(spelled, "brand").select("brand", "report_seq", "report_date", item.alias("registered")).where(F.length("registered") >= LEAST_LINE)
-    own = refs.where(F.length("line") >= LEAST_LINE).select("brand", "product_ref", "line")
+    lines = written(lines, "lines")
+    own = written(refs.where(F.length("line") >= LEAST_LINE).select("brand", "product_ref", "line"), "lines")
     inside = contained(lines, "registered", own, "line", ["brand"]).select("name.product_ref", "text.report_seq", "text.report_date", F.when(F.col("text.registered") == F.col("name.line"), EXACT).otherwise(PARTIAL).alias("strength"))
     around = contained(own, "line", lines, "registered", ["brand"]).where(F.col("text.line") != F.col("name.registered")).select("text.product_ref", "name.report_seq", "name.report_date", F.lit(PARTIAL).alias("strength"))
     both = inside.unionByName(around)

@@ -11,6 +11,7 @@ from ..operators import metrics as M
 from ..operators import names as N
 from ..operators import trend as T
 from ..operators.dictionary import dictionary_hits
+from ..shared import written
 from .base import Catalog
 from .metrics import _ORDERS, quarter_rows
 
@@ -91,6 +92,7 @@ def launch_claims(t):
     from pyspark.sql import Window
 
     p = t.part.withColumns({"ref": F.min("p_partkey").over(Window.partitionBy("p_brand", "p_name")), "source": F.concat(F.lit("s"), (C("p_partkey") % 3).cast("string"))})
+    p = written(p, "listings")  # all claims read it
     refs = p.select(C("ref").alias("product_ref"), C("p_brand").alias("brand"), N.line_key(C("p_name"), F.array(), RULES).alias("line")).distinct()
     brands = t.part.select(C("p_brand").alias("brand"), N.folded(C("p_brand")).alias("key")).distinct()
     registrations = t.part.where("p_partkey % 3 = 0").select(
