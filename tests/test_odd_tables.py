@@ -72,3 +72,28 @@ def test_launch_claims_keep_their_plan_small(spark, sf):
     """The driver holds a plan's generated code: what several joins read is written, and one join serves names of all lengths."""
     plan = registry.QUERIES["dc15_launch_claims"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan.split("\n")) < 250
+
+
+def test_vector_search_of_odd_vectors(spark, monkeypatch):
+    """Copies, opposite zeros, nulls, other lengths and values that are no numbers, in blocks of a few rows: as by rows alone."""
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from tidewell.functions.scalars import dot
+    from tidewell.operators import retrieval as R
+
+    monkeypatch.setattr(R, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(R, "BLOCK_QUERIES", 4)
+    rng = random.Random(5)
+    some = [[rng.uniform(-1, 1) for _ in range(7)] for _ in range(40)]
+    vectors = [rng.choice(some) if rng.random() < 0.7 else [rng.uniform(-1, 1) / 3 for _ in range(7)] for _ in range(300)]
+    vectors += [None, [], [0.0] * 7, [-0.0] * 7, [1.0, None] + [0.5] * 5, [1.0] * 3, [float("nan")] * 7, [float("inf")] + [0.0] * 6, [1e30] * 7]
+    df = spark.createDataFrame(list(enumerate(vectors)), "id long, v array<float>").withColumn("name", F.concat(F.lit("n"), F.col("id").cast("string"))).repartition(3)
+    queries = df.where("id % 20 = 0 or id >= 298").select(F.col("id").alias("q"), F.col("v").alias("w"))
+    for key, k in (("id", 3), ("name", 400)):
+        got = R.vector_search(df, key, "v", queries, "q", "w", k, F.col("id") != 17)
+        every = df.where("id != 17").crossJoin(queries.select(F.col("q").alias("query"), "w")).select("query", key, dot(F.col("v"), F.col("w")).alias("similarity")).where("not isnan(similarity)")
+        want = every.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key))).where(F.col("place") <= k)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()

@@ -6,8 +6,12 @@ from collections.abc import Sequence
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import dot
 from ..shared import shared_path
@@ -144,12 +148,77 @@ def bm25(index: StoredIndex, queries: DataFrame, doc: str, k: int | None = 10) -
 def vector_search(store: DataFrame, key: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int, mask: Column | None = None) -> DataFrame:
     """(query, key, similarity, place): exact dot products of unit vectors, of the rows that a ``mask`` lets through; NaN goes; ties by key.
 
-    ``queries`` is a stated set, broadcast to the rows of the store.
+    ``queries`` is a stated set, collected and broadcast (eight bytes a place), so this starts a job. Tasks multiply blocks of both sides as
+    matrices and keep each query's best k: of rows that rounding could bring among them the product is summed anew, place by place,
+    so values and ties are those of ``dot``. Vectors that are null, of another length or infinite go by rows.
     """
-    s = (store if mask is None else store.where(mask)).select(key, vector).crossJoin(F.broadcast(queries.select(F.col(query).alias("query"), F.col(query_vector).alias("__q"))))
-    s = s.select("query", key, dot(F.col(vector), F.col("__q")).alias("similarity")).where(~F.isnan("similarity"))
+    spark = store.sparkSession
+    s = (store if mask is None else store.where(mask)).select(key, vector)
+    q = queries.select(F.col(query).alias("query"), F.col(query_vector).alias("__q"))
+    sizes = [r[0] for r in q.where(_plain("__q")).groupBy(F.size("__q").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()]
+    size = sizes[0] if sizes else 0
+    regular = lambda c: _plain(c) & (F.size(c) == size)
+    asked = q.where(regular("__q")).select("query", F.col("__q").cast("array<double>")).toArrow().combine_chunks()
+
+    def by_rows(rows: DataFrame, of: DataFrame) -> DataFrame:
+        pairs = rows.crossJoin(F.broadcast(of))
+        return pairs.select("query", key, dot(F.col(vector), F.col("__q")).alias("similarity")).where(~F.isnan("similarity"))
+
+    found = by_rows(s, q.where(~regular("__q")))
+    if asked.num_rows and size:
+        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        schema = T.StructType([q.schema["query"], s.schema[key], T.StructField("similarity", T.DoubleType())])
+        shared = spark.sparkContext.broadcast((asked.column(0).combine_chunks(), asked.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)))
+        # with a NaN among numbers every product is NaN, and goes
+        lost = F.coalesce((F.size(vector) == size) & F.forall(vector, lambda x: x.isNotNull()) & F.exists(vector, lambda x: F.isnan(x)), F.lit(False))
+        rows = s.where(regular(vector)).select(key, F.col(vector).cast("array<double>")).repartition(width)
+        best = rows.mapInArrow(lambda batches: _best_of(batches, shared.value, k, key), schema)
+        found = found.unionByName(best).unionByName(by_rows(s.where(~regular(vector) & ~lost), q.where(regular("__q"))))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), key))
-    return s.withColumn("place", place).where(F.col("place") <= k)
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
+
+#: Rows and queries that are multiplied at a time; the greatest entry of a vector whose products are finite.
+BLOCK_ROWS, BLOCK_QUERIES = 2048, 1024
+GREATEST = 1e100
+
+
+def _plain(vector: str) -> Column:
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) <= GREATEST)), F.lit(False))
+
+
+def _best_of(batches, asked, k: int, key: str):
+    """Of a task's rows the k best of each query, ties by key."""
+    ids, q = asked
+    found: dict[int, pa.Table] = {}
+    least = np.full(len(q), -np.inf)  # what a row has to reach, by query
+    norms = np.linalg.norm(q, axis=1)
+    for batch in batches:
+        rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        for i in range(0, len(rows), BLOCK_ROWS):
+            x, keys = rows[i : i + BLOCK_ROWS], batch.column(0).slice(i, BLOCK_ROWS)
+            # sums in another order differ by at most so much, relative to both norms
+            error = 4 * x.shape[1] * np.finfo(float).eps * np.linalg.norm(x, axis=1).max()
+            for b in range(0, len(q), BLOCK_QUERIES):
+                some = slice(b, b + BLOCK_QUERIES)
+                near = q[some] @ x.T
+                if b not in found and len(x) > k:
+                    least[some] = np.partition(near, -k, axis=1)[:, -k] - error * norms[some]
+                at, row = np.nonzero(near >= (least[some] - error * norms[some])[:, None])
+                exact = np.zeros(len(at))
+                for d in range(x.shape[1]):
+                    exact += x[row, d] * q[b + at, d]
+                t = pa.table({"q": pa.array(at), "similarity": pa.array(exact), "key": keys.take(pa.array(row))})
+                t = pa.concat_tables([found[b], t]) if b in found else t
+                t = t.take(pc.sort_indices(t, [("q", "ascending"), ("similarity", "descending"), ("key", "ascending")], null_placement="at_start"))
+                of = t.column("q").to_numpy()
+                rank = np.arange(len(of)) - np.searchsorted(of, of)
+                last = rank == k - 1
+                least[b + of[last]] = t.column("similarity").to_numpy()[last]
+                found[b] = t.filter(pa.array(rank < k))
+    for b, t in found.items():
+        columns = [ids.take(pa.array(t.column("q").to_numpy() + b)), t.column("key").combine_chunks(), t.column("similarity").combine_chunks()]
+        yield pa.RecordBatch.from_arrays(columns, names=["query", key, "similarity"])
 
 
 def fuse(rankings: Sequence[DataFrame], key: str, k: int = RRF_K) -> DataFrame:
