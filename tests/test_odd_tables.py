@@ -97,3 +97,13 @@ def test_vector_search_of_odd_vectors(spark, monkeypatch):
         want = every.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key))).where(F.col("place") <= k)
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
         assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pair_decisions_meet_in_cells(spark, tmp_path, monkeypatch):
+    """Names of several cells, keys of several rows and null keys and brands; pairs of items come of no join."""
+    from tidewell.operators import linker
+
+    monkeypatch.setattr(linker, "CELL", 5)
+    rows = """SELECT CASE WHEN i % 31 = 0 THEN NULL WHEN i % 17 = 0 THEN i // 3 ELSE i END::BIGINT AS p_partkey, CASE WHEN i % 43 = 0 THEN NULL ELSE concat('b', i % 2) END AS p_brand,
+    concat((['red', 'large', 'new'])[i % 3 + 1], ' ', (['ring', 'rod', 'gear', 'bolt plate'])[i % 4 + 1]) AS p_name FROM range(200) r(i)"""
+    assert same(spark, tmp_path, "dc6_pair_decisions", part=rows) is None
